@@ -70,6 +70,29 @@ def bucketed_running(df: DataFrame, keys: Sequence[str], bucket: Column, order:
     return joined.select(*plain, *[(F.col(f"_r_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums])
 
 
+def bucketed_running_max(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
+                         out: str, value: Column) -> DataFrame:
+    """Running maximum of ``value`` (nulls ignored) over (keys, order)."""
+    df = df.withColumn("_b", bucket).withColumn("_v", value)
+    inside = _inside(keys, "_b", [F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_r", F.max("_v").over(inside))
+    tops = df.groupBy(*keys, "_b").agg(F.max("_v").alias("_t"))
+    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_b")
+    tops = tops.select(*keys, "_b", F.max("_t").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_o"))
+    joined = _carry(df, tops, [*keys, "_b"])
+    return joined.select(*[F.col(c) for c in df.columns if c not in ("_b", "_v", "_r")],
+                         F.greatest("_r", "_o").alias(out))
+
+
+def attach(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Group facts joined back to the rows of the group.
+
+    Instead of a window over the group: the aggregate is combined before its shuffle, the join has one row per
+    key on one side, and adaptive execution splits the other side of a hot key.
+    """
+    return _carry(df, df.groupBy(*keys).agg(*aggs), keys)
+
+
 def bucketed_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str],
                         out: str = "rn") -> DataFrame:
     """``row_number`` over (keys, order)."""
