@@ -19,23 +19,13 @@ def alias_resolve(keys: DataFrame, aliases: DataFrame, hops: int = 8) -> DataFra
     """
     a = latest_by(aliases.select("ekey", "evalue", "ts", "id"), ["ekey"], ["ts", "id"])
     a = a.filter((F.coalesce("evalue", F.lit("")) != "") & (F.col("evalue") != F.col("ekey"))).select(F.col("ekey").alias("_from"), F.col("evalue").alias("_to"))
-    k = keys.select("key", F.col("key").alias("target"), F.array("key").alias("_seen"))
+    k = keys.select("key", F.col("key").alias("target"), F.array("key").alias("_seen"), F.lit(False).alias("_done"))
     for _ in range(hops):
-        k = k.join(a, F.col("target") == F.col("_from"), "left")
-        go = F.col("_to").isNotNull() & ~F.coalesce(F.array_contains("_stopped", True), F.lit(False)) if "_stopped" in k.columns else F.col("_to").isNotNull()
-        # Entering a key again ends the walk at that key, as the ninth visit would.
-        again = F.array_contains("_seen", F.col("_to"))
-        k = k.select("key", F.when(go & ~again, F.col("_to")).when(go, F.col("_to")).otherwise(F.col("target")).alias("target"),
-                     F.when(go & ~again, F.concat("_seen", F.array("_to"))).otherwise(F.col("_seen")).alias("_seen"), (go & again).alias("_done"))
-        k = k.withColumn("target", F.col("target")).withColumn("_seen", F.col("_seen"))
-        k = _freeze(k)
-    return k.select("key", F.regexp_replace("target", "^\x00", "").alias("target"))
-
-
-def _freeze(k: DataFrame) -> DataFrame:
-    """A finished walk gets a target no alias starts from."""
-    mark = F.when(F.col("_done"), F.concat(F.lit("\x00"), "target")).otherwise(F.col("target"))
-    return k.select("key", mark.alias("target"), "_seen")
+        j = k.join(a, (F.col("target") == F.col("_from")) & ~F.col("_done"), "left")
+        again = F.coalesce(F.array_contains("_seen", F.col("_to")), F.lit(False))
+        k = j.select("key", F.coalesce("_to", "target").alias("target"), F.array_compact(F.array_append("_seen", F.col("_to"))).alias("_seen"),
+                     (F.col("_done") | F.col("_to").isNull() | again).alias("_done"))
+    return k.select("key", "target")
 
 
 def walk_graph(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
