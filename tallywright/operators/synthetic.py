@@ -1,0 +1,71 @@
+"""Seeded tables. Every value is a hash of (seed, row id, column), so rows do not depend on partitioning."""
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FIRST = ["Avery", "Jordan", "Riley", "Casey", "Morgan", "Quinn", "Rowan", "Skyler", "Emerson", "Finley"]
+LAST = ["Alder", "Birch", "Cedar", "Dunn", "Elm", "Fern", "Grove", "Hale", "Ives", "Jarvis"]
+PRODUCTS = [("Aid One", 199.0), ("Aid Two", 299.0), ("Dome Pack", 19.0), ("Charger", 49.0), ("Battery Pack", 12.0)]
+BANDS = ["normal", "mild", "moderate", "severe"]
+
+
+def unit(seed: str, id: Column, name: str) -> Column:
+    """A number in [0, 1) for one cell."""
+    return F.pmod(F.xxhash64(F.lit(seed), id, F.lit(name)), F.lit(1 << 30)) / float(1 << 30)
+
+
+def pick(seed: str, id: Column, name: str, values: Sequence) -> Column:
+    arr = F.array(*[F.lit(v) for v in values])
+    return F.element_at(arr, (F.floor(unit(seed, id, name) * len(values)) + 1).cast("int"))
+
+
+def pick_weighted(seed: str, id: Column, name: str, pairs: Sequence[tuple]) -> Column:
+    total, at, out = float(sum(w for _, w in pairs)), 0.0, None
+    u = unit(seed, id, name)
+    for v, w in pairs[:-1]:
+        at += w / total
+        out = F.when(u < at, F.lit(v)) if out is None else out.when(u < at, F.lit(v))
+    return out.otherwise(F.lit(pairs[-1][0])) if out is not None else F.lit(pairs[0][0])
+
+
+def seeded_orders(ids: DataFrame, id: str, seed: str, tax: float = 0.07, max_lines: int = 4) -> DataFrame:
+    """GN01. One order per id: a nested customer and address, 1 to ``max_lines`` line items, totals with tax in cents."""
+    k = F.col(id)
+    n = (F.floor(unit(seed, k, "lines") * max_lines) + 1).cast("int")
+    names = F.array(*[F.lit(p) for p, _ in PRODUCTS])
+    prices = F.array(*[F.lit(p) for _, p in PRODUCTS])
+
+    def line(i: Column) -> Column:
+        at = (F.floor(F.pmod(F.xxhash64(F.lit(seed), k, F.lit("product"), i), F.lit(1 << 30)) / float(1 << 30) * len(PRODUCTS)) + 1).cast("int")
+        qty = (F.pmod(F.xxhash64(F.lit(seed), k, F.lit("quantity"), i), F.lit(3)) + 1).cast("int")
+        return F.struct(F.element_at(names, at).alias("product"), qty.alias("quantity"), F.element_at(prices, at).alias("unit_price"),
+                        F.round(F.element_at(prices, at) * qty, 2).alias("line_total"))
+
+    d = ids.select(id, F.struct(F.concat_ws(" ", pick(seed, k, "first", FIRST), pick(seed, k, "last", LAST)).alias("name"),
+                                F.concat(F.lit("user"), k.cast("string"), F.lit("@example.test")).alias("email")).alias("customer"),
+                   F.struct(F.concat((F.floor(unit(seed, k, "street") * 900) + 100).cast("string"), F.lit(" Test Way")).alias("street"),
+                            pick(seed, k, "state", ["CA", "NY", "TX", "FL"]).alias("state")).alias("shipping_address"),
+                   pick_weighted(seed, k, "status", [("paid", 8), ("pending", 1), ("refunded", 1)]).alias("financial_status"),
+                   F.transform(F.sequence(F.lit(1), n), line).alias("line_items"))
+    sub = F.round(F.aggregate("line_items", F.lit(0.0), lambda a, x: a + x["line_total"]), 2)
+    d = d.withColumn("subtotal", sub).withColumn("tax", F.round(F.col("subtotal") * tax, 2))
+    return d.withColumn("total", F.round(F.col("subtotal") + F.col("tax"), 2)).withColumn("synthetic", F.lit(True))
+
+
+def seeded_screenings(ids: DataFrame, id: str, seed: str) -> DataFrame:
+    """GN01. One screening per id with a map of frequency bands."""
+    k = F.col(id)
+    bands = F.map_from_arrays(F.array(*[F.lit(f"{hz}hz_band") for hz in (500, 1000, 2000, 4000)]),
+                              F.array(*[pick_weighted(seed, k, f"{hz}", list(zip(BANDS, (5, 3, 2, 1)))) for hz in (500, 1000, 2000, 4000)]))
+    return ids.select(id, pick(seed, k, "ear", ["left", "right"]).alias("ear"), pick(seed, k, "age_band", ["18-39", "40-59", "60-79", "80+"]).alias("age_band"), bands.alias("bands"), F.lit(True).alias("synthetic"))
+
+
+def seeded_patients(ids: DataFrame, id: str, seed: str) -> DataFrame:
+    """GN01. One patient per id with identifiers of every class, for de-identification runs."""
+    k = F.col(id)
+    year = (F.floor(unit(seed, k, "born") * 85) + 1925).cast("int")
+    return ids.select(id, F.concat_ws(" ", pick(seed, k, "first", FIRST), pick(seed, k, "last", LAST)).alias("patient_name"), F.concat(year.cast("string"), F.lit("-06-15")).alias("dob"), (F.lit(2024) - year).alias("age"),
+                      F.concat(F.lit("MRN-"), F.lpad(F.pmod(F.xxhash64(F.lit(seed), k), F.lit(1000000)).cast("string"), 6, "0")).alias("mrn"), pick(seed, k, "sex", ["F", "M", "X"]).alias("sex"), F.lit(True).alias("synthetic"))
