@@ -124,3 +124,11 @@ SELECT old_id, new_id, round(jaccard, 6) AS jaccard, CASE WHEN oa = 'a2' OR na =
   WHEN jaccard > 0.55 THEN 'near_duplicate' WHEN jaccard < 0.03 THEN 'unrelated' ELSE 'eligible' END AS reason FROM j""")
 def _(t):
     return cl.hard_negative_pairs(t.ledger, ["a2"], ["k13"], "bucket [01]").withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("cl10_trust_rerank")
+def _(t):
+    from tallywright.plans.q_search import hits_df
+    d = t.doc_ledger.select(F.col("doc_id").alias("id"), "agent", "ts", "text")
+    h = hits_df(t).join(d, "id")
+    return cl.trust_rerank(h, ts(NOW_EVENTS)).select("query_id", "id", "rank", "new_rank", "status", F.round("trust", 6).alias("trust"))
