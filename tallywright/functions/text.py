@@ -26,30 +26,33 @@ def replace_all(col: Column, pattern: str, to: str, ignore_case: bool = False) -
     return F.regexp_replace(col, F.lit(ascii_regex(pattern, ignore_case)), F.lit(to))
 
 
+def _words(col: Column) -> Column:
+    """Runs of at least two lower-case letters or digits: the parts between all other characters, one-character parts left out."""
+    return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+
+
 def tokens(col: Column, stop_words: list[str] = fixed.STOP_WORDS) -> Column:
     """Distinct lower-case tokens of at least two characters, sorted, without stop words."""
-    raw = F.split(F.lower(F.coalesce(col, F.lit(""))), "[^a-z0-9]+")
     stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.array_sort(F.array_except(F.filter(raw, lambda t: F.length(t) > 1), stop))
+    return F.sort_array(F.array_except(_words(col), stop))
 
 
 def token_list(col: Column, stop_words: list[str] = fixed.STOP_WORDS) -> Column:
     """All tokens with repeats, as needed for term frequencies."""
-    raw = F.split(F.lower(F.coalesce(col, F.lit(""))), "[^a-z0-9]+")
-    return F.filter(raw, lambda t: (F.length(t) > 1) & ~t.isin(stop_words))
+    return F.filter(_words(col), lambda t: ~t.isin(stop_words))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """|A and B| / |A or B|; 0 when either side is empty."""
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared / (F.size(a) + F.size(b) - shared))
+    # The only element of an array, so that the overlap is taken once.
+    one = F.transform(F.array(F.size(F.array_intersect(a, b))), lambda o: o / (F.size(a) + F.size(b) - o))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(one[0])
 
 
 def value_tokens(col: Column) -> Column:
     """Numbers with their marks, commas and dollar signs removed, distinct and sorted."""
     found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(ascii_regex(fixed.VALUE_TOKEN)), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, "[,$]", ""))))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda t: F.regexp_replace(t, "[,$]", ""))))
 
 
 def norm_key(col: Column) -> Column:

@@ -26,7 +26,8 @@ def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", sc
     scope = list(scope)
     r = _tokenised(rows, scope, text).withColumn("_o", F.struct(*order))
     sets = r.groupBy("sid").agg(F.min_by(F.struct("id", *scope, "tokens", "_o"), "_o").alias("f"))
-    sets = sets.select("sid", F.col("f.id").alias("first_id"), F.col("f._o").alias("first_o"), F.col("f.tokens").alias("tokens"), *[F.col(f"f.{c}").alias(c) for c in scope])
+    # The sets are read by several joins below; writing them once saves reading and cutting every text again for each.
+    sets = cut_lineage(sets.select("sid", F.col("f.id").alias("first_id"), F.col("f._o").alias("first_o"), F.col("f.tokens").alias("tokens"), *[F.col(f"f.{c}").alias(c) for c in scope]))
     repeats = r.select("id", "sid").join(sets.select("sid", "first_id"), "sid").filter("id <> first_id").select(
         "id", F.col("first_id").alias("match_id"), F.lit(1.0).alias("score"))
     pairs = similar_sets(sets, sets, threshold, scope, self_join=True)
@@ -50,9 +51,12 @@ def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text
     scope = list(scope)
     r = _tokenised(rows, scope, text).withColumn("vals", tx.value_tokens(F.col(text))).filter(F.size("vals") > 0).withColumn("_o", F.struct(*order))
     r = r.withColumn("kid", set_id(F.col("vals"), F.col("sid")))
-    keys = r.groupBy("kid").agg(F.min_by(F.struct("id", "sid", "vals", "_o"), "_o").alias("f")).select(
-        "kid", F.col("f.id").alias("first_id"), F.col("f.sid").alias("sid"), F.col("f.vals").alias("vals"), F.col("f._o").alias("first_o"))
-    sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
+    keys = r.groupBy("kid").agg(F.min_by(F.struct("id", "sid", "vals", "_o", "tokens", *scope), "_o").alias("f")).select(
+        "kid", F.col("f.id").alias("first_id"), F.col("f.sid").alias("sid"), F.col("f.vals").alias("vals"), F.col("f._o").alias("first_o"),
+        F.col("f.tokens").alias("tokens"), *[F.col(f"f.{c}").alias(c) for c in scope])
+    keys = cut_lineage(keys)
+    sets = keys.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
+    keys = keys.drop("tokens", *scope)
     pairs = similar_sets(sets, sets, threshold, scope, self_join=True)
     # Equal token sets with other numbers contradict too. Per token set only its two earliest number keys can be first.
     both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
@@ -74,8 +78,8 @@ def write_advisory(rows: DataFrame, order: Sequence[str], text: str = "text", sc
                     F.coalesce("_c", "_d").alias("match_id"), F.when(F.col("_c").isNull(), F.round(F.col("score") * 100).cast("long")).alias("similarity_pct"))
 
 
-def _greedy_leaders(sets: DataFrame, threshold: float, scope: Sequence[str]) -> DataFrame:
-    """Leaders among ``sets``: a set leads unless an earlier leader is similar.
+def _greedy_leaders(sets: DataFrame, threshold: float, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(leaders among ``sets``, similar pairs as early and late): a set leads unless an earlier leader is similar.
 
     Rounds over the similarity graph: an undecided set without an undecided earlier neighbour leads, and its later
     neighbours are covered. Every round decides at least the earliest undecided set of each connected part.
@@ -85,16 +89,16 @@ def _greedy_leaders(sets: DataFrame, threshold: float, scope: Sequence[str]) ->
     e = pairs.join(pos.select(F.col("sid").alias("left_sid"), F.col("pos").alias("lp")), "left_sid").join(
         pos.select(F.col("sid").alias("right_sid"), F.col("pos").alias("rp")), "right_sid")
     left_first = F.col("lp") < F.col("rp")
-    edges = cut_lineage(e.select(F.when(left_first, F.col("left_sid")).otherwise(F.col("right_sid")).alias("early"),
+    every = cut_lineage(e.select(F.when(left_first, F.col("left_sid")).otherwise(F.col("right_sid")).alias("early"),
                                  F.when(left_first, F.col("right_sid")).otherwise(F.col("left_sid")).alias("late")))
-    undecided, leaders = sets.select("sid"), sets.select("sid").limit(0)
+    undecided, leaders, edges = sets.select("sid"), sets.select("sid").limit(0), every
     while True:
         new = cut_lineage(undecided.join(edges.select(F.col("late").alias("sid")).distinct(), "sid", "left_anti"))
         leaders = leaders.unionByName(new)
         covered = edges.join(new.withColumnRenamed("sid", "early"), "early", "left_semi").select(F.col("late").alias("sid")).distinct()
         undecided = cut_lineage(undecided.join(new, "sid", "left_anti").join(covered, "sid", "left_anti"))
         if undecided.isEmpty():
-            return leaders
+            return leaders, every
         edges = cut_lineage(edges.join(undecided.withColumnRenamed("sid", "early"), "early", "left_semi").join(
             undecided.withColumnRenamed("sid", "late"), "late", "left_semi"))
 
@@ -114,7 +118,7 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
     sets = r.groupBy("sid").agg(F.min_by(F.struct("id", *scope, "tokens", "_o"), "_o").alias("f")).select(
         "sid", *[F.col(f"f.{c}").alias(c) for c in scope], F.col("f.tokens").alias("tokens"), F.col("f.id").alias("first_id"), F.col("f._o").alias("pos"))
     sets = cut_lineage(sets)
-    pending, leaders = sets, sets.select("sid").limit(0)
+    pending, leaders, first_round, whole = sets, sets.select("sid").limit(0), True, False
     while True:
         cost = posting_cost(pending, scope).first()["cost"]
         share = min(1.0, (pair_budget / cost) ** 0.5) if cost > 0 else 1.0
@@ -124,7 +128,10 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
             o = F.unix_micros(F.col(f"pos.{order[0]}").cast("timestamp"))
             cut = pending.agg(F.percentile_approx(o, share, 10000).alias("c")).first()["c"]
             head = pending.filter(o <= cut)
-        new = cut_lineage(_greedy_leaders(head, threshold, scope))
+        new, similar = _greedy_leaders(head, threshold, scope)
+        new = cut_lineage(new)
+        whole = share >= 1.0 and first_round
+        first_round = False
         leaders = cut_lineage(leaders.unionByName(new))
         if share >= 1.0:
             break
@@ -134,7 +141,9 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
         if pending.isEmpty():
             break
     led = sets.join(leaders, "sid", "left_semi")
-    hits = similar_sets(sets, led, threshold, scope).join(
+    # When everything was solved at once, the pairs at hand already name every similar leader.
+    near = similar.select(F.col("late").alias("left_sid"), F.col("early").alias("right_sid")) if whole else similar_sets(sets, led, threshold, scope).select("left_sid", "right_sid")
+    hits = near.join(
         led.select(F.col("sid").alias("right_sid"), F.col("first_id").alias("leader_id"), F.col("pos").alias("lp")), "right_sid")
     own = led.select(F.col("sid").alias("left_sid"), F.col("first_id").alias("leader_id"), F.col("pos").alias("lp"))
     pos = sets.select(F.col("sid").alias("left_sid"), F.col("pos").alias("_p"))
