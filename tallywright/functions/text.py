@@ -12,8 +12,16 @@ from tallywright.functions import fixed
 _ASCII_BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+# A boundary in front of a word character only has to look back, which is cheaper at every position of a text.
+_ASCII_START = r"(?<![A-Za-z0-9_])"
+_BEFORE_WORD = re.compile(r"\\b(?=(?:\((?:\?:)?)*(?:[A-Za-z0-9_]|\[(?:A-Z|a-z|0-9)[A-Za-z0-9_-]*\])(?![*?]|\{0))")
+_ODD_CHOICE = re.compile(r"\|[^A-Za-z0-9(\[]|\(\|")
+
+
 def ascii_regex(pattern: str, ignore_case: bool = False) -> str:
     """Rewrite ``\\b`` to its ASCII meaning and add the case flag."""
+    if not _ODD_CHOICE.search(pattern):
+        pattern = _BEFORE_WORD.sub(lambda _: _ASCII_START, pattern)
     out = re.sub(r"\\b", lambda _: _ASCII_BOUNDARY, pattern)
     return f"(?i){out}" if ignore_case and not out.startswith("(?i)") else out
 

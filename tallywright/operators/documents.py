@@ -94,10 +94,10 @@ def classify_category(docs: DataFrame, path: str, text: str, rules: Sequence[tup
     d = docs.withColumn("_hay", hay)
     cat = None
     for folder, pattern in rules:
-        hit = tx.matches(F.col("_hay"), pattern, True)
+        hit = tx.matches(F.col("_hay"), pattern, pattern != pattern.lower())
         cat = F.when(hit, folder) if cat is None else cat.when(hit, folder)
     if other:
-        cat = cat.when(tx.matches(F.col("_hay"), other, True), "_NON-ACCOUNTING")
+        cat = cat.when(tx.matches(F.col("_hay"), other, other != other.lower()), "_NON-ACCOUNTING")
     d = d.withColumn("category", cat.otherwise("_INBOX-UNCLASSIFIED")).drop("_hay")
     return d.withColumn("material", F.col("category").isin(*material))
 

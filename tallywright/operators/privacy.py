@@ -13,46 +13,57 @@ from tallywright.operators.filters import denied
 from tallywright.operators.scalars import strip_html
 
 
+# A text without the sign of a rule cannot match it and skips the rule; fixed values, one per secret rule in order.
+SECRET_SIGNS = ["A(KI|SI|ID|RO)A", "(?i)AWS4-HMAC", "(?i)signature=", "[?&]", "(?i)bearer", "eyJ", "://", "[=:]"]
+
+
 def redact_secrets(c: Column) -> Column:
     """PR01. Secrets replaced in the order of the rules."""
-    s = F.coalesce(c, F.lit(""))
-    for pattern, flags, to in fixed.SECRET_RULES:
-        s = tx.replace_all(s, pattern, to, "i" in flags)
-    return s
+    state = F.array(F.coalesce(c, F.lit("")))
+    for (pattern, flags, to), sign in zip(fixed.SECRET_RULES, SECRET_SIGNS):
+        # One-element arrays bind the text of each step, so every step is taken once.
+        state = F.transform(state, lambda x: F.when(x.rlike(sign), tx.replace_all(x, pattern, to, "i" in flags)).otherwise(x))
+    return state[0]
 
 
-def _scrub_steps() -> list[tuple[str, list[tuple[str, str]]]]:
-    """(category, [(pattern, replacement)]) in order; a two-digit year becomes 20xx up to 69, else 19xx."""
+def _scrub_steps() -> list[tuple[str, str, list[tuple[str, str]]]]:
+    """(category, sign without which nothing matches, [(pattern, replacement)]) in order; a two-digit year becomes 20xx up to
+    69, else 19xx."""
     def years(head: str) -> list[tuple[str, str]]:
         return [(head + r"([0-6][0-9])\b", "20$3"), (head + r"([7-9][0-9])\b", "19$3"), (head + r"0*([1-9][0-9]{1,3})\b", "$3")]
     day, sep = r"\b([0-9]{1,2})", "([0-9]{1,2})"
     return [
-        ("email", [(fixed.EMAIL, "[EMAIL-REDACTED]")]), ("phone", [(fixed.PHONE, "[PHONE-REDACTED]")]), ("ssn", [(fixed.SSN, "[SSN-REDACTED]")]),
-        ("url", [(fixed.URL, "[URL-REDACTED]")]), ("ip_address", [(fixed.IP_ADDRESS, "[IP-REDACTED]")]), ("geo_sub_state", [(fixed.STREET, "[ADDRESS-REDACTED]")]),
-        ("names", [(fixed.HONORIFIC, "$1. [NAME-REDACTED]")]), ("dates_full", [(r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b", "$1")]),
-        ("dates_full", [(rf"(?i)\b({fixed.MONTHS})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b", "$3")]),
-        ("dates_full", years(day + "-([A-Za-z]{3,9})-")), ("dates_full", years(day + "-" + sep + "-")), ("dates_full", years(day + "/" + sep + "/")),
+        ("email", "@", [(fixed.EMAIL, "[EMAIL-REDACTED]")]), ("phone", "[0-9]{3}", [(fixed.PHONE, "[PHONE-REDACTED]")]),
+        ("ssn", "[0-9]{3}", [(fixed.SSN, "[SSN-REDACTED]")]), ("url", "://", [(fixed.URL, "[URL-REDACTED]")]),
+        ("ip_address", r"[0-9]\.[0-9]", [(fixed.IP_ADDRESS, "[IP-REDACTED]")]), ("geo_sub_state", "[0-9]", [(fixed.STREET, "[ADDRESS-REDACTED]")]),
+        ("names", "Dr|M[rs]|Pt|Patient", [(fixed.HONORIFIC, "$1. [NAME-REDACTED]")]),
+        ("dates_full", "[0-9]-[0-9]", [(r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b", "$1")]),
+        ("dates_full", "[0-9]{4}", [(rf"(?i)\b({fixed.MONTHS})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b", "$3")]),
+        ("dates_full", "[0-9]-[A-Za-z]", years(day + "-([A-Za-z]{3,9})-")), ("dates_full", "[0-9]-[0-9]", years(day + "-" + sep + "-")),
+        ("dates_full", "[0-9]/[0-9]", years(day + "/" + sep + "/")),
     ]
 
 
-def scrub_free_text(c: Column) -> tuple[Column, Column]:
-    """PR02. (text without identifiers, sorted categories found). Each step tests and replaces the text as it stands then."""
-    s, flags = F.coalesce(c, F.lit("")), []
-    for category, rules in _scrub_steps():
+def scrub_free_text(c: Column) -> Column:
+    """PR02. struct(t: text without identifiers, c: categories found). Each step tests and replaces the text as it stands then.
+
+    A step that matched changed the text, so the category needs no second look. One-element arrays bind the text of each
+    step, which keeps the expression linear in the number of steps.
+    """
+    state = F.array(F.struct(F.coalesce(c, F.lit("")).alias("t"), F.array().cast("array<string>").alias("c")))
+    for category, sign, rules in _scrub_steps():
         for pattern, to in rules:
-            flags.append(F.when(tx.matches(s, pattern), category))
-            s = tx.replace_all(s, pattern, to)
-    return s, F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
+            done = F.transform(state, lambda x: F.struct(
+                x["t"].alias("o"), F.when(x["t"].rlike(sign), tx.replace_all(x["t"], pattern, to)).otherwise(x["t"]).alias("t"), x["c"].alias("c")))
+            state = F.transform(done, lambda y: F.struct(
+                y["t"].alias("t"), F.when(y["t"] != y["o"], F.array_append(y["c"], F.lit(category))).otherwise(y["c"]).alias("c")))
+    return state[0]
 
 
 def scrub_table(df: DataFrame, text: str) -> DataFrame:
-    """PR02 as a table job: one projection per step keeps the expressions small."""
-    d = df.withColumn("_s", F.coalesce(text, F.lit(""))).withColumn("_c", F.array().cast("array<string>"))
-    for category, rules in _scrub_steps():
-        for pattern, to in rules:
-            d = d.withColumn("_c", F.when(tx.matches(F.col("_s"), pattern), F.array_append("_c", F.lit(category))).otherwise(F.col("_c")))
-            d = d.withColumn("_s", tx.replace_all(F.col("_s"), pattern, to))
-    return d.withColumn(text, F.col("_s")).withColumn("categories", F.array_sort(F.array_distinct("_c"))).drop("_s", "_c")
+    """PR02 as a table job."""
+    d = df.withColumn("_s", scrub_free_text(F.col(text)))
+    return d.withColumn(text, F.col("_s.t")).withColumn("categories", F.array_sort(F.array_distinct("_s.c"))).drop("_s")
 
 
 # De-identification of nested records -----------------------------------------------------------------------------------
@@ -146,7 +157,8 @@ def _leaf(key: str, kind: T.DataType, v: Column, old: Column, zips: Sequence[str
     free = key in TEXT_KEYS and isinstance(kind, T.StringType)
     if not isinstance(kind, T.StringType):
         return (v, nothing) if safe else (None, nothing)
-    out, cats = (scrub_free_text(v) if safe or free else (None, nothing))
+    scrubbed = scrub_free_text(v) if safe or free else None
+    out, cats = (scrubbed["t"], scrubbed["c"]) if scrubbed is not None else (None, nothing)
     shaped = None
     for pattern, cat in ID_SHAPES:
         hit = F.trim(v).rlike(pattern)

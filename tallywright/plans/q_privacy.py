@@ -57,7 +57,7 @@ def personal(t: Tables):
 def _scrub_sql() -> str:
     cases = " ".join(f"WHEN {i} THEN {_q(s)}" for i, s in enumerate(_PERSONAL))
     steps, prev = [f"s0 AS (SELECT doc_id, (CASE doc_id % 6 {cases} END || text) AS s, CAST([] AS VARCHAR[]) AS c FROM documents)"], 0
-    for category, rules in pr._scrub_steps():
+    for category, _, rules in pr._scrub_steps():
         for p, to in rules:
             n = prev + 1
             steps.append(f"s{n} AS (SELECT doc_id, {_nested('s', [(p, to)])} AS s, CASE WHEN regexp_matches(s, {_q(p)}) THEN list_append(c, '{category}') ELSE c END AS c FROM s{prev})")
