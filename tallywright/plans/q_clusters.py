@@ -34,18 +34,41 @@ def _(t):
     return cl.write_advisory(t.doc_ledger, ["ts", "id"])
 
 
-@query("cl04_leader_clusters")
+def greedy_sql(rows: str, threshold: float) -> str:
+    """Greedy leaders by walking each scope in order: the state is the list of leaders so far. ``rows`` gives (scope, rn, id, toks)."""
+    return f"""{rows}, inv AS (SELECT scope, rn, unnest(toks) AS w FROM o),
+shared AS (SELECT a.scope, a.rn AS x, b.rn AS y, count(*) AS s FROM inv a JOIN inv b ON a.scope = b.scope AND a.w = b.w AND b.rn < a.rn GROUP BY ALL),
+sim AS (SELECT shared.scope AS scope, x, list(y) AS ys FROM shared JOIN o p ON p.scope = shared.scope AND p.rn = x JOIN o q ON q.scope = shared.scope AND q.rn = y WHERE s / (len(p.toks) + len(q.toks) - s) >= CAST({threshold} AS DOUBLE) GROUP BY 1, 2),
+step AS (SELECT o.scope, o.rn, coalesce(ys, CAST([] AS BIGINT[])) AS ys FROM o LEFT JOIN sim ON sim.scope = o.scope AND sim.x = o.rn),
+walk AS (SELECT scope, rn, [rn] AS heads, rn AS lead FROM step WHERE rn = 1
+  UNION ALL SELECT scope, rn, CASE WHEN l IS NULL THEN list_append(heads, rn) ELSE heads END, coalesce(l, rn) FROM (
+    SELECT s.scope, s.rn, w.heads, list_min(list_intersect(w.heads, s.ys)) AS l FROM walk w JOIN step s ON s.scope = w.scope AND s.rn = w.rn + 1)),
+led AS (SELECT m.id, m.scope, h.id AS leader_id FROM walk JOIN o m ON m.scope = walk.scope AND m.rn = walk.rn JOIN o h ON h.scope = walk.scope AND h.rn = walk.lead)"""
+
+
+def _docs_sql(scope: str) -> str:
+    return f"o AS (SELECT CAST(doc_id AS VARCHAR) AS id, {scope} AS scope, row_number() OVER (PARTITION BY {scope} ORDER BY doc_id) AS rn, {sql_tokens('text')} AS toks FROM documents)"
+
+
+def _ledger_sql(scope: str) -> str:
+    return f"{LEDGER}, o AS (SELECT id, {scope} AS scope, row_number() OVER (PARTITION BY {scope} ORDER BY ts, id) AS rn, {sql_tokens('text')} AS toks FROM ledger)"
+
+
+@query("cl04_leader_clusters", f"WITH RECURSIVE {greedy_sql(_docs_sql('source'), 0.5)} SELECT id, scope AS agent, leader_id FROM led")
 def _(t):
     return cl.leader_clusters(t.doc_ledger, ["ts", "id"], scope=("agent",), threshold=0.5).select("id", "agent", "leader_id")
 
 
-@query("cl05_subject_partitions")
+@query("cl05_subject_partitions", f"""WITH RECURSIVE {greedy_sql(_docs_sql("'all'"), 0.35)}, n AS (SELECT leader_id, count(*) AS size FROM led GROUP BY 1)
+SELECT id, 'cluster-' || leader_id AS subject, size, CASE WHEN size < 2 THEN 'single' WHEN size > 40 THEN 'oversized' ELSE 'kept' END AS outcome FROM led JOIN n USING (leader_id)""")
 def _(t):
     c = cl.leader_clusters(t.doc_ledger, ["ts", "id"], scope=(), threshold=0.35)
     return cl.subject_partitions(c).select("id", "subject", "size", "outcome")
 
 
-@query("cl06_group_assertions")
+@query("cl06_group_assertions", f"""WITH RECURSIVE {greedy_sql(_ledger_sql('ekey'), 0.5)}, n AS (SELECT scope, leader_id, count(*) AS c, min(o.rn) AS f FROM led JOIN o USING (id, scope) GROUP BY ALL),
+w AS (SELECT scope, leader_id AS claim_id FROM n QUALIFY row_number() OVER (PARTITION BY scope ORDER BY c DESC, f) = 1)
+SELECT id, scope AS ekey, leader_id, claim_id, CASE WHEN leader_id = claim_id THEN 'assertion' ELSE 'contradiction' END AS role FROM led JOIN w USING (scope)""")
 def _(t):
     c = cl.leader_clusters(t.ledger, ["ts", "id"], scope=("ekey",), threshold=0.5)
     return cl.group_assertions(c, ["ekey"], ["ts", "id"]).select("id", "ekey", "leader_id", "claim_id", "role")
@@ -111,7 +134,7 @@ def _(t):
     return cl.memory_diff(t.ledger, ts("2024-01-15 00:00:00"), ts(NOW_EVENTS)).select("id", "state", "retired_by")
 
 
-@query("cl13_recurring_clusters")
+@query("cl13_recurring_clusters", f"WITH RECURSIVE {greedy_sql(_ledger_sql('agent'), 0.5)} SELECT scope AS agent, leader_id, count(*) AS count, count(*) >= 2 AS recurring FROM led WHERE scope <> 'a3' GROUP BY ALL")
 def _(t):
     c = cl.leader_clusters(t.ledger, ["ts", "id"], scope=("agent",), threshold=0.5)
     return cl.recurring_clusters(c, ["a3"])

@@ -43,7 +43,12 @@ def _(t):
     return ev.freshness(n, slo, "stream", ts(NOW_EVENTS))
 
 
-@query("st05_alert_cooldown")
+_ERRORS = "e AS (SELECT user_id, event_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'error')"
+
+
+@query("st05_alert_cooldown", f"""WITH RECURSIVE {_ERRORS}, w AS (SELECT user_id, id, rn, ts AS last, CAST(1 AS BIGINT) AS n, true AS fire FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.id, e.rn, CASE WHEN e.ts - w.last >= INTERVAL 1440 MINUTE THEN e.ts ELSE w.last END, w.n + CASE WHEN e.ts - w.last >= INTERVAL 1440 MINUTE THEN 1 ELSE 0 END, e.ts - w.last >= INTERVAL 1440 MINUTE
+  FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1) SELECT user_id, id, n AS consecutive, n >= 3 AS escalate FROM w WHERE fire""")
 def _(t):
     s = events(t).filter("event_type = 'error'").select("user_id", "id", "ts")
     return runner.append_to_table(jobs.alert_cooldown(s, "user_id", 1440), folder(t, "st05")).select("user_id", "id", "consecutive", "escalate")
@@ -86,7 +91,10 @@ def _(t):
     return jobs.incremental_index(d, folder(t, "st09"))[0].select("path", "sha256")
 
 
-@query("st10_restart_plan")
+@query("st10_restart_plan", f"""WITH RECURSIVE {_ERRORS}, w AS (SELECT user_id, id, rn, ts AS last, CAST(1 AS BIGINT) AS n, false AS paused, 'restart' AS plan FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, id, rn, CASE WHEN p = 'restart' THEN ts ELSE last END, n + CASE WHEN p = 'restart' THEN 1 ELSE 0 END, paused OR p = 'escalate', p FROM (
+    SELECT e.user_id, e.id, e.rn, e.ts, w.last, w.n, w.paused, CASE WHEN w.paused THEN 'paused' WHEN e.ts - w.last < INTERVAL 1440 MINUTE THEN 'cooldown' WHEN w.n + 1 > 3 THEN 'escalate' ELSE 'restart' END AS p
+    FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)) SELECT user_id AS job, id, plan, n AS attempt FROM w""")
 def _(t):
     s = events(t).filter("event_type = 'error'").select(F.col("user_id").alias("job"), "id", "ts")
     return runner.append_to_table(jobs.restart_plan(s, "job", 1440), folder(t, "st10"))
