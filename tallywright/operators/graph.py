@@ -74,19 +74,17 @@ def chain_members(rows: DataFrame, heads: DataFrame) -> DataFrame:
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy("src").agg(F.min("dst").alias("dst"))
     step = cut_lineage(step)
     reach = heads.select(F.col("id").alias("head"), F.col("id").alias("id"), F.lit(0).cast("long").alias("depth"))
-    # From the heads every reached row is extended by the jump of the round: 1, 2, 4, ... links.
-    jump, width = step, 1
+    # From the heads every reached row is extended by the jump of the round: 1, 2, 4, ... links. Chains have no gaps, so a
+    # round without a new row is the last one.
+    jump, width, size = step, 1, -1
     while True:
         more = reach.join(jump, F.col("id") == F.col("src")).select("head", F.col("dst").alias("id"), (F.col("depth") + width).alias("depth"))
-        grown = reach.unionByName(more).groupBy("head", "id").agg(F.min("depth").alias("depth"))
-        reach = cut_lineage(grown)
-        doubled = jump.join(jump.select(F.col("src").alias("_m"), F.col("dst").alias("_d")), F.col("dst") == F.col("_m")).filter("src <> _d").select("src", F.col("_d").alias("dst"))
-        doubled = cut_lineage(doubled)
-        if doubled.isEmpty():
-            return reach
-        jump, width = doubled, width * 2
-        if width > 2 ** 40:
+        reach = cut_lineage(reach.unionByName(more).groupBy("head", "id").agg(F.min("depth").alias("depth")))
+        before, size = size, reach.count()
+        if size == before or width == 1 and more.isEmpty():
             return reach
+        jump = cut_lineage(jump.join(jump.select(F.col("src").alias("_m"), F.col("dst").alias("_d")), F.col("dst") == F.col("_m")).select("src", F.col("_d").alias("dst")))
+        width *= 2
 
 
 def supersede_chain(rows: DataFrame, heads: DataFrame) -> DataFrame:

@@ -124,6 +124,9 @@ def incremental_index(docs: DataFrame, folder: str, store: str = "store/room") -
 
 # State functions -----------------------------------------------------------------------------------------------------
 
+NEVER = -1
+
+
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one key in one micro-batch in order; the micro-batch is bounded by the source's file limit."""
     f = pd.concat(list(frames))
@@ -153,12 +156,12 @@ def alert_cooldown(signals: DataFrame, key: str, cooldown_min: int = 360, escala
         if state.hasTimedOut:
             state.remove()
             return
-        last, n = state.get if state.exists else (None, 0)
+        last, n = state.get if state.exists else (NEVER, 0)
         out, seen = [], 0
         for r in _ordered(frames).itertuples():
             t = _us(r.ts)
             seen = max(seen, t)
-            if last is not None and t - last < wait:
+            if last != NEVER and t - last < wait:
                 continue
             last, n = t, n + 1
             out.append((k[0], r.id, r.ts, n, n >= escalate_after))
@@ -178,13 +181,13 @@ def dark_streak(scans: DataFrame, key: str, need: int = 2, cooldown_min: int = 3
         if state.hasTimedOut:
             state.remove()
             return
-        streak, sent, last = state.get if state.exists else (0, 0, None)
+        streak, sent, last = state.get if state.exists else (0, 0, NEVER)
         out, seen = [], 0
         for r in _ordered(frames).itertuples():
             t = _us(r.ts)
             seen = max(seen, t)
             streak = streak + 1 if r.dark else 0
-            go = bool(r.dark) and streak >= need and (last is None or t - last >= wait)
+            go = bool(r.dark) and streak >= need and (last == NEVER or t - last >= wait)
             sent = sent + go if r.dark else 0
             last = t if go else last
             out.append((k[0], r.id, streak, go, bool(r.dark) and sent >= escalate_after))
@@ -204,14 +207,14 @@ def restart_plan(failures: DataFrame, key: str, cooldown_min: int = 360, escalat
         if state.hasTimedOut:
             state.remove()
             return
-        last, tries, paused = state.get if state.exists else (None, 0, False)
+        last, tries, paused = state.get if state.exists else (NEVER, 0, False)
         out, seen = [], 0
         for r in _ordered(frames).itertuples():
             t = _us(r.ts)
             seen = max(seen, t)
             if paused:
                 plan = "paused"
-            elif last is not None and t - last < wait:
+            elif last != NEVER and t - last < wait:
                 plan = "cooldown"
             elif tries + 1 > escalate_after:
                 plan, paused = "escalate", True
