@@ -347,9 +347,9 @@ def _(t):
     return t.documents.select("doc_id", F.md5(tk.head_tail(F.col("text"), 800)).alias("cut_md5"))
 
 
-@query("tk10_latest_snapshot_rows", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m') = (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders) AND o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'")
+@query("tk10_latest_snapshot_rows", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y') = (SELECT max(strftime(o_orderdate, '%Y')) FROM orders) AND o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'")
 def _(t):
-    o = t.orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("snap"), F.when(F.col("o_orderstatus") != "P", "x").alias("digest"))
+    o = t.orders.select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy").alias("snap"), F.when(F.col("o_orderstatus") != "P", "x").alias("digest"))
     return tk.latest_snapshot_rows(o, "snap", "o_orderpriority", "1-URGENT", "digest").select("o_orderkey")
 
 
