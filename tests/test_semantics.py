@@ -333,3 +333,11 @@ def test_incremental_index_prunes_a_document_that_shrank(spark, tmp_path):
 def test_tokens_match_the_definition(spark):
     rows, df = claims(spark, 60, 2)
     assert all(set(r.t) == toks(r.text) for r in df.select("text", tx.tokens(F.col("text")).alias("t")).collect())
+
+
+def test_value_contradiction_takes_the_first_earlier_row(spark):
+    rows = [("1", 0, "budget of apollo is 100 dollars"), ("2", 1, "budget of apollo is 100 dollars"), ("3", 2, "budget of apollo is $9 dollars"),
+            ("4", 3, "budget of apollo is 100 dollars"), ("5", 4, "no numbers about apollo"), ("6", 5, "other words 100 entirely")]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(hours=h), "fact", x) for i, h, x in rows], "id string, ts timestamp_ntz, type string, text string")
+    got = {r.id: r.match_id for r in cl.value_contradiction(df, ["ts", "id"]).collect()}
+    assert got == {"3": "1", "4": "3"}
