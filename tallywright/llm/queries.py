@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import binary_output, packing, pivots, token_counts
+from tallywright.llm import binary_output, jaccard, packing, pivots, token_counts
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at cosine 0.9."""
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and group of every document at Jaccard 0.8 of five-word shingles."""
+    return jaccard.near_documents(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
