@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import binary_output, jaccard, packing, pivots, token_counts
+from tallywright.llm import binary_output, jaccard, packing, pivots, token_counts, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,18 @@ def op4_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and group of every document at Jaccard 0.8 of five-word shingles."""
     return jaccard.near_documents(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
+@query
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through ARC and WARC archives and back."""
+    return warc.pages_through_archives(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_arc_to_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
