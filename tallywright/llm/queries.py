@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import binary_output, jaccard, packing, pivots, token_counts, warc
+from tallywright.llm import binary_output, decontaminate, jaccard, packing, pivots, token_counts, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f
 """
+
+
+@query
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
