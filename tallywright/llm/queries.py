@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import binary_output, decontaminate, jaccard, packing, pivots, token_counts, warc
+from tallywright.llm import binary_output, decontaminate, jaccard, packing, pivots, token_counts, toxicity, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ FROM f
 def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=20_000)
