@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallywright.llm import binary_output, decontaminate, jaccard, packing, pivots, token_counts, toxicity, warc
+from tallywright.llm import binary_output, decontaminate, jaccard, language, packing, pivots, token_counts, toxicity, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,15 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample=20_000)
+
+
+@query
+def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: its text, its declared language, its source as host."""
+    return language.identify(table(spark, sf_dir, "documents"), "doc_id", declared="lang", host=F.col("source"))
+
+
+@query
+def page_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page: text, markup language, address suffix, host."""
+    return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), "page_id", declared="declared", suffix=F.col("suffix"), host=F.col("host"))
