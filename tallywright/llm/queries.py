@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import binary_output, decontaminate, jaccard, language, packing, pivots, token_counts, toxicity, warc
+from tallywright.llm import binary_output, decontaminate, jaccard, language, line_dedup, packing, pivots, token_counts, toxicity, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op6_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page: text, markup language, address suffix, host."""
     return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), "page_id", declared="declared", suffix=F.col("suffix"), host=F.col("host"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and those that go because a line within two edits stands elsewhere before."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), edits=2, least=40)
