@@ -100,3 +100,8 @@ def alnum_count(col: Column) -> Column:
 def deny(col: Column, words: list[str]) -> Column:
     """True when any of ``words`` occurs as a whole ASCII word."""
     return matches(F.coalesce(col, F.lit("")), r"\b(" + "|".join(re.escape(w) for w in words) + r")\b", True)
+
+
+def leading(c: Column, chars: int | None) -> Column:
+    """The first characters of a text, or all of it."""
+    return c if chars is None else F.substring(c, 1, chars)

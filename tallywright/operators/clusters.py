@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import fixed, text as tx
 from tallywright.functions.ordered import latest_by
 from tallywright.functions.similarity import posting_cost, set_id, similar_sets
-from tallywright.operators.joins import supersede_pairs
+from tallywright.operators.joins import active_rows, supersede_pairs
 from tallywright.session import cut_lineage
 
 
@@ -18,50 +18,51 @@ def _tokenised(rows: DataFrame, scope: Sequence[str], text: str) -> DataFrame:
     return r.withColumn("sid", set_id(F.col("tokens"), *[F.col(c) for c in scope]))
 
 
+def _live(rows: DataFrame) -> DataFrame:
+    """The rows that may be matched: those that no row supersedes."""
+    return active_rows(rows) if "supersedes" in rows.columns else rows
+
+
 def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",), threshold: float = 0.8) -> DataFrame:
-    """CL01. For every row the most similar earlier row of its scope, the earliest among equals; rows without one are left out.
+    """CL01. For every row the most similar earlier active row of its scope, the earliest among equals; rows without one are left out.
 
-    A repeated token set has its first row as best match, with similarity 1. Only the first rows of distinct sets are compared.
+    Of each token set only the first active row can be a match, and a row after it has similarity 1. Distinct sets are compared once.
     """
     scope = list(scope)
     r = _tokenised(rows, scope, text).withColumn("_o", F.struct(*order))
-    sets = r.groupBy("sid").agg(F.min_by(F.struct("id", *scope, "tokens", "_o"), "_o").alias("f"))
     # The sets are read by several joins below; writing them once saves reading and cutting every text again for each.
-    sets = cut_lineage(sets.select("sid", F.col("f.id").alias("first_id"), F.col("f._o").alias("first_o"), F.col("f.tokens").alias("tokens"), *[F.col(f"f.{c}").alias(c) for c in scope]))
-    repeats = r.select("id", "sid").join(sets.select("sid", "first_id"), "sid").filter("id <> first_id").select(
-        "id", F.col("first_id").alias("match_id"), F.lit(1.0).alias("score"))
+    r = cut_lineage(r.select("id", "sid", "_o", "tokens", *scope))
+    first = r.join(_live(rows).select("id"), "id", "left_semi").groupBy("sid").agg(F.min_by(F.struct("id", "_o"), "_o").alias("f"))
+    first = cut_lineage(first.select("sid", F.col("f.id").alias("match_id"), F.col("f._o").alias("mo")))
+    placed = r.select("id", "sid", "_o").join(first, "sid", "left").withColumn("again", F.coalesce(F.col("mo") < F.col("_o"), F.lit(False)))
+    repeats = placed.filter("again").select("id", "match_id", F.lit(1.0).alias("score"))
+    sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
     pairs = similar_sets(sets, sets, threshold, scope, self_join=True)
-    o = sets.select("sid", "first_id", "first_o")
-    p = pairs.join(o.select(F.col("sid").alias("left_sid"), F.col("first_id").alias("lid"), F.col("first_o").alias("lo")), "left_sid").join(
-        o.select(F.col("sid").alias("right_sid"), F.col("first_id").alias("rid"), F.col("first_o").alias("ro")), "right_sid")
-    later_left = F.col("lo") > F.col("ro")
-    d = p.select(F.when(later_left, F.col("lid")).otherwise(F.col("rid")).alias("id"), F.when(later_left, F.col("rid")).otherwise(F.col("lid")).alias("match_id"),
-                 F.when(later_left, F.col("ro")).otherwise(F.col("lo")).alias("mo"), "score")
-    top = d.groupBy("id").agg(F.max("score").alias("score"))
-    best = d.join(top, ["id", "score"]).groupBy("id", "score").agg(F.min_by("match_id", "mo").alias("match_id"))
-    return repeats.unionByName(best)
+    both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
+    near = both.join(first.withColumnRenamed("sid", "right_sid"), "right_sid").select(F.col("left_sid").alias("sid"), "match_id", "mo", "score")
+    met = placed.filter("NOT again").select("id", "sid", "_o").join(near, "sid").filter(F.col("mo") < F.col("_o"))
+    best = met.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "mo", "match_id")).alias("b"))
+    return repeats.unionByName(best.select("id", F.col("b.match_id").alias("match_id"), (-F.col("b.s")).alias("score")))
 
 
 def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",), threshold: float = 0.6) -> DataFrame:
-    """CL02. For every row the first earlier row of its scope with similar words and different numbers.
+    """CL02. For every row the first earlier active row of its scope with similar words and different numbers.
 
-    Rows are collapsed to distinct (tokens, numbers); for each such key the earliest contradicting key is found once and
-    then compared with the row's own position.
+    Rows are collapsed to distinct (tokens, numbers); for each such key the earliest contradicting key with an active row is found once
+    and then compared with the row's own position.
     """
     scope = list(scope)
     r = _tokenised(rows, scope, text).withColumn("vals", tx.value_tokens(F.col(text))).filter(F.size("vals") > 0).withColumn("_o", F.struct(*order))
-    r = r.withColumn("kid", set_id(F.col("vals"), F.col("sid")))
-    keys = r.groupBy("kid").agg(F.min_by(F.struct("id", "sid", "vals", "_o", "tokens", *scope), "_o").alias("f")).select(
-        "kid", F.col("f.id").alias("first_id"), F.col("f.sid").alias("sid"), F.col("f.vals").alias("vals"), F.col("f._o").alias("first_o"),
-        F.col("f.tokens").alias("tokens"), *[F.col(f"f.{c}").alias(c) for c in scope])
-    keys = cut_lineage(keys)
-    sets = keys.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
-    keys = keys.drop("tokens", *scope)
+    r = cut_lineage(r.withColumn("kid", set_id(F.col("vals"), F.col("sid"))).select("id", "kid", "sid", "vals", "_o", "tokens", *scope))
+    live = r.join(_live(rows).select("id"), "id", "left_semi").groupBy("kid").agg(F.min_by(F.struct("id", "sid", "vals", "_o"), "_o").alias("f")).select(
+        "kid", F.col("f.id").alias("first_id"), F.col("f.sid").alias("sid"), F.col("f.vals").alias("vals"), F.col("f._o").alias("first_o"))
+    keys = r.groupBy("kid", "sid").agg(F.min("vals").alias("vals"))
+    sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
     pairs = similar_sets(sets, sets, threshold, scope, self_join=True)
     # Equal token sets with other numbers contradict too. Per token set only its two earliest number keys can be first.
     both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
     both = both.unionByName(sets.select(F.col("sid").alias("left_sid"), F.col("sid").alias("right_sid"), F.lit(1.0).alias("score")))
-    early = keys.withColumn("_r", F.row_number().over(Window.partitionBy("sid").orderBy("first_o"))).filter("_r <= 2").drop("_r")
+    early = live.withColumn("_r", F.row_number().over(Window.partitionBy("sid").orderBy("first_o"))).filter("_r <= 2").drop("_r")
     other = early.select(F.col("sid").alias("right_sid"), F.col("kid").alias("okid"), F.col("first_id").alias("oid"), F.col("vals").alias("ovals"), F.col("first_o").alias("oo"))
     met = keys.select(F.col("sid").alias("left_sid"), "kid", "vals").join(both, "left_sid").join(other, "right_sid").filter(F.col("vals") != F.col("ovals"))
     first = met.groupBy("kid").agg(F.min_by(F.struct("oid", "score", "oo"), "oo").alias("m"))
@@ -183,11 +184,13 @@ def score_claim(assertions: DataFrame, keys: Sequence[str], now: Column, half_li
     rows = assertions.select(*keys, "role", "agent", "ts", "confidence", "id")
     one = latest_by(rows.filter(F.col("agent").isNotNull()), [*keys, "role", "agent"], ["ts", "id"])
     age_days = F.greatest((F.unix_micros(now.cast("timestamp")) - F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))) / 8.64e10, F.lit(0.0))
-    w = F.col("confidence") * F.pow(F.lit(0.5), age_days / half_life_days)
+    c = F.col("confidence")
+    c = F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 1.0).otherwise(c)
+    w = c * F.pow(F.lit(0.5), age_days / half_life_days)
     yes = F.col("role") == "assertion"
     g = one.groupBy(*keys).agg(
         F.count_if(yes).alias("distinct_agents"), F.count_if(~yes).alias("contradicting_agents"),
-        F.sum(F.when(yes, w).otherwise(0.0)).alias("_w"), F.sum(F.when(~yes, w).otherwise(0.0)).alias("_c"),
+        F.coalesce(F.sum(F.when(yes, w).otherwise(0.0)), F.lit(0.0)).alias("_w"), F.coalesce(F.sum(F.when(~yes, w).otherwise(0.0)), F.lit(0.0)).alias("_c"),
         F.max(F.when(yes, F.col("ts"))).alias("_newest"))
     n = assertions.groupBy(*keys).agg(F.count_if(yes).alias("corroborations"))
     g = g.join(n, list(keys)).withColumn("trust", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.pow(F.lit(0.5), F.col("_w")) - penalty * F.col("_c"))))

@@ -6,8 +6,10 @@ positions of date matches. They run as Arrow pandas functions and return arrays
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Sequence
 from datetime import date
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,55 +23,67 @@ from tallywright.operators.windows import collapse_near_spans, collision_suffix
 
 # Chunking --------------------------------------------------------------------------------------------------------
 
-_SENTENCE_END = re.compile(r"[.!?][\"')\]]?\s+")
-
-
-def _cut(text: str, lo: int, hi: int) -> int:
-    """Best place to end a chunk in (lo, hi]: after a paragraph, a sentence, a line, a word; -1 without any."""
-    at = text.rfind("\n\n", lo, hi)
-    if at > lo:
-        return at + 2
-    ends = [m.end() for m in _SENTENCE_END.finditer(text[lo:hi])]
-    if ends:
-        return lo + ends[-1]
-    for mark in ("\n", " "):
-        at = text.rfind(mark, lo, hi)
-        if at > lo:
-            return at + 1
-    return -1
-
-
-def chunk_pieces(text: str | None, size: int = 2000, overlap: int = 200) -> Iterator[str]:
-    """Chunks of at most ``size`` characters; each starts up to ``overlap`` characters before the end of the one before."""
-    text = text or ""
-    overlap = max(0, min(overlap, size // 2))
-    back = max(1, int(size * 0.3))
+_SENTENCE = re.compile(r"[.!?][\"')\]]?(?=\s)\s+")
+
+
+class Breaks:
+    """All places of a text where a chunk may end, found in one pass for each kind, and asked by bisection."""
+
+    def __init__(self, text: str):
+        self.blank = [m.start() for m in re.finditer(r"\n(?=\n)", text)]
+        sentences = [(m.start(), m.start() + len(m[0].rstrip()), m.end()) for m in _SENTENCE.finditer(text)]
+        self.sentence, self.gap, self.after = map(list, zip(*sentences)) if sentences else ([], [], [])
+        self.line = [m.start() for m in re.finditer(r"\n", text)]
+        self.word = [m.start() for m in re.finditer(" ", text)]
+        self.white = [m.start() for m in re.finditer(r"\s", text)]
+
+    def last(self, low: int, high: int) -> int | None:
+        """End of the last paragraph, else sentence, else line, else word that lies between the two places."""
+        k = bisect_left(self.blank, high - 1) - 1
+        if k >= 0 and self.blank[k] > low:
+            return self.blank[k] + 2
+        k = bisect_left(self.gap, high) - 1
+        if k >= 0 and self.sentence[k] >= low:
+            return min(self.after[k], high)
+        for places in (self.line, self.word):
+            k = bisect_left(places, high) - 1
+            if k >= 0 and places[k] > low:
+                return places[k] + 1
+        return None
+
+    def word_start(self, low: int, high: int) -> int:
+        """The place after the first white space from ``low`` on, if it comes before ``high``."""
+        k = bisect_left(self.white, low)
+        return self.white[k] + 1 if k < len(self.white) and self.white[k] < high else low
+
+
+def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of every chunk. The last 30 percent of a full chunk are searched for a break; the next chunk starts ``overlap``
+    before, moved to a word within 60 characters."""
     if not text.strip():
-        return
-    if len(text) <= size:
-        yield text
-        return
-    at = 0
-    while True:
-        end = min(at + size, len(text))
-        if end < len(text):
-            cut = _cut(text, max(at, end - back), end)
-            end = cut if cut > at else end
-        yield text[at:end]
-        if end >= len(text):
-            return
-        nxt = end - overlap
-        if nxt > at:
-            gap = re.search(r"\s", text[nxt:min(nxt + 60, end)])
-            nxt += gap.end() if gap else 0
-        at = nxt if nxt > at else end
+        return []
+    overlap, spare, breaks = max(0, min(overlap, size // 2)), max(1, int(size * 0.3)), Breaks(text)
+    bounds = [(0, len(text))]
+    while bounds[-1][1] - bounds[-1][0] > size:
+        start = bounds[-1][0]
+        end = breaks.last(max(start, start + size - spare), start + size)
+        end = end if end is not None and end > start else start + size
+        back = end - overlap
+        then = breaks.word_start(back, min(back + 60, end)) if back > start else back
+        bounds[-1:] = [(start, end), (then if then > start else end, len(text))]
+    return bounds
+
+
+def chunk_pieces(text: str | None, size: int = 2000, overlap: int = 200) -> list[str]:
+    """Chunks of at most ``size`` characters; each starts up to ``overlap`` characters before the end of the one before."""
+    return [text[a:b] for a, b in chunk_bounds(text, size, overlap)] if text else []
 
 
 def chunk_text(docs: DataFrame, text: str, size: int = 2000, overlap: int = 200) -> DataFrame:
     """DP01. One row per chunk with its number from 0; blank texts have none."""
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: list(chunk_pieces(v, size, overlap)))
+        return s.map(lambda v: chunk_pieces(v, size, overlap))
     keep = [c for c in docs.columns if c != text]
     return docs.select(*keep, F.posexplode(pieces(F.col(text))).alias("ordinal", "chunk"))
 
@@ -85,12 +99,12 @@ def chunk_rows(catalog: DataFrame, store: str, text: str = "text", size: int = 2
 
 # Classification and metadata ------------------------------------------------------------------------------------------
 
-def classify_category(docs: DataFrame, path: str, text: str, rules: Sequence[tuple[str, str]], material: Sequence[str], other: str | None = None, chars: int = 8000) -> DataFrame:
-    """DP03. First rule that matches the path and the leading text, else the non-accounting pattern, else the inbox.
+def classify_category(docs: DataFrame, path: str, text: str, rules: Sequence[tuple[str, str]], material: Sequence[str], other: str | None = None, chars: int | None = None) -> DataFrame:
+    """DP03. First rule that matches the path and the text, else the non-accounting pattern, else the inbox.
 
-    The definition looks at the first ``chars`` characters of path and text.
+    ``chars`` restricts the look to the first characters of path and text; as published it is 8000.
     """
-    hay = F.lower(F.substring(F.concat(F.regexp_replace(path, "[/_-]", " "), F.lit(" \n "), F.coalesce(text, F.lit(""))), 1, chars))
+    hay = F.lower(tx.leading(F.concat(F.regexp_replace(path, "[/_-]", " "), F.lit(" \n "), F.coalesce(text, F.lit(""))), chars))
     d = docs.withColumn("_hay", hay)
     cat = None
     for folder, pattern in rules:
@@ -102,18 +116,18 @@ def classify_category(docs: DataFrame, path: str, text: str, rules: Sequence[tup
     return d.withColumn("material", F.col("category").isin(*material))
 
 
-def rule_metadata(docs: DataFrame, path: str, text: str) -> DataFrame:
-    """DP04. Source type, confidentiality and flags from path and leading text; the definition reads 2000 characters for the
-    confidentiality rules and 20000 for the claim rule."""
+def rule_metadata(docs: DataFrame, path: str, text: str, chars: int | None = None, claim_chars: int | None = None) -> DataFrame:
+    """DP04. Source type, confidentiality and flags from path and text. ``chars`` and ``claim_chars`` restrict the look to leading
+    characters for the confidentiality rules and the claim rule; as published they are 2000 and 20000."""
     p, s = F.lower(path), F.coalesce(text, F.lit(""))
-    hay = F.lower(F.concat(F.col(path), F.lit(" "), F.substring(s, 1, 2000)))
+    hay = F.lower(F.concat(F.col(path), F.lit(" "), tx.leading(s, chars)))
     m = lambda c, pat: tx.matches(c, pat)
     kind = F.when(m(p, r"session-checkpoint|digest|_recovery/"), "ai_memo").when(m(p, r"\.(json|csv)$"), "machine_generated").otherwise("primary_source")
     conf = (F.when(m(hay, r"attorney[- ]client|attorney[- ]privileged"), "attorney_privileged").when(m(hay, r"\bssn\b|social security number"), "personal_pii")
             .when(m(p, r"\bpublished\b|\bpublic[_-]site\b"), "public").otherwise(""))
     return docs.withColumn("source_type", kind).withColumn("confidentiality", conf).withColumn(
         "mnpi_flag", m(hay, r"\bmnpi\b|material non-?public|reg[- ]fd|insider trading")).withColumn(
-        "medical_claims", tx.matches(F.substring(s, 1, 20000), r"\bhearing aid\b|\bfda[- ]clear(ed|ance)\b|\btreats? hearing loss\b|medical device claim", True))
+        "medical_claims", tx.matches(tx.leading(s, claim_chars), r"\bhearing aid\b|\bfda[- ]clear(ed|ance)\b|\btreats? hearing loss\b|medical device claim", True))
 
 
 def metadata_conform(df: DataFrame, fields: Sequence[dict]) -> DataFrame:
@@ -144,42 +158,41 @@ def metadata_conform(df: DataFrame, fields: Sequence[dict]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in {f["name"] for f in fields}], *out)
 
 
-def segment_labels(df: DataFrame, segments: str, labels: Sequence[str], max_items: int = 6) -> DataFrame:
-    """DP06. Segments with a known label and a locator, at most ``max_items``, with the distinct labels and the mixed flag."""
+def segment_labels(df: DataFrame, segments: str, labels: Sequence[str], max_items: int | None = None) -> DataFrame:
+    """DP06. Segments with a known label and a locator, all or the first ``max_items`` (as published 6), with the distinct labels and
+    the mixed flag."""
     clean = F.transform(F.coalesce(segments, F.array().cast(df.schema[segments].dataType)), lambda s: F.struct(
         sc.coerce_enum(s["label"], labels).alias("label"), sc.ascii_cap(s["locator"], 220).alias("locator"), sc.ascii_cap(s["rationale"], 140).alias("rationale")))
-    kept = F.slice(F.filter(clean, lambda s: (s["label"] != "") & (s["locator"] != "")), 1, max_items)
+    kept = F.filter(clean, lambda s: (s["label"] != "") & (s["locator"] != ""))
+    kept = kept if max_items is None else F.slice(kept, 1, max_items)
     d = df.withColumn("segments_kept", kept)
     return d.withColumn("labels", F.array_distinct(F.transform("segments_kept", lambda s: s["label"]))).withColumn("mixed", F.size("segments_kept") > 0)
 
 
-SHRINK_ORDER = ["sensitive_segments", "contextual_prefix", "summary", "hypothetical_questions", "keywords", "entities", "named_entities_orgs",
-                "named_entities_people", "related_systems", "product_names", "compliance_flags"]
+def shrunk_lengths(length: int, least: int, share: float = 0.7) -> list[int]:
+    """The lengths that a field passes through: cut to a share of itself while it is longer than ``least``."""
+    out = [length]
+    while out[-1] > least:
+        out.append(int(out[-1] * share))
+    return out
 
 
 def shrink_pairs(pairs: dict[str, str | None], budget: int, order: Sequence[str], least: int = 40) -> dict[str, str | None]:
-    """Fields cut to 70 percent in rounds of the given order until the whole fits."""
-    out = dict(pairs)
-    size = sum(len(k) + len(v or "") for k, v in out.items())
-    for _ in range(40):
-        if size <= budget:
-            break
-        cut_any = False
-        for k in order:
-            v = out.get(k)
-            if not v or len(v) <= least:
-                continue
-            out[k] = v[:int(len(v) * 0.7)]
-            size -= len(v) - len(out[k])
-            cut_any = True
-            if size <= budget:
-                break
-        if not cut_any:
-            break
-    return out
+    """Fields cut in turns, in the given order, until names and values together fit.
+
+    Every field's lengths are known beforehand, so all cuts stand in one list, turn by turn; the first whose running saving is enough
+    is the last one made.
+    """
+    over = sum(len(k) + len(v or "") for k, v in pairs.items()) - budget
+    lengths = {k: shrunk_lengths(len(pairs[k]), least) for k in order if pairs.get(k)}
+    cuts = sorted((turn, place, k) for place, k in enumerate(lengths) for turn in range(1, len(lengths[k])))
+    saved = list(accumulate(lengths[k][turn - 1] - lengths[k][turn] for turn, _, k in cuts))
+    made = cuts[:bisect_left(saved, over) + 1] if over > 0 else []
+    final = {k: lengths[k][turn] for turn, _, k in made}
+    return {k: v[:final[k]] if k in final else v for k, v in pairs.items()}
 
 
-def shrink_to_budget(df: DataFrame, fields: Sequence[str], budget: int = 7200, order: Sequence[str] = SHRINK_ORDER) -> DataFrame:
+def shrink_to_budget(df: DataFrame, fields: Sequence[str], budget: int = 7200, order: Sequence[str] = fixed.SHRINK_ORDER) -> DataFrame:
     """DP07. The string ``fields`` of each row within the budget, with the resulting size and whether it is still over."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
 
@@ -263,7 +276,7 @@ def raw_spans(text: Column) -> Column:
     return find(text)
 
 
-def deadline_candidates(docs: DataFrame, text: str, context: int = 100, max_what: int = 400) -> DataFrame:
+def deadline_candidates(docs: DataFrame, text: str, context: int = 100) -> DataFrame:
     """DP11. One row per date that is not a close repeat, with its surroundings and the deadline word on its line.
 
     A line that holds little more than the date also takes the line above it. Positions come from the row function; the
@@ -278,7 +291,7 @@ def deadline_candidates(docs: DataFrame, text: str, context: int = 100, max_what
     alone = (F.length(tx.collapse_spaces(line)) <= 15) & (F.length("_left") < F.length(before))
     window = F.when(alone, F.concat(F.substring_index("_up", "\n", 1), F.lit(" "), line)).otherwise(line)
     low = F.greatest(start - context, F.lit(0))
-    what = F.substring(tx.collapse_spaces(F.substring(t, low + 1, end + context - low)), 1, max_what)
+    what = tx.collapse_spaces(F.substring(t, low + 1, end + context - low))
     word = F.regexp_extract(tx.collapse_spaces(window), "(?i)" + "|".join(fixed.DEADLINE_KEYWORDS), 0)
     d = d.select(*keep, start.alias("start"), F.col("s.date").alias("date"), what.alias("what"), F.trim(F.substring(t, start + 1, end - start)).alias("match_text"), F.nullif(word, F.lit("")).alias("keyword"))
     return d.withColumn("confidence", F.when(F.col("keyword").isNotNull(), "high").otherwise("low"))
@@ -304,19 +317,21 @@ def propose_mapping(catalog: DataFrame, order: str) -> DataFrame:
 
 # Conversations -----------------------------------------------------------------------------------------------------
 
-_TURN = "type STRING, timestamp STRING, uuid STRING, message STRUCT<role: STRING, content: STRING>"
+_TURN = "type STRING, timestamp STRING, uuid STRING, role STRING, content STRING, message STRUCT<role: STRING, content: STRING>"
 
 
-def journal_turns(lines: DataFrame, line: str, max_chars: int = 4000) -> DataFrame:
+def journal_turns(lines: DataFrame, line: str, max_chars: int | None = None) -> DataFrame:
     """DP14. User and assistant text of transcript lines, tool envelopes left out.
 
     Content is a text or an array of parts; of an array the text parts count, for the assistant those longer than 20 characters.
+    A line without a message object carries role and content itself. ``max_chars`` cuts long turns; as published it is 4000.
     """
     p = lines.withColumn("_m", F.from_json(line, _TURN))
-    content = F.col("_m.message.content")
+    own = F.col("_m.message").isNull()
+    content = F.when(own, F.col("_m.content")).otherwise(F.col("_m.message.content"))
     parts = F.from_json(content, "ARRAY<STRUCT<type: STRING, text: STRING>>")
     is_list = content.startswith("[")
-    role = F.coalesce("_m.message.role", "_m.type")
+    role = F.coalesce(F.when(own, F.col("_m.role")).otherwise(F.col("_m.message.role")), F.col("_m.type"))
     texts = lambda long: F.transform(F.filter(parts, lambda x: (x["type"] == "text") & (F.length(F.trim(F.coalesce(x["text"], F.lit("")))) > (20 if long else -1))), lambda x: x["text"])
     user = F.when(is_list, F.array_join(texts(False), " ")).otherwise(content)
     bot = F.when(is_list, F.trim(F.array_join(texts(True), "\n")))
@@ -324,19 +339,24 @@ def journal_turns(lines: DataFrame, line: str, max_chars: int = 4000) -> DataFra
     drop = (role == "user") & (F.contains(said, F.lit("tool_result")) | F.contains(said, F.lit("This session is being continued from a previous conversation")))
     keep = [c for c in lines.columns if c != line]
     return p.filter((F.coalesce(said, F.lit("")) != "") & ~F.coalesce(drop, F.lit(False))).select(
-        *keep, F.col("_m.timestamp").alias("ts"), F.when(role == "user", "IN").otherwise("OUT").alias("dir"), F.substring(said, 1, max_chars).alias("text"), F.substring("_m.timestamp", 1, 10).alias("day"))
+        *keep, F.col("_m.timestamp").alias("ts"), F.when(role == "user", "IN").otherwise("OUT").alias("dir"), tx.leading(said, max_chars).alias("text"), F.substring("_m.timestamp", 1, 10).alias("day"))
 
 
-def agent_day_body(turns: DataFrame, keys: Sequence[str], order: Sequence[str], max_chars: int = 24000, bucket: Column | None = None) -> DataFrame:
-    """DP15. The last ``max_chars`` characters of the joined turns of an agent's day.
+def agent_day_body(turns: DataFrame, keys: Sequence[str], order: Sequence[str], max_chars: int | None = None, line_chars: int | None = None, bucket: Column | None = None) -> DataFrame:
+    """DP15. The joined turns of an agent's day, all or the last ``max_chars`` characters; ``line_chars`` cuts each turn (as published
+    24000 and 500).
 
-    Turns are kept by their running length from the end, so the text is assembled from at most the turns that fit.
+    With a limit, turns are kept by their running length from the end, in buckets that follow the order (by default the hour of
+    ``ts``), so the text is assembled from at most the turns that fit.
     """
-    line = F.concat(F.lit("["), F.substring("ts", 12, 8), F.lit("] "), "dir", F.lit(": "), F.substring(tx.collapse_spaces(F.col("text")), 1, 500))
-    t = turns.withColumn("_line", line).withColumn("_b", bucket if bucket is not None else F.lit(0))
-    total = t.groupBy(*keys).agg(F.sum(F.length("_line") + 1).alias("_all"))
-    r = bucketed_running(t, keys, F.col("_b"), order, {"_used": F.length("_line") + 1}).join(total, list(keys))
-    # A line is needed when fewer than max_chars characters follow it.
-    tail = r.filter(F.col("_all") - F.col("_used") < max_chars)
+    line = F.concat(F.lit("["), F.substring("ts", 12, 8), F.lit("] "), "dir", F.lit(": "), tx.leading(tx.collapse_spaces(F.col("text")), line_chars))
+    t = turns.withColumn("_line", line)
+    if max_chars is not None:
+        t = t.withColumn("_b", bucket if bucket is not None else F.substring("ts", 1, 13))
+        total = t.groupBy(*keys).agg(F.sum(F.length("_line") + 1).alias("_all"))
+        r = bucketed_running(t, keys, F.col("_b"), order, {"_used": F.length("_line") + 1}).join(total, list(keys))
+        # A line is needed when fewer than max_chars characters follow it.
+        t = r.filter(F.col("_all") - F.col("_used") < max_chars)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda s: s["_line"]), "\n")
-    return tail.groupBy(*keys).agg(body.alias("_body")).select(*keys, F.right("_body", F.lit(max_chars)).alias("body"))
+    out = t.groupBy(*keys).agg(body.alias("body"))
+    return out if max_chars is None else out.withColumn("body", F.right("body", F.lit(max_chars)))

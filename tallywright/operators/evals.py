@@ -77,8 +77,10 @@ def hard_negative_summary(scored: DataFrame) -> DataFrame:
 
 def baseline_gate(current: DataFrame, baseline: DataFrame, keys: Sequence[str], tolerance: float = 0.05, enforce: bool = False) -> DataFrame:
     """EV07. Average against baseline per key; no baseline or an empty run is not a regression."""
-    c = current.groupBy(*keys).agg(F.avg("score").alias("avg"), F.count("*").alias("total"))
-    b = baseline.groupBy(*keys).agg(F.avg("score").alias("baseline_avg"), F.count("*").alias("_bt"))
+    # Scores are summed as decimals, so an average does not depend on the order of its rows.
+    mean = F.sum(F.col("score").cast("decimal(24,9)")).cast("double") / F.count("score")
+    c = current.groupBy(*keys).agg(mean.alias("avg"), F.count("*").alias("total"))
+    b = baseline.groupBy(*keys).agg(mean.alias("baseline_avg"), F.count("*").alias("_bt"))
     j = c.join(b, list(keys), "left")
     delta = F.col("avg") - F.col("baseline_avg")
     reg = F.coalesce(delta < -tolerance, F.lit(False))

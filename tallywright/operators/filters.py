@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import operator
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +73,20 @@ def deny_rule_filter(df: DataFrame, agents: Sequence[str], words: Sequence[str],
     return df.filter(~denied(F.col("agent"), [F.col(t) for t in texts], agents, words))
 
 
-def safe_path(path: Column) -> Column:
-    """A relative path without scheme, control characters, empty or dotted parts, outside the reserved roots.
+def composed(c: Column) -> Column:
+    """Whether a text is in normal form C, for which there is no built-in function."""
+    @F.pandas_udf("boolean")
+    def check(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: v is not None and (v.isascii() or unicodedata.is_normalized("NFC", v)))
+    return check(c)
+
 
-    Unicode normal form is not checked by a built-in function; combining marks are refused instead.
-    """
+def safe_path(path: Column) -> Column:
+    """A relative path in normal form C without scheme, control characters, empty or dotted parts, outside the reserved roots."""
     parts = F.split(path, "/")
     return F.coalesce(
         (F.length(path) > 0) & (F.length(path) <= 1024) & ~path.rlike(r"[\\%?#\x00-\x1f\x7f]")
-        & ~path.rlike(r"\p{M}") & ~path.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
+        & (path.rlike(r"^[\x00-\x7f]*$") | composed(path)) & ~path.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
         & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
         & ~F.lower(parts[0]).isin(*fixed.RESERVED_ROOTS), F.lit(False))
 

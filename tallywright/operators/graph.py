@@ -12,36 +12,43 @@ from tallywright.operators.windows import fork_detection
 from tallywright.session import cut_lineage
 
 
-def alias_resolve(keys: DataFrame, aliases: DataFrame, hops: int = 8) -> DataFrame:
-    """GR01. Follows the newest alias of every key for at most ``hops`` steps; a cycle stops before it closes.
+def alias_resolve(keys: DataFrame, aliases: DataFrame, hops: int | None = None) -> DataFrame:
+    """GR01. Follows the newest alias of every key to its end, or for ``hops`` steps (as published 8); a cycle stops before it closes.
 
-    ``aliases`` has (ekey, evalue, ts, id). All steps are joins of one plan.
+    ``aliases`` has (ekey, evalue, ts, id). Only keys that still move are joined again; the loop ends when none does.
     """
     a = latest_by(aliases.select("ekey", "evalue", "ts", "id"), ["ekey"], ["ts", "id"])
-    a = a.filter((F.coalesce("evalue", F.lit("")) != "") & (F.col("evalue") != F.col("ekey"))).select(F.col("ekey").alias("_from"), F.col("evalue").alias("_to"))
-    k = keys.select("key", F.col("key").alias("target"), F.array("key").alias("_seen"), F.lit(False).alias("_done"))
-    for _ in range(hops):
-        j = k.join(a, (F.col("target") == F.col("_from")) & ~F.col("_done"), "left")
-        again = F.coalesce(F.array_contains("_seen", F.col("_to")), F.lit(False))
-        k = j.select("key", F.coalesce("_to", "target").alias("target"), F.array_compact(F.array_append("_seen", F.col("_to"))).alias("_seen"),
-                     (F.col("_done") | F.col("_to").isNull() | again).alias("_done"))
-    return k.select("key", "target")
+    a = cut_lineage(a.filter((F.coalesce("evalue", F.lit("")) != "") & (F.col("evalue") != F.col("ekey"))).select(F.col("ekey").alias("target"), F.col("evalue").alias("_to")))
+    moving, done, step = keys.select("key", F.col("key").alias("target"), F.array("key").alias("_seen")), None, 0
+    while True:
+        j = moving.join(a, "target", "left") if hops is None or step < hops else moving.withColumn("_to", F.lit(None).cast("string"))
+        j = cut_lineage(j.withColumn("_end", F.col("_to").isNull() | F.coalesce(F.array_contains("_seen", F.col("_to")), F.lit(False))))
+        # A key whose alias closes a cycle is left at the key that the alias names, as every step before it.
+        ended = j.filter("_end").select("key", F.coalesce("_to", "target").alias("target"))
+        done = ended if done is None else done.unionByName(ended)
+        moving = j.filter("NOT _end").select("key", F.col("_to").alias("target"), F.array_append("_seen", F.col("_to")).alias("_seen"))
+        if moving.isEmpty():
+            return done
+        step += 1
 
 
 def walk_graph(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
-    """GR02. Undirected walk of one or two hops from every start: distinct edges with the depth at which they are met.
+    """GR02. Undirected walk of ``hops`` hops from every start: distinct edges with the depth at which they are met first.
 
-    ``edges`` has (src, relation, dst), ``starts`` has (start).
+    ``edges`` has (src, relation, dst), ``starts`` has (start). A node is expanded once for each start, when it is first met.
     """
-    hops = max(1, min(2, hops))
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "src", "relation", "dst").unionByName(
         edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "src", "relation", "dst")).distinct()
-    first = starts.distinct().join(both, F.col("start") == F.col("node")).select("start", "other", "src", "relation", "dst", F.lit(1).alias("depth"))
-    found = first
-    if hops == 2:
-        front = first.filter("other <> start").select("start", F.col("other").alias("_n")).distinct()
-        second = front.join(both, F.col("_n") == F.col("node")).select("start", "other", "src", "relation", "dst", F.lit(2).alias("depth"))
-        found = first.unionByName(second)
+    front = starts.distinct().select("start", F.col("start").alias("node"))
+    met, found = front, None
+    for depth in range(1, hops + 1):
+        step = front.join(both, "node").select("start", "other", "src", "relation", "dst", F.lit(depth).alias("depth"))
+        found = step if found is None else found.unionByName(step)
+        if depth < hops:
+            front = step.select("start", F.col("other").alias("node")).distinct().join(met, ["start", "node"], "left_anti")
+            if depth > 1:
+                front = cut_lineage(front)
+            met = met.unionByName(front)
     return found.groupBy("start", "src", "relation", "dst").agg(F.min("depth").alias("depth"))
 
 

@@ -30,7 +30,8 @@ def _scrub_steps() -> list[tuple[str, str, list[tuple[str, str]]]]:
     """(category, sign without which nothing matches, [(pattern, replacement)]) in order; a two-digit year becomes 20xx up to
     69, else 19xx."""
     def years(head: str) -> list[tuple[str, str]]:
-        return [(head + r"([0-6][0-9])\b", "20$3"), (head + r"([7-9][0-9])\b", "19$3"), (head + r"0*([1-9][0-9]{1,3})\b", "$3")]
+        plain = (r"([1-9][0-9]{2,3})\b", r"0([1-9][0-9]{1,2})\b", r"00([1-9][0-9]?)\b", r"000([0-9])\b", r"00(0)\b")
+        return [(head + r"([0-6][0-9])\b", "20$3"), (head + r"([7-9][0-9])\b", "19$3"), *((head + x, "$3") for x in plain)]
     day, sep = r"\b([0-9]{1,2})", "([0-9]{1,2})"
     return [
         ("email", "@", [(fixed.EMAIL, "[EMAIL-REDACTED]")]), ("phone", "[0-9]{3}", [(fixed.PHONE, "[PHONE-REDACTED]")]),

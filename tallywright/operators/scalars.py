@@ -98,9 +98,9 @@ def path_parts(path: Column) -> Column:
         F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
 
 
-def extract_mentions(c: Column, chars: int = 20000) -> Column:
-    """SC13. struct(url, page_id, verified_date, signed_off_by) found in the leading ``chars`` characters, as the definition says."""
-    s = F.substring(F.coalesce(c, F.lit("")), 1, chars)
+def extract_mentions(c: Column, chars: int | None = None) -> Column:
+    """SC13. struct(url, page_id, verified_date, signed_off_by) found in the text, or in its leading ``chars`` characters (as published 20000)."""
+    s = tx.leading(F.coalesce(c, F.lit("")), chars)
     url = F.regexp_replace(F.regexp_extract(s, r"https?://[^\s\")\]]+", 0), r"[.,;]+$", "")
     dashed = F.regexp_extract(c, r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", 0)
     plain = F.regexp_extract(c, tx.ascii_regex(r"\b[0-9a-f]{32}\b", True), 0)
@@ -130,8 +130,9 @@ def expand_year(y: Column, pivot: int) -> Column:
 
 
 def canonical_json_hash(doc: Column) -> Column:
-    """SC18. Hash of the JSON text with keys in order at every level; VARIANT stores object keys sorted."""
-    return F.sha2(F.to_json(F.parse_json(doc)), 256)
+    """SC18. Hash of the JSON text with keys in order at every level; VARIANT stores object keys sorted. Null where
+    the text is not JSON."""
+    return F.sha2(F.to_json(F.try_parse_json(doc)), 256)
 
 
 NOTE_LABELS = {"SUBJECT": "subject", "CLAIM": "claim", "EVIDENCE": "evidence", "CONF": "confidence", "CONFIDENCE": "confidence", "SUPERSEDES": "supersedes", "TAGS": "tags"}

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions import fixed
+from tallywright.functions import fixed, text as tx
 from tallywright.functions.ordered import top_per_key
 from tallywright.operators.joins import active_rows
 
@@ -38,10 +38,10 @@ def duplicate_or_conflict(rows: DataFrame, key: str, digest: str) -> DataFrame:
     return g.filter("n > 1").select(key, "n", F.when(F.col("_a") == F.col("_b"), "duplicate").otherwise("conflict").alias("verdict"))
 
 
-def dedupe_by_prefix(rows: DataFrame, id: str, text: str, chars: int = 80, min_chars: int = 70) -> DataFrame:
-    """SO05. First row per lower-cased text prefix, among texts of the minimum length."""
+def dedupe_by_prefix(rows: DataFrame, id: str, text: str, chars: int | None = None, min_chars: int = 70) -> DataFrame:
+    """SO05. First row per lower-cased text, or its first ``chars`` characters (as published 80), among texts of the minimum length."""
     t = F.trim(text)
-    r = rows.withColumn("_t", t).filter(F.length("_t") >= min_chars).withColumn("_k", F.lower(F.substring("_t", 1, chars)))
+    r = rows.withColumn("_t", t).filter(F.length("_t") >= min_chars).withColumn("_k", F.lower(tx.leading(F.col("_t"), chars)))
     rest = [c for c in rows.columns if c != id]
     return r.groupBy("_k").agg(F.min_by(F.struct(id, *rest), id).alias("_r")).select("_r.*")
 
@@ -61,17 +61,20 @@ def set_changed(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
         "changed", (F.col("removed") > 0) | (F.col("added") > 0))
 
 
-def capped_fact_list(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str, fact: str, cap: int = 10, chars: int = 64) -> DataFrame:
-    """SO08. New facts not seen by their prefix go in front, newest first; the list is cut at ``cap``.
+def capped_fact_list(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: str, fact: str, cap: int | None = None, chars: int | None = None) -> DataFrame:
+    """SO08. New facts not seen before go in front, newest first; ``cap`` cuts the list and ``chars`` compares only the first
+    characters (as published 10 and 64).
 
-    Every list entry is a row with its position. Facts are reduced to one per prefix before they are ranked.
+    Every list entry is a row with its position. Equal facts are reduced to one before they are ranked.
     """
-    k = F.lower(F.substring(fact, 1, chars))
+    k = F.lower(tx.leading(F.col(fact), chars))
     old = existing.withColumn("_k", k).withColumn("_age", F.lit(1))
     fresh = new.withColumn("_k", k).groupBy(*keys, "_k").agg(F.min_by(F.struct(order, fact), order).alias("_r")).select(*keys, "_k", "_r.*")
     fresh = fresh.join(old.select(*keys, "_k").distinct(), [*keys, "_k"], "left_anti").withColumn("_age", F.lit(0))
     both = fresh.select(*keys, order, fact, "_age").unionByName(old.select(*keys, order, fact, "_age"))
     # New facts in reverse order of arrival, then the existing list in its own order.
     front = F.when(F.col("_age") == 0, -F.col(order)).otherwise(F.col(order))
-    return top_per_key(both, keys, [F.asc("_age"), front], cap, "position").drop("_age")
+    if cap is not None:
+        return top_per_key(both, keys, [F.asc("_age"), front], cap, "position").drop("_age")
+    return both.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc("_age"), front))).drop("_age")
 

@@ -11,12 +11,14 @@ from tallywright.functions.ordered import bucketed_row_number, bucketed_running,
 from tallywright.operators.joins import active_rows
 
 
-def order_limit(df: DataFrame, order: Sequence[Column], top: int | None, cap: int = 1000) -> DataFrame:
-    """TK01. First rows in order; the caller's limit is bounded by ``cap``."""
-    return df.orderBy(*order).limit(max(1, min(top if top is not None else cap, cap)))
+def order_limit(df: DataFrame, order: Sequence[Column], top: int | None, cap: int | None = None) -> DataFrame:
+    """TK01. First rows in order: ``top`` of them, at least one, at most ``cap`` if the caller sets it; all without either."""
+    bounds = [x for x in (top, cap) if x is not None]
+    ordered = df.orderBy(*order)
+    return ordered.limit(max(1, min(bounds))) if bounds else ordered
 
 
-def query_terms(query: str, max_terms: int = 24) -> list[str]:
+def query_terms(query: str, max_terms: int | None = None) -> list[str]:
     """Distinct terms of at least three characters, without prompt stop words."""
     out: list[str] = []
     word = ""

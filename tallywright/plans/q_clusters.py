@@ -12,8 +12,9 @@ size AS (SELECT doc_id, len(toks) AS n FROM tok),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS s FROM inv a JOIN inv b ON a.w = b.w AND b.doc_id < a.doc_id GROUP BY 1, 2),
 pairs AS (SELECT x, y, s / (p.n + q.n - s) AS j FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y)"""
 VALS = f"vals AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, {sql_word(fixed.VALUE_TOKEN)}), lambda v: regexp_replace(v, '[,$]', '', 'g')))) AS v FROM documents)"
-NEAR = "near AS (SELECT x, arg_min(y, (-j, y)) AS y, max(j) AS j FROM pairs WHERE j >= CAST(0.8 AS DOUBLE) GROUP BY x)"
-CONTRA = "contra AS (SELECT x, min(y) AS y, arg_min(j, y) AS j FROM pairs JOIN vals a ON a.doc_id = x JOIN vals b ON b.doc_id = y WHERE j >= CAST(0.6 AS DOUBLE) AND len(a.v) > 0 AND len(b.v) > 0 AND a.v <> b.v GROUP BY x)"
+GONE = "y NOT IN (SELECT doc_id - 3 FROM documents WHERE doc_id % 4 = 0)"
+NEAR = f"near AS (SELECT x, arg_min(y, (-j, y)) AS y, max(j) AS j FROM pairs WHERE j >= CAST(0.8 AS DOUBLE) AND {GONE} GROUP BY x)"
+CONTRA = f"contra AS (SELECT x, min(y) AS y, arg_min(j, y) AS j FROM pairs JOIN vals a ON a.doc_id = x JOIN vals b ON b.doc_id = y WHERE j >= CAST(0.6 AS DOUBLE) AND len(a.v) > 0 AND len(b.v) > 0 AND a.v <> b.v AND {GONE} GROUP BY x)"
 
 
 @query("cl01_near_duplicate", f"WITH {PAIRS}, {NEAR} SELECT CAST(x AS VARCHAR) AS id, CAST(y AS VARCHAR) AS match_id, round(j, 6) AS score FROM near")
@@ -75,7 +76,7 @@ def _(t):
 
 
 TRUST_SQL = f"""{LEDGER}, a AS (SELECT ekey, agent, ts, id, CASE WHEN type = 'correction' THEN 'contradiction' ELSE 'assertion' END AS role,
-    CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS conf FROM ledger),
+    CASE WHEN event_id % 7 = 0 THEN 1.0 WHEN event_id % 3 = 0 THEN 1.0 WHEN event_id % 3 = 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS conf FROM ledger),
 one AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY ekey, role, agent ORDER BY ts DESC, id DESC) = 1),
 w AS (SELECT *, conf * pow(0.5, greatest((epoch_us({NOW_E}) - epoch_us(ts)) / 8.64e10, 0) / 30) AS w FROM one),
 g AS (SELECT ekey, count(*) FILTER (role = 'assertion') AS distinct_agents, count(*) FILTER (role <> 'assertion') AS contradicting_agents,
@@ -89,7 +90,7 @@ scored AS (SELECT ekey, corroborations, distinct_agents, contradicting_agents, r
 def scored(t: Tables, filters: str | None = None):
     """Ledger keys as claims; corrections contradict."""
     conf = cl.confidence(F.when(F.col("event_id") % 3 == 0, "high").when(F.col("event_id") % 3 == 1, "med").otherwise("low"))
-    l = t.ledger.withColumn("role", F.when(F.col("type") == "correction", "contradiction").otherwise("assertion")).withColumn("confidence", conf)
+    l = t.ledger.withColumn("role", F.when(F.col("type") == "correction", "contradiction").otherwise("assertion")).withColumn("confidence", F.when(F.col("event_id") % 7 != 0, conf))
     return cl.score_claim(l if filters is None else l.filter(filters), ["ekey"], ts(NOW_EVENTS)).withColumn("trust", F.round("trust", 6))
 
 

@@ -22,7 +22,7 @@ def _(t):
 CATEGORY_RULES = [("00_Licences", r"\blicen[cs]e\b|copyright"), ("01_Contact", r"@[a-z0-9.]+\.(com|org|net)\b|\b\d{3}-\d{4}\b"), ("02_French", r"\bque\b|\bles?\b"), ("03_German", r"\bder\b|\bund\b|ung\b")]
 
 
-@query("dp03_classify_category", r"""WITH c AS (SELECT doc_id, lower(substr(regexp_replace(path, '[/_-]', ' ', 'g') || ' ' || chr(10) || ' ' || text, 1, 8000)) AS h FROM (SELECT doc_id, text, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents)),
+@query("dp03_classify_category", r"""WITH c AS (SELECT doc_id, lower(regexp_replace(path, '[/_-]', ' ', 'g') || ' ' || chr(10) || ' ' || text) AS h FROM (SELECT doc_id, text, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents)),
 k AS (SELECT doc_id, CASE WHEN regexp_matches(h, '\blicen[cs]e\b|copyright') THEN '00_Licences' WHEN regexp_matches(h, '@[a-z0-9.]+\.(com|org|net)\b|\b\d{3}-\d{4}\b') THEN '01_Contact'
   WHEN regexp_matches(h, '\bque\b|\bles?\b') THEN '02_French' WHEN regexp_matches(h, '\bder\b|\bund\b|ung\b') THEN '03_German' WHEN regexp_matches(h, '\bthe\b') THEN '_NON-ACCOUNTING' ELSE '_INBOX-UNCLASSIFIED' END AS category FROM c)
 SELECT doc_id, category, category IN ('00_Licences', '01_Contact') AS material FROM k""")
@@ -31,10 +31,10 @@ def _(t):
 
 
 @query("dp04_rule_metadata", r"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'digest/' WHEN 1 THEN 'published/' ELSE '' END || source || '/' || doc_id || CASE WHEN doc_id % 6 = 2 THEN '.json' ELSE '.txt' END AS path,
-  CASE doc_id % 5 WHEN 0 THEN 'Attorney-Client memo ' WHEN 1 THEN 'our SSN and reg-fd ' WHEN 2 THEN 'A hearing aid ' ELSE '' END || text AS text FROM documents), h AS (SELECT *, lower(path || ' ' || substr(text, 1, 2000)) AS h, lower(path) AS p FROM d)
+  CASE doc_id % 5 WHEN 0 THEN 'Attorney-Client memo ' WHEN 1 THEN 'our SSN and reg-fd ' WHEN 2 THEN 'A hearing aid ' ELSE '' END || text AS text FROM documents), h AS (SELECT *, lower(path || ' ' || text) AS h, lower(path) AS p FROM d)
 SELECT doc_id, CASE WHEN regexp_matches(p, 'session-checkpoint|digest|_recovery/') THEN 'ai_memo' WHEN regexp_matches(p, '\.(json|csv)$') THEN 'machine_generated' ELSE 'primary_source' END AS source_type,
   CASE WHEN regexp_matches(h, 'attorney[- ]client|attorney[- ]privileged') THEN 'attorney_privileged' WHEN regexp_matches(h, '\bssn\b|social security number') THEN 'personal_pii' WHEN regexp_matches(p, '\bpublished\b|\bpublic[_-]site\b') THEN 'public' ELSE '' END AS confidentiality,
-  regexp_matches(h, '\bmnpi\b|material non-?public|reg[- ]fd|insider trading') AS mnpi_flag, regexp_matches(substr(text, 1, 20000), '(?i)\bhearing aid\b|\bfda[- ]clear(ed|ance)\b|\btreats? hearing loss\b|medical device claim') AS medical_claims FROM h""")
+  regexp_matches(h, '\bmnpi\b|material non-?public|reg[- ]fd|insider trading') AS mnpi_flag, regexp_matches(text, '(?i)\bhearing aid\b|\bfda[- ]clear(ed|ance)\b|\btreats? hearing loss\b|medical device claim') AS medical_claims FROM h""")
 def _(t):
     k = F.col("doc_id")
     path = F.concat(F.when(k % 4 == 0, "digest/").when(k % 4 == 1, "published/").otherwise(""), F.col("source"), F.lit("/"), k.cast("string"), F.when(k % 6 == 2, ".json").otherwise(".txt"))
@@ -47,7 +47,7 @@ FIELDS = [{"name": "doc_title", "kind": "scalar", "max_len": 60}, {"name": "lang
 _ASC = _ASCII.replace("translate(text,", "translate({e},")
 
 
-@query("dp05_metadata_conform", f"""WITH d AS (SELECT doc_id, {_ASC.format(e='text')} AS s, lang, string_split(text, ' ')[1:5] AS kw, toxic, quality, n_chars FROM documents LEFT JOIN labels USING (doc_id)),
+@query("dp05_metadata_conform", f"""WITH d AS (SELECT doc_id, {_ASC.format(e='text')} AS s, lang, string_split(text, ' ') AS kw, toxic, quality, n_chars FROM documents LEFT JOIN labels USING (doc_id)),
 k AS (SELECT *, list_transform(list_filter(kw, lambda x: trim(x) <> '')[1:3], lambda x: {_ASC.format(e='x')}) AS ks FROM d)
 SELECT doc_id, nullif(CASE WHEN length(s) <= 60 THEN s ELSE substr(s, 1, 57) || '...' END, '') AS doc_title, CASE WHEN lang IN ('en', 'de', 'fr') THEN upper(lang) END AS lang,
   CASE WHEN len(ks) > 0 THEN array_to_string(list_transform(ks, lambda x: CASE WHEN length(x) <= 12 THEN x ELSE substr(x, 1, 9) || '...' END), '|') END AS keywords,
@@ -55,24 +55,25 @@ SELECT doc_id, nullif(CASE WHEN length(s) <= 60 THEN s ELSE substr(s, 1, 57) ||
 def _(t):
     d = t.documents.join(t.labels, "doc_id", "left")
     k = F.col("doc_id")
-    raw = d.select("doc_id", F.col("text").alias("doc_title"), "lang", F.slice(F.split("text", " "), 1, 5).alias("keywords"), (F.col("quality") == 1).alias("signed"),
+    raw = d.select("doc_id", F.col("text").alias("doc_title"), "lang", F.split("text", " ").alias("keywords"), (F.col("quality") == 1).alias("signed"),
                    F.when(k % 3 > 0, F.col("n_chars").cast("string")).otherwise("many").alias("words"),
                    F.when(k % 2 == 0, F.concat(F.lit("2024-02-1"), (k % 10).cast("string"))).otherwise("2024-02-31").alias("doc_date"),
                    F.when(k % 7 > 0, F.col("n_chars") / 8).otherwise(float("nan")).alias("price"))
     return dp.metadata_conform(raw, FIELDS).withColumn("keywords", F.array_join("keywords", "|"))
 
 
-@query("dp06_segment_labels", """SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant') AND text <> '') AS n_all, least(count(*) FILTER (role IN ('user', 'assistant') AND text <> ''), 3) AS kept, count(*) FILTER (role IN ('user', 'assistant') AND text <> '') > 0 AS mixed FROM conversations GROUP BY conv_id""")
+@query("dp06_segment_labels", """SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant') AND text <> '') AS n_all, count(*) FILTER (role IN ('user', 'assistant') AND text <> '') AS kept, count(*) FILTER (role IN ('user', 'assistant') AND text <> '') > 0 AS mixed,
+  coalesce(string_agg(DISTINCT CASE WHEN role IN ('user', 'assistant') AND text <> '' THEN role END, ',' ORDER BY CASE WHEN role IN ('user', 'assistant') AND text <> '' THEN role END), '') AS labels FROM conversations GROUP BY conv_id""")
 def _(t):
-    seg = F.struct(F.upper("role").alias("label"), F.substring("text", 1, 300).alias("locator"), F.lit("r").alias("rationale"))
+    seg = F.struct(F.upper("role").alias("label"), F.col("text").alias("locator"), F.lit("r").alias("rationale"))
     d = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))), lambda x: x["s"]).alias("segs"),
                                                F.count_if(F.col("role").isin("user", "assistant") & (F.col("text") != "")).alias("n_all"))
-    return dp.segment_labels(d, "segs", ["user", "assistant"], 3).select("conv_id", "n_all", F.size("segments_kept").cast("long").alias("kept"), "mixed")
+    return dp.segment_labels(d, "segs", ["user", "assistant"]).select("conv_id", "n_all", F.size("segments_kept").cast("long").alias("kept"), "mixed", F.array_join(F.array_sort("labels"), ",").alias("labels"))
 
 
 @query("dp07_shrink_to_budget")
 def _(t):
-    d = t.documents.select("doc_id", F.col("text").alias("summary"), F.substring("text", 1, 900).alias("keywords"), F.col("lang").alias("doc_type"))
+    d = t.documents.select("doc_id", F.col("text").alias("summary"), F.col("text").alias("keywords"), F.col("lang").alias("doc_type"))
     return dp.shrink_to_budget(d, ["summary", "keywords", "doc_type"], 1500).select("doc_id", F.md5("summary").alias("summary_md5"), F.length("keywords").alias("kw"), "bytes", "over_budget")
 
 
@@ -151,16 +152,16 @@ _TURNS = """tr AS (SELECT conv_id, turn, '2024-01-0' || (conv_id % 9 + 1) || 'T0
   WHERE (role = 'user' AND turn <> 2 AND text <> '') OR (role = 'assistant' AND length(trim(text)) > 20))"""
 
 
-@query("dp14_journal_turns", f"WITH {_TURNS} SELECT conv_id, turn, ts, dir, md5(substr(text, 1, 4000)) AS text_md5, substr(ts, 1, 10) AS day FROM tr")
+@query("dp14_journal_turns", f"WITH {_TURNS} SELECT conv_id, turn, ts, dir, md5(text) AS text_md5, substr(ts, 1, 10) AS day FROM tr")
 def _(t):
     return dp.journal_turns(transcript(t), "line").select("conv_id", "turn", "ts", "dir", F.md5("text").alias("text_md5"), "day")
 
 
-@query("dp15_agent_day_body", f"""WITH {_TURNS}, l AS (SELECT substr(ts, 1, 10) AS day, ts, conv_id, turn, '[' || substr(ts, 12, 8) || '] ' || dir || ': ' || substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 500) AS line FROM tr)
-SELECT day, md5(right(string_agg(line, chr(10) ORDER BY ts, conv_id, turn), 3000)) AS body_md5 FROM l GROUP BY day""")
+@query("dp15_agent_day_body", f"""WITH {_TURNS}, l AS (SELECT substr(ts, 1, 10) AS day, ts, conv_id, turn, '[' || substr(ts, 12, 8) || '] ' || dir || ': ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM tr)
+SELECT day, md5(string_agg(line, chr(10) ORDER BY ts, conv_id, turn)) AS body_md5 FROM l GROUP BY day""")
 def _(t):
     turns = dp.journal_turns(transcript(t), "line")
-    return dp.agent_day_body(turns, ["day"], ["ts", "conv_id", "turn"], 3000, F.substring("ts", 12, 2)).select("day", F.md5("body").alias("body_md5"))
+    return dp.agent_day_body(turns, ["day"], ["ts", "conv_id", "turn"]).select("day", F.md5("body").alias("body_md5"))
 
 
 @query("dp16_render_sections", f"""WITH {LEDGER}, live AS (SELECT * FROM ledger l WHERE type = 'correction' OR NOT EXISTS (SELECT 1 FROM ledger x WHERE x.supersedes = l.id))

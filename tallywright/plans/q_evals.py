@@ -23,7 +23,7 @@ def _(t):
     return ev.group_hit_lines(t.conversations.select("conv_id", "turn", line.alias("line")), "conv_id", "turn", "line", 3).select("conv_id", "hit_no", "text")
 
 
-@query("ev07_baseline_gate", f"""WITH {SCORECARD_SQL}, c AS (SELECT agent, avg(score) AS a FROM run WHERE y = 1998 GROUP BY 1), b AS (SELECT agent, avg(score) + CASE WHEN agent = 'c1' THEN 0.2 ELSE 0 END AS a FROM run WHERE y = 1997 AND agent <> 'c4' GROUP BY 1)
+@query("ev07_baseline_gate", f"""WITH {SCORECARD_SQL}, c AS (SELECT agent, CAST(sum(CAST(score AS DECIMAL(24, 9))) AS DOUBLE) / count(score) AS a FROM run WHERE y = 1998 GROUP BY 1), b AS (SELECT agent, CAST(sum(CAST(score + CASE WHEN agent = 'c1' THEN 0.2 ELSE 0 END AS DECIMAL(24, 9))) AS DOUBLE) / count(score) AS a FROM run WHERE y = 1997 AND agent <> 'c4' GROUP BY 1)
 SELECT c.agent, round(c.a, 6) AS avg, round(b.a, 6) AS baseline_avg, round(c.a - b.a, 6) AS delta, b.a IS NOT NULL AS has_baseline, coalesce(c.a - b.a < -0.05, false) AS regressed, coalesce(c.a - b.a < -0.05, false) AS blocked FROM c LEFT JOIN b USING (agent)""")
 def _(t):
     base, head = scorecards(t)
@@ -323,12 +323,12 @@ def _(t):
 def covered(t: Tables):
     """Suppliers are threats, their line items the controls."""
     st = F.when(F.col("l_returnflag") == "N", "not_implemented").when(F.col("l_returnflag") == "A", "partial").when(F.col("l_linestatus") == "O", "implemented").otherwise("verified")
-    c = t.lineitem.filter("l_quantity > 47").select(F.col("l_suppkey").alias("threat"), st.alias("status"), (F.col("l_linenumber") % 5).cast("double").alias("effectiveness"),
+    c = t.lineitem.select(F.col("l_suppkey").alias("threat"), st.alias("status"), (F.col("l_linenumber") % 5).cast("double").alias("effectiveness"),
                                                     F.col("l_linestatus").alias("layer"), (F.col("l_partkey") % 3).alias("kind"), (F.col("l_tax") < 0.05).alias("test_passed"))
     return ev.control_coverage(t.supplier.select(F.col("s_suppkey").alias("threat"), F.abs("s_acctbal").alias("risk")), c)
 
 
-_COV = """WITH c AS (SELECT l_suppkey AS threat, CASE WHEN l_returnflag = 'N' THEN 0 WHEN l_returnflag = 'A' THEN 0.5 WHEN l_linestatus = 'O' THEN 0.8 ELSE 1 END * (l_linenumber % 5) AS s, l_returnflag <> 'N' AS live, l_linestatus AS layer, l_partkey % 3 AS kind, l_tax < 0.05 AS ok FROM lineitem WHERE l_quantity > 47),
+_COV = """WITH c AS (SELECT l_suppkey AS threat, CASE WHEN l_returnflag = 'N' THEN 0 WHEN l_returnflag = 'A' THEN 0.5 WHEN l_linestatus = 'O' THEN 0.8 ELSE 1 END * (l_linenumber % 5) AS s, l_returnflag <> 'N' AS live, l_linestatus AS layer, l_partkey % 3 AS kind, l_tax < 0.05 AS ok FROM lineitem),
 g AS (SELECT threat, sum(s) AS s, count(*) AS n, count(DISTINCT CASE WHEN live THEN layer END) AS layers, count(DISTINCT CASE WHEN live THEN kind END) AS kinds, avg(CASE WHEN ok THEN 1 ELSE 0 END) AS p FROM c GROUP BY 1),
 j AS (SELECT s_suppkey AS threat, abs(s_acctbal) AS risk, coalesce(s / (n * 4) * 100, 0)::DOUBLE AS coverage, coalesce(n, 0) AS controls, coalesce(layers, 0) AS layers, coalesce(kinds, 0) AS kinds, p FROM supplier LEFT JOIN g ON threat = s_suppkey),
 k AS (SELECT *, concat_ws(',', CASE WHEN coverage < 50 THEN 'insufficient_coverage' END, CASE WHEN layers < 2 THEN 'no_depth' END, CASE WHEN kinds < 2 THEN 'no_diversity' END) AS gaps FROM j)"""

@@ -1,12 +1,12 @@
-"""Queries over aliases, chains, walks and cycles, and the seeded tables."""
+"""Queries over aliases, chains, walks and cycles."""
 from pyspark.sql import functions as F
 
-from tallywright.operators import graph as gr, privacy as pr, synthetic as syn
+from tallywright.operators import graph as gr
 from tallywright.plans.registry import query
 from tallywright.plans.tables import LEDGER, Tables
 
 
-@query("gr01_alias_resolve", """WITH RECURSIVE w(key, cur, i) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT key, cur // 2, i + 1 FROM w WHERE i < 8 AND cur % 2 = 1)
+@query("gr01_alias_resolve", """WITH RECURSIVE w(key, cur, i) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT key, cur // 2, i + 1 FROM w WHERE cur % 2 = 1)
 SELECT CAST(key AS VARCHAR) AS key, CAST(min(cur) AS VARCHAR) AS target FROM w GROUP BY key""")
 def _(t):
     k = t.part.select(F.col("p_partkey").cast("string").alias("key"))
@@ -15,19 +15,20 @@ def _(t):
 
 
 def edges(t: Tables):
-    sp = t.lineitem.filter("l_quantity > 45").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.lit("supplied_by").alias("relation"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    sn = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("src"), F.lit("seated_in").alias("relation"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("dst"))
+    sp = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.lit("supplied_by").alias("relation"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     nr = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.lit("in").alias("relation"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
-    return sp.unionByName(nr).distinct()
+    return sp.unionByName(nr).unionByName(sn).distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 'supplied_by' AS relation, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity > 45 UNION SELECT 'n' || n_nationkey, 'in', 'r' || n_regionkey FROM nation)"
+_EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 'supplied_by' AS relation, 's' || l_suppkey AS dst FROM lineitem UNION SELECT 'n' || n_nationkey, 'in', 'r' || n_regionkey FROM nation UNION SELECT 's' || s_suppkey, 'seated_in', 'n' || s_nationkey FROM supplier)"
 
 
-@query("gr02_walk_graph", f"""WITH {_EDGES}, st AS (SELECT 'r' || r_regionkey AS start FROM region UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 9500), b AS (SELECT src AS node, dst AS other, * FROM e UNION ALL SELECT dst, src, * FROM e),
+@query("gr02_walk_graph", f"""WITH {_EDGES}, st AS (SELECT 'r' || r_regionkey AS start FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation), b AS (SELECT src AS node, dst AS other, * FROM e UNION ALL SELECT dst, src, * FROM e),
 f AS (SELECT start, other, src, relation, dst, 1 AS depth FROM st JOIN b ON start = node), g AS (SELECT DISTINCT start, other AS node FROM f),
 a AS (SELECT start, src, relation, dst, depth FROM f UNION ALL SELECT g.start, src, relation, dst, 2 FROM g JOIN b USING (node)) SELECT start, src, relation, dst, min(depth) AS depth FROM a GROUP BY ALL""")
 def _(t):
-    starts = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start")).unionByName(t.supplier.filter("s_acctbal > 9500").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start")))
+    starts = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start")).unionByName(t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("start")))
     return gr.walk_graph(edges(t), starts)
 
 
@@ -50,13 +51,13 @@ def _(t):
     return gr.supersede_chain(rows, heads)
 
 
-@query("gr05_cycle_check", """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND o_totalprice > 480000),
+@query("gr05_cycle_check", """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
 f AS (SELECT src, dst FROM e UNION SELECT n_nationkey + 100, n_nationkey FROM nation UNION SELECT n_nationkey + 200, n_nationkey + 100 FROM nation),
 reach(src, dst) AS (SELECT src, dst FROM f UNION SELECT r.src, f.dst FROM reach r JOIN f ON r.dst = f.src), c AS (SELECT src AS n FROM reach WHERE src = dst),
 after AS (SELECT n FROM c UNION SELECT dst FROM reach WHERE src IN (SELECT n FROM c)), before AS (SELECT n FROM c UNION SELECT src FROM reach WHERE dst IN (SELECT n FROM c))
 SELECT src, dst, src = dst AS self_edge FROM f WHERE src IN (SELECT n FROM after) AND dst IN (SELECT n FROM before)""")
 def _(t):
-    e = t.customer.join(t.orders.filter("o_totalprice > 480000"), F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem.filter("l_quantity = 50"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+    e = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(
         t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
     n = t.nation
     return gr.cycle_check(e.union(n.select(F.col("n_nationkey") + 100, "n_nationkey")).union(n.select(F.col("n_nationkey") + 200, F.col("n_nationkey") + 100)))
@@ -67,15 +68,3 @@ SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN re
   || list_filter(regexp_extract_all(h, '\b[a-z][a-z0-9]*(?:-[a-z0-9]+){1,5}\b'), lambda x: regexp_matches(x, '-(key|secret|token|id|url|endpoint|sa|p8|dsn)$')))), ',') AS keys FROM d""")
 def _(t):
     return t.documents.select("doc_id", F.array_join(gr.entity_keys(F.concat("text", F.lit(" see app-signing-key and x-token; not-a-thing")), ["que la", "license", "in the"]), ",").alias("keys"))
-
-
-@query("gn01_seeded_table")
-def _(t):
-    return syn.seeded_orders(t.customer.select("c_custkey"), "c_custkey", "seed-1").select(
-        "c_custkey", F.col("customer.name").alias("name"), F.col("shipping_address.state").alias("state"), "financial_status", F.size("line_items").alias("lines"), "subtotal", "tax", "total")
-
-
-@query("gn01_seeded_patients_deidentified")
-def _(t):
-    p = syn.seeded_patients(t.customer.select(F.col("c_custkey").alias("row_no")), "row_no", "seed-1")
-    return pr.deidentify_record(p, 2024, keep=["row_no"]).select("row_no", "patient_name", "dob", "age", "mrn", "sex", F.array_join("categories", ",").alias("categories"))

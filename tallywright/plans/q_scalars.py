@@ -98,7 +98,7 @@ def _(t):
 
 
 @query("sc13_extract_mentions", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'See https://x.example/' || doc_id || '. Last verified as of: 2024-05-0' || (doc_id % 10) || ' Approved by Ann Lee ' || md5(text) || ' ' ELSE '' END || text AS text FROM documents),
-e AS (SELECT doc_id, substr(text, 1, 20000) AS s, text FROM d)
+e AS (SELECT doc_id, text AS s, text FROM d)
 SELECT doc_id, regexp_replace(regexp_extract(s, 'https?://[^\s")\]]+'), '[.,;]+$', '') AS url, regexp_extract(text, '(?i)\b[0-9a-f]{32}\b') AS page_id,
   CASE WHEN doc_id % 3 = 0 AND doc_id % 10 > 0 THEN '2024-05-0' || (doc_id % 10) || 'T00:00:00.000Z' ELSE '' END AS verified_date,
   regexp_extract(s, '(?:signed off by|approved by|reviewed by)[:\s]+([A-Z][a-zA-Z.''-]+(?:\s+[A-Z][a-zA-Z.''-]+){0,2})', 1) AS signed_off_by FROM e""")

@@ -2,10 +2,9 @@
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed, text as tx
-from tallywright.functions.ordered import top_per_key
 from tallywright.operators import evals as ev, search as vs
 from tallywright.plans.registry import query
-from tallywright.plans.tables import DOC_LEDGER, Tables
+from tallywright.plans.tables import Tables
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 
@@ -18,7 +17,7 @@ def bm25_sql(fields: str, scope: str = "") -> str:
     """BM25 in the oracle's dialect; ``fields`` is a UNION of (scope, id, field, boost, toks)."""
     s = f"{scope}, " if scope else ""
     using = f"({s}field)"
-    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({sql_list('text')}[1:8]) AS token FROM benchmark),
+    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({sql_list('text')}) AS token FROM benchmark),
 ft AS ({fields}), st AS (SELECT {s}field, count(*) AS n_docs, avg(len(toks)) AS avg_len FROM ft GROUP BY ALL),
 tf AS (SELECT {s}id, field, boost, len(toks) AS dl, unnest(toks) AS token FROM ft), tc AS (SELECT {s}id, field, boost, dl, token, count(*) AS tf FROM tf WHERE token IN (SELECT token FROM qt) GROUP BY ALL),
 dc AS (SELECT {s}field, token, count(*) AS df FROM tc GROUP BY ALL),
@@ -36,7 +35,7 @@ kn AS (SELECT query_id, vec_id AS id, list_cosine_similarity(list_transform(embe
 
 
 def queries_df(t: Tables):
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.slice(tx.token_list(F.col("text")), 1, 8).alias("terms"))
+    return t.benchmark.select(F.col("item_id").alias("query_id"), tx.token_list(F.col("text")).alias("terms"))
 
 
 def docs_df(t: Tables):
@@ -68,11 +67,12 @@ def _(t):
 
 
 @query("vs03_rrf_fusion", f"""WITH {CENT}, a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM kn QUALIFY rank <= 20),
-b AS (SELECT label AS query_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings QUALIFY rank <= 20)
+q AS (SELECT query_id, vec_id AS id, list_cosine_similarity(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) * 127) / 127), v) AS score FROM embeddings, cent),
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM q QUALIFY rank <= 20)
 SELECT query_id, id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
 def _(t):
     a = vs.knn_search(centroids(t), vectors_df(t), 20)
-    b = top_per_key(vectors_df(t).select(F.col("label").alias("query_id"), "id"), ["query_id"], [F.asc("id")], 20)
+    b = vs.knn_search(centroids(t), vectors_df(t).withColumn("vector", vs.quantize(F.col("vector"))), 20)
     return vs.rrf_fusion([a, b]).withColumn("score", F.round("score", 9))
 
 
@@ -90,13 +90,16 @@ def _(t):
     return vs.hybrid_search(queries_df(t), docs_df(t), {"text": 1.0}, vectors_df(t), qv, 10).withColumn("score", F.round("score", 9))
 
 
-@query("vs05_collapse_parents", """WITH h AS (SELECT role AS query_id, conv_id AS parent_id, conv_id || '-' || turn AS id, turn, CAST(length(text) % 97 AS DOUBLE) AS score FROM conversations),
+_TURNS = f"SELECT conv_id || '-' || turn AS id, 'text' AS field, 1.0 AS boost, {sql_list('text')} AS toks FROM conversations"
+
+
+@query("vs05_collapse_parents", f"""WITH {bm25_sql(_TURNS)}, {BM_TOP.format(k=50)}, h AS (SELECT query_id, id, round(score, 9) AS score, CAST(string_split(id, '-')[1] AS BIGINT) AS parent_id, CAST(string_split(id, '-')[2] AS BIGINT) AS turn FROM hits),
 b AS (SELECT query_id, parent_id, arg_max(id, (score, -turn)) AS id, max(score) AS score FROM h GROUP BY ALL)
-SELECT query_id, parent_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 15""")
+SELECT query_id, parent_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 15""")
 def _(t):
-    h = t.conversations.select(F.col("role").alias("query_id"), F.col("conv_id").alias("parent_id"), F.col("turn").alias("ordinal"),
-                               F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), (F.length("text") % 97).cast("double").alias("score"))
-    return vs.collapse_parents(h, 15)
+    turns = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("conv_id").cast("long").alias("parent_id"), F.col("turn").alias("ordinal"), "text")
+    h = vs.bm25_search(queries_df(t), turns, {"text": 1.0}, 50).join(turns.drop("text"), "id").withColumn("score", F.round("score", 9))
+    return vs.collapse_parents(h, 15).withColumn("score", F.round("score", 6))
 
 
 _FED = f"WITH {bm25_sql(_BY_LANG, 'room')}, rh AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id, room ORDER BY round(score, 9) DESC, id) <= 10)"
@@ -124,18 +127,19 @@ def _(t):
     return vs.quantization_parity(v, v.withColumn("vector", vs.quantize(F.col("vector"))), centroids(t), 10, other=["label"])
 
 
-@query("vs08_find_thin_pack", f"""WITH {DOC_LEDGER}, loc AS (SELECT * FROM doc_ledger WHERE contains(lower(text), 'license') AND agent = 'src7' ORDER BY ts DESC LIMIT 2),
-sem AS (SELECT id, text, CAST(length(text) % 101 AS DOUBLE) AS score FROM doc_ledger WHERE doc_id % 9 <> 0)
-SELECT id, score FROM sem WHERE trim(text) <> '' AND lower(substr(text, 1, 40)) NOT IN (SELECT lower(substr(text, 1, 40)) FROM loc) ORDER BY score DESC, id LIMIT 3""")
+@query("vs08_find_thin_pack", f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=50)}, loc AS (SELECT text FROM documents WHERE contains(lower(text), (SELECT lower(text) FROM benchmark WHERE item_id = 0))),
+sem AS (SELECT h.id, d.text, round(h.score, 9) AS score FROM hits h JOIN documents d ON d.doc_id = h.id WHERE query_id = 0 AND h.id % 9 <> 0)
+SELECT id, round(score, 6) AS score FROM sem WHERE trim(text) <> '' AND lower(text) NOT IN (SELECT lower(text) FROM loc) AND (SELECT count(*) FROM loc) < 3 ORDER BY round(score, 9) DESC, id LIMIT 3""")
 def _(t):
-    d = t.doc_ledger
-    local = d.filter(F.contains(F.lower("text"), F.lit("license")) & (F.col("agent") == "src7")).orderBy(F.desc("ts")).limit(2)
-    sem = d.select("id", "text", (F.length("text") % 101).cast("double").alias("score"), (F.col("doc_id") % 9 == 0).alias("retracted"))
-    return vs.thin_pack_fill(local, sem).select("id", "score")
+    first = t.benchmark.filter("item_id = 0").select(F.lower("text").alias("wanted"))
+    d = t.documents.select(F.col("doc_id").alias("id"), "text")
+    local = d.join(first, F.contains(F.lower("text"), F.col("wanted")), "left_semi")
+    sem = vs.bm25_search(queries_df(t).filter("query_id = 0"), docs_df(t), {"text": 1.0}, 50).join(d, "id").select("id", "text", F.round("score", 9).alias("score"), (F.col("id") % 9 == 0).alias("retracted"))
+    return vs.thin_pack_fill(local, sem).select("id", F.round("score", 6).alias("score"))
 
 
-# Evaluation of the keyword list: a document is relevant when it contains characters 1 to 40 of the benchmark text.
-_EV = f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=10)}, marked AS (SELECT h.query_id, h.id, h.rank, contains(lower(d.text), lower(substr(b.text, 1, 40))) AS relevant
+# Evaluation of the keyword list: a document is relevant when it contains the benchmark text.
+_EV = f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=10)}, marked AS (SELECT h.query_id, h.id, h.rank, contains(lower(d.text), lower(b.text)) AS relevant
   FROM hits h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id),
 met AS (SELECT b.item_id AS query_id, coalesce(count(*) FILTER (rank <= 5 AND relevant) / nullif(count(*) FILTER (rank <= 5), 0), 0) AS precision,
   max(CASE WHEN rank <= 5 AND relevant THEN 1 ELSE 0 END) AS hit, coalesce(1 / min(CASE WHEN relevant THEN rank END), 0) AS rr FROM benchmark b LEFT JOIN marked m ON m.query_id = b.item_id GROUP BY 1)"""
@@ -143,7 +147,7 @@ met AS (SELECT b.item_id AS query_id, coalesce(count(*) FILTER (rank <= 5 AND re
 
 def marked(t: Tables):
     h = hits_df(t).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
-    expect = t.benchmark.select(F.col("item_id").alias("query_id"), F.array(F.substring("text", 1, 40)).alias("expect"))
+    expect = t.benchmark.select(F.col("item_id").alias("query_id"), F.array(F.col("text")).alias("expect"))
     return ev.relevance_match(h, expect)
 
 
@@ -177,8 +181,8 @@ def _(t):
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean_precision", "hit_rate", "mrr")])
 
 
-_HN = f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=10)}, c AS (SELECT h.query_id, max(CASE WHEN contains(lower(d.text), lower(substr(b.text, 1, 40))) THEN 1 ELSE 0 END) AS n,
-  max(CASE WHEN contains(lower(d.text), lower(substr(o.text, 1, 40))) THEN 1 ELSE 0 END) AS l FROM hits h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id
+_HN = f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=10)}, c AS (SELECT h.query_id, max(CASE WHEN contains(lower(d.text), lower(b.text)) THEN 1 ELSE 0 END) AS n,
+  max(CASE WHEN contains(lower(d.text), lower(o.text)) THEN 1 ELSE 0 END) AS l FROM hits h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id
   JOIN benchmark o ON o.item_id = (h.query_id + 1) % (SELECT count(*) FROM benchmark) WHERE rank <= 5 GROUP BY 1),
 s AS (SELECT b.item_id AS query_id, coalesce(n, 0) AS new_hit, coalesce(l, 0) AS old_leak, CASE WHEN n = 1 AND l = 0 THEN 1 ELSE 0 END AS passed FROM benchmark b LEFT JOIN c ON c.query_id = b.item_id)"""
 
@@ -187,8 +191,8 @@ def hard_negatives(t: Tables):
     h = hits_df(t).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
     b = t.benchmark
     n = b.agg(F.count("*").alias("c")).scalar()
-    new = b.select(F.col("item_id").alias("query_id"), F.array(F.substring("text", 1, 40)).alias("expect_new")).withColumn("_n", n).withColumn("_o", (F.col("query_id") + 1) % F.col("_n"))
-    old = b.select(F.col("item_id").alias("_o"), F.array(F.substring("text", 1, 40)).alias("expect_old"))
+    new = b.select(F.col("item_id").alias("query_id"), F.array(F.col("text")).alias("expect_new")).withColumn("_n", n).withColumn("_o", (F.col("query_id") + 1) % F.col("_n"))
+    old = b.select(F.col("item_id").alias("_o"), F.array(F.col("text")).alias("expect_old"))
     return ev.hard_negative_score(h, new.join(old, "_o").select("query_id", "expect_new", "expect_old"), 5)
 
 

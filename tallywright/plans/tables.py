@@ -54,7 +54,7 @@ class Tables:
             F.col("doc_id").cast("string").alias("id"), "doc_id",
             (ts("2024-01-01 00:00:00") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("ts"),
             F.col("source").alias("agent"), F.lit("fact").alias("type"), "text",
-            F.lit(None).cast("string").alias("supersedes"))
+            F.when(F.col("doc_id") % 4 == 0, (F.col("doc_id") - 3).cast("string")).alias("supersedes"))
 
     @cached_property
     def catalog(self) -> DataFrame:
