@@ -154,10 +154,10 @@ def leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "
     shards = -(-int(size) // ITEM_BYTES)
     out = None
     for shard in range(shards):
-        part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).toPandas()
+        part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).toArrow()
         # The index of at most about ITEM_BYTES of texts goes to every task; other items come in other rounds.
-        index = df.sparkSession.sparkContext.broadcast(Index(list(range(len(part))), part["text"].tolist(), threshold))
-        names = pa.array(part["item_id"], from_pandas=True)
+        index = df.sparkSession.sparkContext.broadcast(Index(list(range(part.num_rows)), part["text"].to_pylist(), threshold))
+        names = part["item_id"].combine_chunks()
 
         def search(parts: Iterator[pa.RecordBatch], index=index, names=names) -> Iterator[pa.RecordBatch]:
             for p in parts:
