@@ -24,13 +24,16 @@ def block_pairs(members: DataFrame, group: str, member: str, weight: str, most:
     return pairs.select("*", F.least("_b", "_x").alias("p"), F.greatest("_b", "_x").alias("q"), (F.col("_b") > F.col("_x")).alias("second")).drop("_b", "_x", "_n", "_m")
 
 
-def in_groups(rows: DataFrame, keys: list[str], work: Callable[[dict[str, list]], list[tuple]], schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
-    """``work`` on the columns of each group of ``keys``; groups must be bounded. Streams through sorted partitions."""
+def in_groups(rows: DataFrame, keys: list[str], work: Callable[[dict[str, list]], list[tuple]], schema: str, names: list[str], types: list[pa.DataType], together: int = 1) -> DataFrame:
+    """``work`` on the columns of each group of ``keys``; groups must be bounded. Streams through sorted partitions.
+
+    ``together``: small groups are handed over several at once, until they have so many rows; ``_group`` numbers them.
+    """
     columns = rows.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in columns}
-        current, out = None, []
+        held: dict[str, list] = {c: [] for c in [*columns, "_group"]}
+        current, out, group = None, [], 0
 
         def emit():
             cols = list(zip(*out))
@@ -45,14 +48,17 @@ def in_groups(rows: DataFrame, keys: list[str], work: Callable[[dict[str, list]]
                 while b < len(tags) and tags[b] == tags[a]:
                     b += 1
                 if tags[a] != current and current is not None:
-                    out.extend(work(held))
-                    held = {c: [] for c in columns}
-                    if len(out) > 20_000:
-                        yield emit()
-                        out = []
+                    group += 1
+                    if len(held["_group"]) >= together:
+                        out.extend(work(held))
+                        held = {c: [] for c in [*columns, "_group"]}
+                        if len(out) > 20_000:
+                            yield emit()
+                            out = []
                 current = tags[a]
                 for c in columns:
                     held[c].extend(data[c][a:b])
+                held["_group"].extend([group] * (b - a))
                 a = b
         if current is not None:
             out.extend(work(held))

@@ -4,6 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,24 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
+FILTER_BITS = 1 << 27
+
+
+class HashFilter:
+    """A Bloom filter of one function over 64-bit hashes, 16 MB whatever the number of rows.
+
+    It saves shuffling rows that a join would drop anyway. Where it is full it lets all pass, and the join decides as before.
+    """
+
+    def __init__(self, rows: DataFrame, column: str):
+        bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+        word, place = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int")
+        # One row for each word of the filter at most.
+        got = rows.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("b")).groupBy("word").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(FILTER_BITS >> 6, np.uint64)
+        words[got["word"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+        self.words = rows.sparkSession.sparkContext.broadcast(words)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+        return (self.words.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.blocks import block_pairs, in_groups, spanning
-from tallywright.llm.common import only, saved
+from tallywright.llm.common import HashFilter, only, saved
 from tallywright.llm.components import components
 from tallywright.llm.transducer import batches
 from tallywright.llm.words import mix, prefix_hashes, slices_hash
@@ -140,46 +140,57 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
                 long = np.flatnonzero(x.end - x.start >= least)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(x.owner[long] + a)), pa.array(x.number[long].astype(np.int32)), pa.array(x.hash[long].view(np.int64))], ["doc_id", "number", "line"])
 
-    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            for a, b in batches(texts):
-                x = Lines(texts[a:b])
-                _, own = np.unique(x.hash, return_index=True)
-                own = own[x.end[own] - x.start[own] >= least]
-                for at, key, indexed in keys_of(x.sums, x.down, x.start[own], x.end[own], edits):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[own][at].view(np.int64)), pa.array(np.full(len(at), indexed))], ["key", "line", "indexed"])
-
-    def contents(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = part.column("text").to_pylist()
-            for a, b in batches(texts):
-                x = Lines(texts[a:b])
-                _, own = np.unique(x.hash, return_index=True)
-                own = own[x.end[own] - x.start[own] >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(x.hash[own].view(np.int64)), pa.array([x.joined[s:e] for s, e in zip(x.start[own], x.end[own])], pa.string())], ["line", "content"])
+    def keys(known: HashFilter | None = None):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                texts = part.column("text").to_pylist()
+                for a, b in batches(texts):
+                    x = Lines(texts[a:b])
+                    own = long_lines(x)
+                    for at, key, indexed in keys_of(x.sums, x.down, x.start[own], x.end[own], edits):
+                        if known is not None:
+                            some = known.holds(key)
+                            at, key = at[some], key[some]
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[own][at].view(np.int64)), pa.array(np.full(len(at), indexed))], ["key", "line", "indexed"])
+        return run
+
+    def long_lines(x: Lines) -> np.ndarray:
+        """One place of each line that is long enough."""
+        _, own = np.unique(x.hash, return_index=True)
+        return own[x.end[own] - x.start[own] >= least]
+
+    def contents(known: HashFilter):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                texts = part.column("text").to_pylist()
+                for a, b in batches(texts):
+                    x = Lines(texts[a:b])
+                    own = long_lines(x)
+                    own = own[known.holds(x.hash[own])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[own].view(np.int64)), pa.array([x.joined[s:e] for s, e in zip(x.start[own], x.end[own])], pa.string())], ["line", "content"])
+        return run
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     places = rows.mapInArrow(occurrences, f"doc_id {kind}, number int, line long")
-    met = rows.mapInArrow(keys, "key long, line long, indexed boolean")
+    met = "key long, line long, indexed boolean"
     # A key leads to the least line indexed under it; all other lines that meet there hang on that one.
-    heads = met.groupBy("key").agg(F.min(F.when(F.col("indexed"), F.col("line"))).alias("head"), F.min("line").alias("low"), F.max("line").alias("high")).filter("head IS NOT NULL AND low <> high").select("key", "head")
-    edges = met.select("key", "line").join(heads, "key").filter("line <> head").select("line", "head").distinct()
+    heads = rows.mapInArrow(keys(), met).groupBy("key").agg(F.min(F.when(F.col("indexed"), F.col("line"))).alias("head"), F.min("line").alias("low"), F.max("line").alias("high")).filter("head IS NOT NULL AND low <> high")
+    heads = saved(heads.select("key", "head"), "heads")
+    edges = rows.mapInArrow(keys(HashFilter(heads, "key")), met).select("key", "line").join(heads, "key").filter("line <> head").select("line", "head").distinct()
     near = components(edges, "line", "head")
-    texts = rows.mapInArrow(contents, "line long, content string").join(near, F.col("line") == F.col("id")).groupBy("id", "component").agg(F.min("content").alias("content"))
+    texts = rows.mapInArrow(contents(HashFilter(near, "id")), "line long, content string").join(near, F.col("line") == F.col("id")).groupBy("id", "component").agg(F.min("content").alias("content"))
     texts = saved(texts, "lines").withColumn("bytes", F.octet_length("content") + LINE_COST)
     pairs = block_pairs(texts, "component", "id", "bytes", BLOCK_BYTES).drop("bytes")
 
     def compare(held: dict[str, list]) -> list[tuple]:
         ids, second, lines = np.array(held["id"], np.int64), np.array(held["second"], bool), held["content"]
-        x, y = met_in_block(lines, edits)
-        if held["p"][0] != held["q"][0]:
-            apart = second[x] != second[y]
-            x, y = x[apart], y[apart]
+        x, y = met_in_block(lines, edits, np.array(held["_group"], np.uint64))
+        apart = (np.array(held["p"]) == np.array(held["q"]))[x] | (second[x] != second[y])
+        x, y = x[apart], y[apart]
         ok = within([lines[k] for k in x], [lines[k] for k in y], edits)
         return spanning(ids, x[ok], y[ok])
 
-    links = saved(in_groups(pairs, ["component", "p", "q"], compare, "line long, root long", ["line", "root"], [pa.int64()] * 2), "links")
+    links = saved(in_groups(pairs, ["component", "p", "q"], compare, "line long, root long", ["line", "root"], [pa.int64()] * 2, together=2000), "links")
     groups = components(links, "line", "root").select(F.col("id").alias("line"), F.col("component").alias("group"))
     firsts = places.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("n"))
     grouped = saved(firsts.join(groups, "line", "left").filter("n > 1 OR group IS NOT NULL").select("line", "first", F.coalesce("group", "line").alias("group")), "firsts")
@@ -188,12 +199,12 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     return places.join(decided, "line").filter((F.col("stays.doc_id") != F.col("doc_id")) | (F.col("stays.number") != F.col("number"))).select("doc_id", "number", "group").distinct()
 
 
-def met_in_block(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places whose lines share a key, one of them as an indexed line."""
+def met_in_block(lines: list[str], edits: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, of one group if groups are given, whose lines share a key, one of them as an indexed line."""
     x = Lines(["\n".join(lines)])
     key, line, indexed = [], [], []
     for at, k, i in keys_of(x.sums, x.down, x.start, x.end, edits):
-        key.append(k)
+        key.append(k if group is None else mix(k + mix(group[at])))
         line.append(at)
         indexed.append(np.full(len(at), i))
     key, line, indexed = np.concatenate(key), np.concatenate(line), np.concatenate(indexed)
@@ -219,7 +230,7 @@ def met_in_block(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
 def line_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """One row per doc_id: n_lines (of its longest row), n_dropped, dropped (their numbers in order). Null texts have no lines."""
     rows = only(df, doc_id=doc_id, text=text).filter("doc_id IS NOT NULL")
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     gone = repeated_lines(df, doc_id, text, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list("number")).alias("dropped"))
     n = rows.groupBy("doc_id").agg(F.max(count).alias("n_lines"))
     return n.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
