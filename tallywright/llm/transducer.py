@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+from tokenizers.pre_tokenizers import ByteLevel
 
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE, ONE, RV, LL, EE, END = range(11)
 N_CLASSES = 11
@@ -44,6 +45,13 @@ def char_classes() -> np.ndarray:
                 x, y = max(a, lo), min(b, hi)
                 if x < y:
                     table[x + shift:y + shift] = cls
+    # Where two versions of Unicode disagree, the tokenizers library has the word.
+    split = ByteLevel(add_prefix_space=False, use_regex=True)
+    joins = lambda pair: len(split.pre_tokenize_str(pair)) == 1
+    by_group = {"L": LETTER, "N": NUMBER}
+    for c in map(ord, text):
+        if table[c] != BLANK and table[c] != by_group.get(unicodedata.category(chr(c))[0], OTHER):
+            table[c] = LETTER if joins("b" + chr(c)) else NUMBER if joins("1" + chr(c)) else OTHER
     for chars, cls in ((" ", SPACE), ("'", QUOTE), ("stmd", ONE), ("rv", RV), ("l", LL), ("e", EE)):
         table[[ord(c) for c in chars]] = cls
     return table
