@@ -126,7 +126,8 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
         head = pending
         if share < 1.0:
             # The earliest part of the order, found by an approximate quantile of the first order column.
-            o = F.unix_micros(F.col(f"pos.{order[0]}").cast("timestamp"))
+            # Nulls come first in that order.
+            o = F.coalesce(F.unix_micros(F.col(f"pos.{order[0]}").cast("timestamp")), F.lit(-(1 << 62)))
             cut = pending.agg(F.percentile_approx(o, share, 10000).alias("c")).first()["c"]
             head = pending.filter(o <= cut)
         new, similar = _greedy_leaders(head, threshold, scope)

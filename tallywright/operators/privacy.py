@@ -131,19 +131,19 @@ def over_89(schema: T.StructType, year: int, at: Column | None = None) -> Column
     return flag
 
 
-def _leaf(key: str, kind: T.DataType, v: Column, old: Column, zips: Sequence[str]) -> tuple[Column | None, Column]:
-    """(masked value or None when the key is dropped, array of categories found)."""
+def _leaf(key: str, kind: T.DataType, v: Column, old: Column, zips: Sequence[str]) -> tuple[Column | None, Column, Column]:
+    """(masked value or None when the key is dropped from every record, categories found, the key if its value is dropped here)."""
     s = v.cast("string")
     found = lambda cat: F.when(v.isNotNull(), F.array(F.lit(cat))).otherwise(F.array().cast("array<string>"))
     nothing = F.array().cast("array<string>")
     for keys, cat, mask in KEY_CLASSES:
         if key in keys:
-            return F.when(v.isNotNull(), F.lit(mask)), found(cat)
+            return F.when(v.isNotNull(), F.lit(mask)), found(cat), nothing
     if key in ZIP_KEYS:
-        return F.when(v.isNotNull(), zip3(v, zips)), found("geo_zip")
+        return F.when(v.isNotNull(), zip3(v, zips)), found("geo_zip"), nothing
     if key in AGE_KEYS:
         high = F.coalesce(s.try_cast("double") > 89, F.lit(False))
-        return F.when(high, "90+").otherwise(s), F.when(high, F.array(F.lit("age_over_89"))).otherwise(nothing)
+        return F.when(high, "90+").otherwise(s), F.when(high, F.array(F.lit("age_over_89"))).otherwise(nothing), nothing
     if key in DATE_KEYS or key.endswith("date") or key.endswith("_at"):
         y = F.regexp_extract(s, r"([0-9]{4})", 1)
         out = F.when(y != "", y).otherwise("REDACTED-DATE")
@@ -151,13 +151,13 @@ def _leaf(key: str, kind: T.DataType, v: Column, old: Column, zips: Sequence[str
         if key in DOB_KEYS:
             out = F.when(old, "REDACTED-90+").otherwise(out)
             cats = F.when(old & v.isNotNull(), F.array(F.lit("dates_full"), F.lit("dob_year_over_89_suppressed"))).otherwise(cats)
-        return F.when(v.isNotNull(), out), cats
+        return F.when(v.isNotNull(), out), cats, nothing
     if re.search(GENERIC_ID, key) and key not in SAFE_KEYS:
-        return F.when(v.isNotNull(), F.lit("[ID-REDACTED]")), found("other_unique_identifier")
+        return F.when(v.isNotNull(), F.lit("[ID-REDACTED]")), found("other_unique_identifier"), nothing
     safe = key in SAFE_KEYS or re.fullmatch(r"\d+hz_band", key)
     free = key in TEXT_KEYS and isinstance(kind, T.StringType)
     if not isinstance(kind, T.StringType):
-        return (v, nothing) if safe else (None, nothing)
+        return (v, nothing, nothing) if safe else (None, nothing, found(key))
     scrubbed = scrub_free_text(v) if safe or free else None
     out, cats = (scrubbed["t"], scrubbed["c"]) if scrubbed is not None else (None, nothing)
     shaped = None
@@ -167,11 +167,14 @@ def _leaf(key: str, kind: T.DataType, v: Column, old: Column, zips: Sequence[str
         shaped = F.when(hit, F.struct(mask.alias("m"), F.array(F.lit(cat)).alias("c"))) if shaped is None else shaped.when(hit, F.struct(mask.alias("m"), F.array(F.lit(cat)).alias("c")))
     hit = shaped["m"].isNotNull()
     value = F.when(v.isNull(), None).when(hit, shaped["m"]).otherwise(out if out is not None else F.lit(None))
-    return value, F.when(v.isNull(), nothing).when(hit, shaped["c"]).otherwise(cats)
+    gone = nothing if scrubbed is not None else F.when(v.isNull() | F.coalesce(hit, F.lit(False)), nothing).otherwise(F.array(F.lit(key)))
+    return value, F.when(v.isNull(), nothing).when(hit, shaped["c"]).otherwise(cats), gone
 
 
-def _masked(schema: T.StructType, old: Column, zips: Sequence[str], at: Column | None = None) -> tuple[list[Column], list[Column], list[str]]:
-    cols, cats, dropped = [], [], []
+def _masked(schema: T.StructType, old: Column, zips: Sequence[str], at: Column | None = None) -> tuple[list[Column], list[Column], list[Column]]:
+    """(masked columns, arrays of categories, arrays of the names whose values are dropped), each record by itself."""
+    cols, cats, gone = [], [], []
+    none = F.array().cast("array<string>")
     for f in schema:
         v = F.col(f"`{f.name}`") if at is None else at.getField(f.name)
         key, kind = f.name.lower(), f.dataType
@@ -180,34 +183,36 @@ def _masked(schema: T.StructType, old: Column, zips: Sequence[str], at: Column |
             if c:
                 cols.append(F.when(v.isNotNull(), F.struct(*c)).alias(f.name))
             cats += g
-            dropped += d
+            gone += d
         elif isinstance(kind, T.ArrayType):
             inner = kind.elementType
-            if isinstance(inner, T.StructType):
-                probe, _, d = _masked(inner, old, zips, F.element_at(v, 1))
-                dropped += d
-                if probe:
+            nested = isinstance(inner, T.StructType)
+
+            def part(x: Column, which: int, inner=inner, nested=nested, key=key) -> Column:
+                return F.flatten(F.array(*_masked(inner, old, zips, x)[which])) if nested else _leaf(key, inner, x, old, zips)[which]
+
+            if nested:
+                if _masked(inner, old, zips, F.element_at(v, 1))[0]:
                     cols.append(F.transform(v, lambda x: F.struct(*_masked(inner, old, zips, x)[0])).alias(f.name))
-                cats.append(F.coalesce(F.flatten(F.transform(v, lambda x: F.flatten(F.array(*_masked(inner, old, zips, x)[1])))), F.array().cast("array<string>")))
-            else:
-                m, _ = _leaf(key, inner, F.element_at(v, 1), old, zips)
-                if m is None:
-                    dropped.append(key)
-                else:
-                    cols.append(F.transform(v, lambda x: _leaf(key, inner, x, old, zips)[0]).alias(f.name))
-                cats.append(F.coalesce(F.flatten(F.transform(v, lambda x: _leaf(key, inner, x, old, zips)[1])), F.array().cast("array<string>")))
+            elif _leaf(key, inner, F.element_at(v, 1), old, zips)[0] is not None:
+                cols.append(F.transform(v, lambda x: _leaf(key, inner, x, old, zips)[0]).alias(f.name))
+            cats.append(F.coalesce(F.flatten(F.transform(v, lambda x: part(x, 1))), none))
+            gone.append(F.coalesce(F.flatten(F.transform(v, lambda x: part(x, 2))), none))
         else:
-            m, g = _leaf(key, kind, v, old, zips)
+            m, g, d = _leaf(key, kind, v, old, zips)
             cats.append(g)
-            if m is None:
-                dropped.append(key)
-            else:
+            gone.append(d)
+            if m is not None:
                 cols.append(m.alias(f.name))
-    return cols, cats, dropped
+    return cols, cats, gone
+
+
+UNCLASSIFIED = "dropped (unclassified)"
 
 
 def deidentify_record(df: DataFrame, year: int, keep: Sequence[str] = (), zips: Sequence[str] = ALLOWED_ZIP3) -> DataFrame:
-    """PR03. Nested records masked by key class; keys of no class are dropped and named in ``dropped_keys``.
+    """PR03. Nested records masked by key class; values of keys of no class are dropped and their keys named, record by record, in
+    ``dropped_keys``, with the category "dropped (unclassified)".
 
     The schema is walked once; every leaf becomes one expression, arrays become ``transform``. A text of no class stays only
     as a mask when it has the shape of an identifier. ``keep`` columns pass as they are.
@@ -215,9 +220,11 @@ def deidentify_record(df: DataFrame, year: int, keep: Sequence[str] = (), zips:
     schema = T.StructType([f for f in df.schema if f.name not in keep])
     old = over_89(schema, year)
     d = df.withColumn("_old", old)
-    cols, cats, dropped = _masked(schema, F.col("_old"), zips)
-    found = F.array_sort(F.array_distinct(F.flatten(F.array(*cats)))) if cats else F.array().cast("array<string>")
-    return d.select(*keep, *cols, found.alias("categories"), F.array(*[F.lit(x) for x in sorted(set(dropped))]).cast("array<string>").alias("dropped_keys"))
+    cols, cats, gone = _masked(schema, F.col("_old"), zips)
+    none = F.array().cast("array<string>")
+    merged = lambda parts: F.array_sort(F.array_distinct(F.flatten(F.array(*parts)))) if parts else none
+    d = d.select(*keep, *cols, merged(cats).alias("categories"), merged(gone).alias("dropped_keys"))
+    return d.withColumn("categories", F.when(F.size("dropped_keys") > 0, F.array_sort(F.array_append("categories", F.lit(UNCLASSIFIED)))).otherwise(F.col("categories")))
 
 
 def deid_report(clean: DataFrame) -> DataFrame:

@@ -37,8 +37,10 @@ def strip_html(html: Column) -> Column:
     s = F.regexp_replace(s, r"(?i)</(p|div|li)>", "\n")
     s = F.regexp_replace(s, "<[^>]*>", "")
     left = F.length(s) - F.length(F.translate(s, "<", ""))
-    again = F.aggregate(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), s, lambda acc, _: F.regexp_replace(acc, "<[^>]*>", ""))
-    s = F.when(left > 0, again).otherwise(s)
+    # The fold carries whether the last pass changed the text; once it did not, the passes that are left cost nothing.
+    once = lambda t: F.transform(F.array(F.regexp_replace(t, "<[^>]*>", "")), lambda new: F.struct(new.alias("t"), (new != t).alias("go")))[0]
+    again = F.aggregate(F.sequence(F.lit(1), F.greatest(left, F.lit(1))), F.struct(s.alias("t"), (left > 0).alias("go")), lambda acc, _: F.when(acc["go"], once(acc["t"])).otherwise(acc))
+    s = F.when(left > 0, again["t"]).otherwise(s)
     for pattern, to in ((r"(?i)&nbsp;", " "), (r"(?i)&lt;", "<"), (r"(?i)&gt;", ">"), ("&#39;", "'"), (r"&quot;", '"'), (r"(?i)&amp;", "&")):
         s = F.regexp_replace(s, pattern, to)
     s = F.regexp_replace(F.regexp_replace(s, "[ \t]+", " "), "\n{2,}", "\n")

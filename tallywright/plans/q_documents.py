@@ -71,7 +71,10 @@ def _(t):
     return dp.segment_labels(d, "segs", ["user", "assistant"]).select("conv_id", "n_all", F.size("segments_kept").cast("long").alias("kept"), "mixed", F.array_join(F.array_sort("labels"), ",").alias("labels"))
 
 
-@query("dp07_shrink_to_budget")
+@query("dp07_shrink_to_budget", """WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS k, CAST(length(text) AS BIGINT) AS a, CAST(length(text) AS BIGINT) AS b, length('summary') + length('keywords') + length('doc_type') + length(lang) AS f FROM documents
+  UNION ALL SELECT doc_id, text, k + 1, CASE WHEN k % 2 = 0 AND a > 40 THEN CAST(floor(a * CAST(0.7 AS DOUBLE)) AS BIGINT) ELSE a END, CASE WHEN k % 2 = 1 AND b > 40 THEN CAST(floor(b * CAST(0.7 AS DOUBLE)) AS BIGINT) ELSE b END, f FROM w WHERE a + b + f > 1500 AND (a > 40 OR b > 40)),
+l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)
+SELECT doc_id, md5(substr(text, 1, a)) AS summary_md5, CAST(b AS INTEGER) AS kw, CAST(a + b + f AS INTEGER) AS bytes, a + b + f > 1500 AS over_budget FROM l""")
 def _(t):
     d = t.documents.select("doc_id", F.col("text").alias("summary"), F.col("text").alias("keywords"), F.col("lang").alias("doc_type"))
     return dp.shrink_to_budget(d, ["summary", "keywords", "doc_type"], 1500).select("doc_id", F.md5("summary").alias("summary_md5"), F.length("keywords").alias("kw"), "bytes", "over_budget")
@@ -107,12 +110,17 @@ def dated(t: Tables):
     return t.documents.select("doc_id", F.concat(head, "text", tail).alias("text"))
 
 
-@query("dp11_deadline_candidates")
+@query("dp11_deadline_candidates", r"""WITH d AS (SELECT doc_id, text, CAST(doc_id % 28 + 1 AS VARCHAR) AS k FROM documents),
+h AS (SELECT *, 'Response due' || chr(10) || '7/' || k || '/26' || chr(10) || 'seen 2026-07-' || lpad(k, 2, '0') || ' and July ' || k || ', 2026' || chr(10) AS head FROM d),
+t AS (SELECT doc_id, k, head || text || chr(10) || 'The hearing is on ' || k || ' March 2027.' AS t, length(head || text) + 19 AS later FROM h),
+c AS (SELECT doc_id, t, 13 AS start, '2026-07-' || lpad(k, 2, '0') AS date, '7/' || k || '/26' AS match_text, 'Response due' AS keyword FROM t
+  UNION ALL SELECT doc_id, t, later, '2027-03-' || lpad(k, 2, '0'), k || ' March 2027', 'hearing' FROM t)
+SELECT doc_id, CAST(start AS INTEGER) AS start, date, trim(regexp_replace(substr(t, greatest(start - 100, 0) + 1, start + length(match_text) + 100 - greatest(start - 100, 0)), '\s+', ' ', 'g')) AS what, match_text, keyword, 'high' AS confidence FROM c""")
 def _(t):
     return dp.deadline_candidates(dated(t), "text")
 
 
-@query("wn11_collapse_near_spans")
+@query("wn11_collapse_near_spans", "SELECT doc_id, 4 AS raw, 2 AS kept, printf('2026-07-%02d,2027-03-%02d', doc_id % 28 + 1, doc_id % 28 + 1) AS dates FROM documents")
 def _(t):
     s = dated(t).select("doc_id", dp.raw_spans(F.col("text")).alias("raw"))
     s = s.withColumn("kept", wn.collapse_near_spans(F.col("raw")))

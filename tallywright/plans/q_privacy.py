@@ -90,7 +90,7 @@ _ZIPS = ["001", "037", "122"]
 @query("pr03_deidentify_record", f"""WITH r AS (SELECT c_custkey AS k, c_custkey % 101 AS age, 1925 + c_custkey % 80 AS y, lpad(CAST(c_custkey * 37 % 99999 AS VARCHAR), 5, '0') AS zip FROM customer), o AS (SELECT *, age > 89 OR {YEAR} - y > 89 AS old FROM r),
 h AS (SELECT o_custkey, string_agg('[ID-REDACTED]' || '/' || year(o_orderdate) || '/' || o_orderpriority, ';' ORDER BY o_orderkey) AS hist FROM orders GROUP BY 1)
 SELECT '[ID-REDACTED]' AS id, '[NAME-REDACTED]' AS name, CASE WHEN age > 89 THEN '90+' ELSE CAST(age AS VARCHAR) END AS age, CASE WHEN old THEN 'REDACTED-90+' ELSE CAST(y AS VARCHAR) END AS dob, 'ST' || (k % 5) AS state,
-  CASE WHEN substr(zip, 1, 3) IN ('001', '037', '122') THEN substr(zip, 1, 3) || '00' ELSE '000' END AS zip, hist, 'Mr. [NAME-REDACTED], mail [EMAIL-REDACTED], seen 2020' AS note, CASE WHEN k % 4 = 0 THEN '[MRN-REDACTED]' END AS reference, 'balance' AS dropped FROM o LEFT JOIN h ON o_custkey = k""")
+  CASE WHEN substr(zip, 1, 3) IN ('001', '037', '122') THEN substr(zip, 1, 3) || '00' ELSE '000' END AS zip, hist, 'Mr. [NAME-REDACTED], mail [EMAIL-REDACTED], seen 2020' AS note, CASE WHEN k % 4 = 0 THEN '[MRN-REDACTED]' END AS reference, CASE WHEN k % 4 = 0 THEN 'balance,segment' ELSE 'balance,reference,segment' END AS dropped FROM o LEFT JOIN h ON o_custkey = k""")
 def _(t):
     d = pr.deidentify_record(records(t), YEAR, zips=_ZIPS)
     hist = F.array_join(F.transform("purchase_history", lambda x: F.concat_ws("/", x["order_id"], x["order_date"], x["product"])), ";")
@@ -109,9 +109,9 @@ def _(t):
 
 
 @query("pr06_deid_report", f"""WITH r AS (SELECT c_custkey AS k, c_custkey % 101 AS age, 1925 + c_custkey % 80 AS y, c_custkey IN (SELECT o_custkey FROM orders) AS h FROM customer), n AS (SELECT count(*) AS n FROM r)
-SELECT name, n AS records, 'category' AS kind FROM n, (VALUES ('names'), ('email'), ('dates_full'), ('geo_sub_state'), ('geo_zip'), ('other_unique_identifier')) v(name)
+SELECT name, n AS records, 'category' AS kind FROM n, (VALUES ('names'), ('email'), ('dates_full'), ('geo_sub_state'), ('geo_zip'), ('other_unique_identifier'), ('dropped (unclassified)')) v(name)
 UNION ALL SELECT 'age_over_89', count(*), 'category' FROM r WHERE age > 89 UNION ALL SELECT 'dob_year_over_89_suppressed', count(*), 'category' FROM r WHERE age > 89 OR {YEAR} - y > 89
-UNION ALL SELECT 'mrn', count(*), 'category' FROM r WHERE k % 4 = 0 UNION ALL SELECT 'balance', n, 'dropped_key' FROM n UNION ALL SELECT 'records_processed', n, 'total' FROM n""")
+UNION ALL SELECT 'mrn', count(*), 'category' FROM r WHERE k % 4 = 0 UNION ALL SELECT v.name, n, 'dropped_key' FROM n, (VALUES ('balance'), ('segment')) v(name) UNION ALL SELECT 'reference', count(*), 'dropped_key' FROM r WHERE k % 4 <> 0 UNION ALL SELECT 'records_processed', n, 'total' FROM n""")
 def _(t):
     return pr.deid_report(pr.deidentify_record(records(t), YEAR))
 

@@ -27,12 +27,18 @@ def local_session(app: str = "tallywright", cpus: str | int = "*", shuffle: int
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    The folder is set here only when the session has none, which is the case in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallywright-ckpt-"))
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see. Only a local session, which is one process, may go without the setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tallywright-")

@@ -1,11 +1,10 @@
 """Running a stream over what is available and reading its result back.
 
-Results and offsets live below the shared folder named in ``spark.checkpoint.dir``, so a lost executor or a restarted
-driver continues from there. Only without that setting, as in tests, a temporary folder is made.
+Results and offsets live below the shared folder named in ``spark.checkpoint.dir``, so a lost executor is no loss. A stream that is
+to go on after a restart of the driver is given a ``resume`` name: it then finds its own offsets and results again.
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -13,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.ordered import latest_by
+from tallywright.session import shared_root
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one stream."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tallywright-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def work_folder(spark: SparkSession, name: str, resume: str | None = None) -> str:
+    """The folder of one stream: a fresh one, or the one that belongs to ``resume``."""
+    return f"{shared_root(spark)}/{name}-{resume or uuid.uuid4().hex}"
 
 
 def stream_files(spark: SparkSession, folder: str, glob: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
