@@ -98,3 +98,23 @@ def page_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, and those that go because a line within two edits stands elsewhere before."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"), edits=2, least=40)
+
+
+ORACLES["op4_pivot_permutation"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= CAST(0.9 AS DOUBLE)),
+n AS (SELECT x, count(*) AS c FROM l GROUP BY x), r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT vec_id, CAST(coalesce(c, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.x = vec_id
+"""
+ORACLES["op8_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, c = a.n AND c = b.n AS same FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+k AS (SELECT x, count(*) AS links, min(CASE WHEN same THEN y END) AS copy FROM l GROUP BY x),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, least(doc_id, coalesce(low, doc_id)) AS group_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM documents LEFT JOIN k ON k.x = doc_id LEFT JOIN m ON m.x = doc_id
+"""
