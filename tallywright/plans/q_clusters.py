@@ -150,7 +150,18 @@ def _(t):
     return cl.hard_negative_pairs(t.ledger, ["a2"], ["k13"], "bucket [01]").withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("cl10_trust_rerank")
+def _rerank_sql() -> str:
+    from tallywright.plans.q_search import _ONE, BM_TOP, bm25_sql
+    rows = f"o AS (SELECT h.id AS id, h.query_id AS scope, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS rn, {sql_tokens('d.text')} AS toks FROM hits h JOIN documents d ON d.doc_id = h.id)"
+    return f"""WITH RECURSIVE {bm25_sql(_ONE)}, {BM_TOP.format(k=10)}, {greedy_sql(rows, 0.5)},
+ag AS (SELECT led.scope AS scope, led.leader_id AS leader_id, d.source AS agent, max(d.doc_id) AS newest FROM led JOIN documents d ON d.doc_id = led.id GROUP BY ALL),
+sc AS (SELECT scope, leader_id, count(*) AS n, sum(pow(0.5, greatest((epoch_us({NOW_E}) - epoch_us(TIMESTAMP '2024-01-01' + to_hours(CAST(newest AS INTEGER)))) / 8.64e10, 0) / 30)) AS w FROM ag GROUP BY ALL),
+standing AS (SELECT *, greatest(0, least(1, 1 - pow(0.5, w))) AS trust, CASE WHEN n >= 3 THEN 'durable' WHEN n >= 2 THEN 'corroborated' ELSE 'unverified' END AS status FROM sc)
+SELECT led.scope AS query_id, led.id AS id, CAST(o.rn AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY led.scope ORDER BY CASE status WHEN 'durable' THEN 0 WHEN 'corroborated' THEN 1 ELSE 2 END, o.rn) AS INTEGER) AS new_rank, status, round(trust, 6) AS trust
+FROM led JOIN o ON o.scope = led.scope AND o.id = led.id JOIN standing ON standing.scope = led.scope AND standing.leader_id = led.leader_id"""
+
+
+@query("cl10_trust_rerank", _rerank_sql())
 def _(t):
     from tallywright.plans.q_search import hits_df
     d = t.doc_ledger.select(F.col("doc_id").alias("id"), "agent", "ts", "text")
