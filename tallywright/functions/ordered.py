@@ -99,8 +99,9 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, orde
     return bucketed_running(df, keys, bucket, order, {out: F.lit(1).cast("long")})
 
 
-def day_bucket(col: str = "ts") -> Column:
-    return F.to_date(F.col(col))
+def time_bucket(col: str = "ts", minutes: int = 60) -> Column:
+    """Number of the stretch of time that a row falls in; a shorter one splits a busy key further."""
+    return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(minutes * 60_000_000))
 
 
 def id_bucket(col: str, width: int = 65536) -> Column:

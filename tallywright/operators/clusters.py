@@ -23,10 +23,11 @@ def _live(rows: DataFrame) -> DataFrame:
     return active_rows(rows) if "supersedes" in rows.columns else rows
 
 
-def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",), threshold: float = 0.8) -> DataFrame:
+def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",), threshold: float = 0.8, pairs: DataFrame | None = None) -> DataFrame:
     """CL01. For every row the most similar earlier active row of its scope, the earliest among equals; rows without one are left out.
 
-    Of each token set only the first active row can be a match, and a row after it has similarity 1. Distinct sets are compared once.
+    Of each token set only the first active row can be a match, and a row after it has similarity 1. Distinct sets are compared once,
+    unless the caller has their ``pairs`` (of :func:`similar_sets`) at this threshold or below.
     """
     scope = list(scope)
     r = _tokenised(rows, scope, text).withColumn("_o", F.struct(*order))
@@ -37,7 +38,7 @@ def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", sc
     placed = r.select("id", "sid", "_o").join(first, "sid", "left").withColumn("again", F.coalesce(F.col("mo") < F.col("_o"), F.lit(False)))
     repeats = placed.filter("again").select("id", "match_id", F.lit(1.0).alias("score"))
     sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
-    pairs = similar_sets(sets, sets, threshold, scope, self_join=True)
+    pairs = similar_sets(sets, sets, threshold, scope, self_join=True) if pairs is None else pairs.filter(F.col("score") >= threshold)
     both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
     near = both.join(first.withColumnRenamed("sid", "right_sid"), "right_sid").select(F.col("left_sid").alias("sid"), "match_id", "mo", "score")
     met = placed.filter("NOT again").select("id", "sid", "_o").join(near, "sid").filter(F.col("mo") < F.col("_o"))
@@ -45,11 +46,11 @@ def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", sc
     return repeats.unionByName(best.select("id", F.col("b.match_id").alias("match_id"), (-F.col("b.s")).alias("score")))
 
 
-def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",), threshold: float = 0.6) -> DataFrame:
+def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",), threshold: float = 0.6, pairs: DataFrame | None = None) -> DataFrame:
     """CL02. For every row the first earlier active row of its scope with similar words and different numbers.
 
     Rows are collapsed to distinct (tokens, numbers); for each such key the earliest contradicting key with an active row is found once
-    and then compared with the row's own position.
+    and then compared with the row's own position. ``pairs`` as in CL01.
     """
     scope = list(scope)
     r = _tokenised(rows, scope, text).withColumn("vals", tx.value_tokens(F.col(text))).filter(F.size("vals") > 0).withColumn("_o", F.struct(*order))
@@ -58,7 +59,7 @@ def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text
         "kid", F.col("f.id").alias("first_id"), F.col("f.sid").alias("sid"), F.col("f.vals").alias("vals"), F.col("f._o").alias("first_o"))
     keys = r.groupBy("kid", "sid").agg(F.min("vals").alias("vals"))
     sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
-    pairs = similar_sets(sets, sets, threshold, scope, self_join=True)
+    pairs = similar_sets(sets, sets, threshold, scope, self_join=True) if pairs is None else pairs.filter(F.col("score") >= threshold)
     # Equal token sets with other numbers contradict too. Per token set only its two earliest number keys can be first.
     both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
     both = both.unionByName(sets.select(F.col("sid").alias("left_sid"), F.col("sid").alias("right_sid"), F.lit(1.0).alias("score")))
@@ -71,9 +72,11 @@ def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text
 
 
 def write_advisory(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",)) -> DataFrame:
-    """CL03. Per row: a contradiction first, else a near-duplicate, else nothing."""
-    c = value_contradiction(rows, order, text, scope).select("id", F.col("match_id").alias("_c"))
-    d = near_duplicate(rows, order, text, scope).select("id", F.col("match_id").alias("_d"), "score")
+    """CL03. Per row: a contradiction first, else a near-duplicate, else nothing. Token sets are compared once for both."""
+    sets = _tokenised(rows, scope, text).groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
+    pairs = cut_lineage(similar_sets(sets, sets, 0.6, scope, self_join=True))
+    c = value_contradiction(rows, order, text, scope, 0.6, pairs).select("id", F.col("match_id").alias("_c"))
+    d = near_duplicate(rows, order, text, scope, 0.8, pairs).select("id", F.col("match_id").alias("_d"), "score")
     j = rows.select("id").join(c, "id", "left").join(d, "id", "left")
     return j.select("id", F.when(F.col("_c").isNotNull(), "contradiction").when(F.col("_d").isNotNull(), "near_duplicate").otherwise("none").alias("advice"),
                     F.coalesce("_c", "_d").alias("match_id"), F.when(F.col("_c").isNull(), F.round(F.col("score") * 100).cast("long")).alias("similarity_pct"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import text as tx
-from tallywright.functions.ordered import bucketed_running, day_bucket, top_per_key
+from tallywright.functions.ordered import bucketed_running, time_bucket, top_per_key
 from tallywright.operators.filters import exclusion_reason, safe_path
 
 
@@ -186,7 +186,7 @@ def entity_candidate_slice(rows: DataFrame, asking: Column, eligible: Column, n:
     """
     base = rows.withColumn("_ask", asking).withColumn("_ok", eligible)
     k = base.select("id", "ts", "_ask", "_ok", F.explode(F.array_distinct("keys")).alias("key"))
-    k = bucketed_running(k, ["key"], bucket if bucket is not None else day_bucket(), ["ts", "id"],
+    k = bucketed_running(k, ["key"], bucket if bucket is not None else time_bucket(), ["ts", "id"],
                          {"pos": F.col("_ok").cast("long")})
     cand = k.filter("_ok").select("key", "pos", F.floor(F.col("pos") / n).alias("blk"), F.col("id").alias("cand_id"), F.col("ts").alias("cand_ts"))
     before = F.col("pos") - F.col("_ok").cast("long")

@@ -7,11 +7,33 @@ from pyspark.sql import functions as F
 from tallywright.functions import fixed
 from tallywright.functions.ordered import bucketed_row_number, latest_by
 from tallywright.operators.clusters import leader_clusters
-from tallywright.operators.graph import chain_members
+from tallywright.operators.graph import chain_members, supersede_chain
 from tallywright.operators.joins import active_rows
 from tallywright.operators.windows import keep_recent_digest
 
 
+def _entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity rows that supersede only rows of their own key, current row of every key as id and ekey)."""
+    entity = rows.filter((F.col("type") == "entity") & F.col("ekey").isNotNull())
+    # The head is the newest row nobody supersedes; when every row is superseded, the newest row.
+    gone = rows.filter(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("_g")).distinct()
+    e = entity.join(gone, F.col("id") == F.col("_g"), "left").withColumn("_live", F.col("_g").isNull())
+    heads = latest_by(e, ["ekey"], ["_live", "ts", "id"]).select("id", "ekey")
+    own = entity.select(F.col("id").alias("_p"), F.col("ekey").alias("_k")).distinct()
+    chained = entity.join(own, (F.col("supersedes") == F.col("_p")) & (F.col("ekey") == F.col("_k")), "left")
+    return chained.withColumn("supersedes", F.col("_p")).drop("_p", "_k"), heads
+
+
+def value_history(rows: DataFrame) -> DataFrame:
+    """CL11. The values behind every current entity and every superseded chain, a row for each: head, position from the oldest (1), id, ts,
+    value. The head itself is the last. Rows and not one text, so a chain of any length stays spread."""
+    entity, heads = _entities(rows)
+    rest = rows.filter(~F.col("type").isin(*fixed.ALWAYS_KEEP_TYPES, "entity"))
+    chains = supersede_chain(entity, heads.select("id")).unionByName(supersede_chain(rest, active_rows(rest).select("id")))
+    values = rows.select("id", "ts", F.coalesce("evalue", "text", F.lit("")).alias("value"))
+    return chains.filter("chain_length > 1").join(values, "id").select("head", "position", "id", "ts", "value")
+
+
 def compact_ledger(rows: DataFrame, now: Column, dup_threshold: float = 0.8, status_keep: int = 5, status_days: int = 7) -> DataFrame:
     """CL11. The compacted ledger as rows (section, id, ekey, count, note).
 
@@ -24,11 +46,7 @@ def compact_ledger(rows: DataFrame, now: Column, dup_threshold: float = 0.8, sta
     keep = rows.filter(F.col("type").isin(*fixed.ALWAYS_KEEP_TYPES)).select(
         F.col("type").alias("section"), "id", "ekey", one.alias("count"), none.alias("note"))
 
-    entity = rows.filter((F.col("type") == "entity") & F.col("ekey").isNotNull())
-    # The head is the newest row nobody supersedes; when every row is superseded, the newest row.
-    gone = rows.filter(F.col("supersedes").isNotNull()).select(F.col("supersedes").alias("_g")).distinct()
-    e = entity.join(gone, F.col("id") == F.col("_g"), "left").withColumn("_live", F.col("_g").isNull())
-    heads = latest_by(e, ["ekey"], ["_live", "ts", "id"]).select("id", "ekey")
+    entity, heads = _entities(rows)
     members = chain_members(entity, heads.select("id"))
     size = members.groupBy("head").agg(F.count("*").alias("count"), F.max_by("id", "depth").alias("oldest"))
     current = heads.join(size, F.col("id") == F.col("head")).select(

@@ -126,6 +126,13 @@ def _(t):
     return compact_ledger(t.ledger.withColumn("evalue", F.col("text")), ts(NOW_EVENTS))
 
 
+@query("cl11_value_history", f"""WITH {LEDGER}, c AS (SELECT id, text, row_number() OVER (PARTITION BY ekey ORDER BY ts, event_id) AS position, count(*) OVER (PARTITION BY ekey) AS n,
+  last_value(id) OVER (PARTITION BY ekey ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS head FROM ledger WHERE type = 'entity') SELECT head, position, id, 'now ' || text AS value FROM c WHERE n > 1""")
+def _(t):
+    from tallywright.operators.ledger import value_history
+    return value_history(t.ledger.withColumn("evalue", F.concat(F.lit("now "), "text"))).select("head", "position", "id", "value")
+
+
 @query("cl12_memory_diff", f"""WITH {LEDGER}, n AS (SELECT supersedes AS s, arg_max(id, (ts, id)) AS by_id, max(ts) AS by_ts FROM ledger WHERE supersedes IS NOT NULL GROUP BY 1),
 r AS (SELECT l.id, l.ts >= TIMESTAMP '2024-01-15' AND l.ts <= {NOW_E} AS here, l.supersedes IS NOT NULL AND EXISTS (SELECT 1 FROM ledger o WHERE o.id = l.supersedes) AS sup,
   n.by_id, n.by_ts >= TIMESTAMP '2024-01-15' AS gone_here FROM ledger l LEFT JOIN n ON n.s = l.id),

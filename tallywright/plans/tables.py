@@ -6,7 +6,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.functions.ordered import bucketed_lag, day_bucket
+from tallywright.functions.ordered import bucketed_lag, time_bucket
 
 NOW_EVENTS = "2024-02-01 00:00:00"
 NOW_ORDERS = "1998-01-01 00:00:00"
@@ -42,7 +42,7 @@ class Tables:
             F.concat(F.col("event_type"), F.lit(" key k"), (F.col("user_id") % 20).cast("string"),
                      F.lit(" bucket "), (F.col("event_id") % 9).cast("string")).alias("text"),
         ).withColumn("id", F.col("event_id").cast("string"))
-        chained = bucketed_lag(e, ["type", "ekey"], day_bucket(), ["ts", "event_id"], {"_prev_id": "id"})
+        chained = bucketed_lag(e, ["type", "ekey"], time_bucket(), ["ts", "event_id"], {"_prev_id": "id"})
         return chained.select(
             "id", "event_id", "ts", "agent", "type", "ekey", "text",
             F.when(F.col("type").isin("entity", "correction"), F.col("_prev_id")).alias("supersedes"))

@@ -63,13 +63,15 @@ def safety_alerts(messages: DataFrame, roles: list[str], late: str = "7 days") -
 
 
 def safety_stream(messages: DataFrame, roles: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
-    """ST08. (alerts, tagged conversations). A batch writes its alerts before its tags: after a failure in between the alert
-    comes again, it is never lost."""
+    """ST08. (alerts, tagged conversations). A conversation that an earlier batch has tagged gives no more alerts. A batch writes its
+    alerts before its tags: after a failure in between the alert comes again, it is never lost."""
     alerts = safety_alerts(messages, roles)
     spark, schema = messages.sparkSession, alerts.schema
+    spark.createDataFrame([], "conv_id long").write.mode("overwrite").parquet(f"{folder}/tags/batch=-1")
 
     def write(batch: DataFrame, no: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/alerts/batch={no}")
+        tagged = spark.read.schema("conv_id long, batch long").parquet(f"{folder}/tags").filter(F.col("batch") < no).select("conv_id").distinct()
+        batch.join(tagged, "conv_id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/alerts/batch={no}")
         done = spark.read.schema(schema).parquet(f"{folder}/alerts/batch={no}")
         done.select("conv_id").distinct().write.mode("overwrite").parquet(f"{folder}/tags/batch={no}")
 

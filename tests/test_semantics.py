@@ -105,6 +105,14 @@ def test_compact_ledger_keeps_counts(spark):
     assert (s.before, s.preserved, s.after) == (16, 9, 10)
 
 
+def test_compaction_stays_inside_a_key_and_keeps_the_order_of_values(spark):
+    rows = [("1", 1, "a", "v1", None), ("2", 2, "b", "w1", "1"), ("3", 3, "b", "w2", "2"), ("4", 4, "b", "w3", "3")]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(d), "entity", k, v, v, s) for i, d, k, v, s in rows], "id string, ts timestamp_ntz, type string, ekey string, text string, evalue string, supersedes string")
+    got = {(r.id, r["count"]) for r in ledger.compact_ledger(df, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).collect()}
+    assert got == {("1", 1), ("4", 3)}
+    assert [(r.head, r.position, r.value) for r in ledger.value_history(df).orderBy("position").collect()] == [("4", 1, "w1"), ("4", 2, "w2"), ("4", 3, "w3")]
+
+
 def test_chain_members_stop_at_cycles(spark):
     df = spark.createDataFrame([("1", None), ("2", "1"), ("3", "2"), ("4", "3"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, supersedes string")
     heads = spark.createDataFrame([("4",), ("z",), ("x",)], "id string")
@@ -365,3 +373,14 @@ def test_value_contradiction_takes_the_first_earlier_row(spark):
     df = spark.createDataFrame([(i, T0 + dt.timedelta(hours=h), "fact", x) for i, h, x in rows], "id string, ts timestamp_ntz, type string, text string")
     got = {r.id: r.match_id for r in cl.value_contradiction(df, ["ts", "id"]).collect()}
     assert got == {"3": "1", "4": "3"}
+
+
+def test_tagged_conversations_alert_once(spark, tmp_path):
+    text = "The aid caught fire and I was injured."
+    for k, rows in enumerate([[(1, 0), (2, 0)], [(1, 1), (3, 0)], [(2, 5), (4, 0)]]):
+        df = spark.createDataFrame([(c, n, "user", text, dt.datetime(2024, 1, 1 + k)) for c, n in rows], "conv_id long, turn int, role string, text string, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = runner.stream_files(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+    alerts, tags = jobs.safety_stream(stream, ["user"], str(tmp_path / "out"))
+    assert len(alerts.select("conv_id").collect()) == 4 == alerts.select("conv_id").distinct().count()
+    assert {r.conv_id for r in tags.collect()} == {1, 2, 3, 4}
