@@ -22,17 +22,26 @@ def _(t):
     return cl.near_duplicate(t.doc_ledger, ["ts", "id"]).withColumn("score", F.round("score", 6))
 
 
-@query("cl02_value_contradiction", f"WITH {PAIRS}, {VALS}, {CONTRA} SELECT CAST(x AS VARCHAR) AS id, CAST(y AS VARCHAR) AS match_id, round(j, 6) AS subject_score FROM contra")
+# Documents with a price that changes from one to the next, so that similar ones contradict each other.
+PRICED = "priced AS (SELECT doc_id, text || ' costs ' || (doc_id % 3 * 10 + 15) || ' dollars' AS text FROM documents)"
+PAIRS_P, VALS_P = (x.replace("FROM documents)", "FROM priced)") for x in (PAIRS, VALS))
+
+
+def priced(t: Tables):
+    return t.doc_ledger.withColumn("text", F.concat("text", F.lit(" costs "), (F.col("doc_id") % 3 * 10 + 15).cast("string"), F.lit(" dollars")))
+
+
+@query("cl02_value_contradiction", f"WITH {PRICED}, {PAIRS_P}, {VALS_P}, {CONTRA} SELECT CAST(x AS VARCHAR) AS id, CAST(y AS VARCHAR) AS match_id, round(j, 6) AS subject_score FROM contra")
 def _(t):
-    return cl.value_contradiction(t.doc_ledger, ["ts", "id"]).withColumn("subject_score", F.round("subject_score", 6))
+    return cl.value_contradiction(priced(t), ["ts", "id"]).withColumn("subject_score", F.round("subject_score", 6))
 
 
-@query("cl03_write_advisory", f"""WITH {PAIRS}, {VALS}, {NEAR}, {CONTRA} SELECT CAST(d.doc_id AS VARCHAR) AS id,
+@query("cl03_write_advisory", f"""WITH {PRICED}, {PAIRS_P}, {VALS_P}, {NEAR}, {CONTRA} SELECT CAST(d.doc_id AS VARCHAR) AS id,
   CASE WHEN c.y IS NOT NULL THEN 'contradiction' WHEN n.y IS NOT NULL THEN 'near_duplicate' ELSE 'none' END AS advice,
   CAST(coalesce(c.y, n.y) AS VARCHAR) AS match_id, CASE WHEN c.y IS NULL THEN CAST(round(n.j * 100) AS BIGINT) END AS similarity_pct
 FROM documents d LEFT JOIN contra c ON c.x = d.doc_id LEFT JOIN near n ON n.x = d.doc_id""")
 def _(t):
-    return cl.write_advisory(t.doc_ledger, ["ts", "id"])
+    return cl.write_advisory(priced(t), ["ts", "id"])
 
 
 def greedy_sql(rows: str, threshold: float) -> str:
