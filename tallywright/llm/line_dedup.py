@@ -23,7 +23,9 @@ from tallywright.llm.components import components
 from tallywright.llm.transducer import batches
 from tallywright.llm.words import mix, prefix_hashes, slices_hash
 
-BLOCK_BYTES, LINE_COST = 1_000_000, 2_000  # a block holds lines of so many bytes, and no more than five hundred
+BLOCK_BYTES, LINE_COST = 1_000_000, 4_000  # a block holds lines of so many bytes, and about 250 at most
+CELLS = 2_000_000
+BATCH = 1_000_000  # characters of texts that are cut into lines at once
 
 
 class Lines:
@@ -76,9 +78,15 @@ def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     swap = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(a, b)]
     order = np.array(sorted(range(len(a)), key=lambda k: len(swap[k][0])), np.int64)
     order = order[[len(swap[k][0]) - len(swap[k][1]) <= edits for k in order]] if len(order) else order
-    for lo in range(0, len(order), 4096):
-        chosen = order[lo:lo + 4096]
+    # Pairs go together by length, so many at once as fill a grid of CELLS characters.
+    lo = 0
+    while lo < len(order):
+        hi = min(len(order), lo + 4096)
+        while hi > lo + 1 and (hi - lo) * len(swap[order[hi - 1]][0]) > CELLS:
+            hi = lo + (hi - lo) // 2
+        chosen = order[lo:hi]
         out[chosen] = _band([swap[k] for k in chosen], edits)
+        lo = hi
     return out
 
 
@@ -135,7 +143,7 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     def occurrences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, keys = part.column("text").to_pylist(), part.column("doc_id")
-            for a, b in batches(texts):
+            for a, b in batches(texts, BATCH):
                 x = Lines(texts[a:b])
                 long = np.flatnonzero(x.end - x.start >= least)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(x.owner[long] + a)), pa.array(x.number[long].astype(np.int32)), pa.array(x.hash[long].view(np.int64))], ["doc_id", "number", "line"])
@@ -144,7 +152,7 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 texts = part.column("text").to_pylist()
-                for a, b in batches(texts):
+                for a, b in batches(texts, BATCH):
                     x = Lines(texts[a:b])
                     own = long_lines(x)
                     for at, key, indexed in keys_of(x.sums, x.down, x.start[own], x.end[own], edits):
@@ -163,7 +171,7 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 texts = part.column("text").to_pylist()
-                for a, b in batches(texts):
+                for a, b in batches(texts, BATCH):
                     x = Lines(texts[a:b])
                     own = long_lines(x)
                     own = own[known.holds(x.hash[own])]
