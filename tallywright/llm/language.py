@@ -27,6 +27,7 @@ CELLS = 1 << 14
 LANGUAGES = ("de", "en", "es", "fr")
 NONE = "und"
 PART = 0.3  # share of the trigrams' log-likelihood that counts, for overlapping trigrams are not independent
+BATCH = 500_000  # characters whose trigrams are held at once
 NOISE = 0.1  # share of a text's trigrams that any language expects from names, codes and the like
 SHRINK = 20.0  # rows of the wider group that a host's or a suffix's own rows are mixed with
 
@@ -61,7 +62,7 @@ def _counts(rows: DataFrame, languages: tuple[str, ...]) -> tuple[np.ndarray, np
         grams, letters = np.zeros((len(languages), CELLS), np.int64), np.zeros(4096, np.int64)
         for part in parts:
             texts, declared = part.column("text").to_pylist(), part.column("declared").to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, BATCH):
                 cell, one, at = _trigrams(texts[a:b])
                 letters += np.bincount(one, minlength=4096)
                 lang = np.array([languages.index(d) if d in languages else -1 for d in declared[a:b]])
@@ -98,7 +99,7 @@ def identify(df: DataFrame, key: str, text: str = "text", declared: str | Column
     def likelihood(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts, out, found = part.column("text").to_pylist(), [], []
-            for a, b in batches(texts):
+            for a, b in batches(texts, BATCH):
                 cell, one, at = _trigrams(texts[a:b])
                 sums = np.zeros((b - a, len(names)))
                 owner = np.repeat(np.arange(b - a), np.diff(at))
