@@ -1,9 +1,12 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are a sample of the vectors: the ``2 * sqrt(n)`` with the least hash of their id. Every vector is
+Reference points (pivots) come from a sample of the vectors, the ``2 * sqrt(n)`` with the least hash of their id. They are spaced: a
+sampled vector within one and a half times the threshold's angle of an earlier pivot is none, so that a dense cluster is named by one
+or two pivots that its members share, and not by so many that each member names others. Every vector is
 described by its ``nearest`` closest pivots in order. The inverted list of a pivot holds the vectors that name it; two vectors of a
 list are compared if they share at least ``shared`` pivots, in the list of the least pivot that they share, and verified by their
-cosine in double precision. Exact copies are one vector with a weight. Lists are dealt into blocks, so a list of any size is spread.
+cosine in double precision. Exact copies are one vector with a weight. Lists are dealt into blocks, so a list of any size is spread;
+all pairs of a dense cluster are compared, which is the square of its distinct vectors.
 """
 from __future__ import annotations
 
@@ -31,6 +34,33 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many pivots each row of ``a`` shares with each row of ``b``; -1 is none."""
+    both = np.intersect1d(a, b)
+    both = both[both >= 0]
+    if not len(both):
+        return np.zeros((len(a), len(b)), np.float32)
+
+    def named(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        row, col = np.nonzero(both[at] == x)
+        out = np.zeros((len(x), len(both)), np.float32)
+        out[row, at[row, col]] = 1
+        return out
+
+    return named(a) @ named(b).T
+
+
+def spaced(points: np.ndarray, threshold: float) -> np.ndarray:
+    """The points, in their order, that are further than 1.5 times the angle of ``threshold`` from all points taken before."""
+    most = math.cos(min(math.pi, 1.5 * math.acos(max(-1.0, min(1.0, threshold)))))
+    free = np.ones(len(points), bool)
+    for k in range(len(points)):
+        if free[k]:
+            free[k + 1:] &= points[k + 1:] @ points[k] < most
+    return points[free]
+
+
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, nearest: int = 8, shared: int = 2) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id (least vec_id reachable by links), kept (vec_id = component_id).
 
@@ -49,6 +79,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     width = width or 0
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(2 * math.isqrt(n) + 2).select("v").toArrow()
     points = _matrix(sample.column("v").combine_chunks() if sample.num_rows else pa.array([], pa.list_(pa.float64())), width).astype(np.float32)
+    points = spaced(points, threshold)
 
     def describe(parts):
         for part in parts:
@@ -68,15 +99,10 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
         full, near = _matrix(pa.array(held["v"]), width), np.array(held["pivots"], np.int32)
         same = held["p"][0] == held["q"][0]
         a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~second), np.flatnonzero(second))
-        common = np.zeros((len(a), len(b)), np.int16)
-        lower = np.zeros((len(a), len(b)), bool)
-        for i in near[a].T:
-            for j in near[b].T:
-                hit = i[:, None] == j[None]
-                common += hit
-                lower |= hit & (i < pivot)[:, None]
-        link = (common >= min(shared, near.shape[1])) & ~lower
-        link[link] = (full[a] @ full[b].T)[link] >= threshold
+        link = full[a] @ full[b].T >= threshold
+        # All shared pivots, and those whose list comes before this one and compares the pair there.
+        common, before = _shared(near[a], near[b]), _shared(np.where(near[a] < pivot, near[a], -1), np.where(near[b] < pivot, near[b], -1))
+        link &= (common >= min(shared, near.shape[1])) & (before == 0)
         if same:
             link &= ~np.eye(len(a), dtype=bool)
         x, y = np.nonzero(link)

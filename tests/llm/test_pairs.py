@@ -213,3 +213,18 @@ def test_correlated_voters_count_once():
     start = np.clip(patterns[:, :3].mean(axis=1), 0.02, 0.98)
     posterior = toxicity.label_model(patterns, counts.astype(float), start)[place.ravel()]
     assert ((posterior > 0.5) == truth).mean() > 0.9
+
+
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_vectors_of_a_dense_cluster(spark, n):
+    """A third of the rows are distinct vectors of one cluster: their links are found at any size."""
+    rng = np.random.default_rng(n)
+    k = n // 3
+    v, centre = rng.standard_normal((n, 64)), np.eye(64)[0]
+    v[:k, 0] = 0
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[:k] = 0.97 * centre + np.sqrt(1 - 0.97 ** 2) * v[:k]
+    want = (v @ v.T >= 0.9).sum(axis=1) - 1
+    got = pivots.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    assert len(got) == n and all(r.n_links <= want[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) >= 0.99 * want.sum() > 0
