@@ -25,6 +25,7 @@ from tallywright.llm.words import mix, prefix_hashes, slices_hash
 
 BLOCK_BYTES, LINE_COST = 1_000_000, 4_000  # a block holds lines of so many bytes, and about 250 at most
 CELLS = 2_000_000
+SPACES = np.array([k for k in range(0x3001) if chr(k).isspace()], np.uint32)
 BATCH = 1_000_000  # characters of texts that are cut into lines at once
 
 
@@ -43,6 +44,11 @@ class Lines:
         self.sums, self.down = prefix_hashes(self.points)
         self.hash = slices_hash(self.sums, self.down, self.start, self.end)
 
+    def filled(self) -> np.ndarray:
+        """Whether a line holds anything but white space."""
+        seen = np.concatenate([[0], np.cumsum(~np.isin(self.points, SPACES))])
+        return seen[self.end] > seen[self.start]
+
 
 def keys_of(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(lines, keys, whether indexed). Each key set of a line holds its own segments (indexed) and the substrings it probes with."""
@@ -131,11 +137,12 @@ def _band(pairs: list[tuple[str, str]], edits: int) -> np.ndarray:
     return ended <= edits
 
 
-def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, least: int = 40) -> DataFrame:
+def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = 2, least: int = 40, exact: int | None = None) -> DataFrame:
     """The lines that go: doc_id, number (from 0) in the document, group (a line's hash).
 
     Lines of at least ``least`` characters that are within ``edits`` edits of each other are linked; of each connected group the first
-    occurrence (least doc_id, then number) stays and all others go. Shorter lines stay. Rows without doc_id are not looked at, and rows
+    occurrence (least doc_id, then number) stays and all others go. Of shorter lines those of at least ``exact`` characters that are not
+    all white space are linked if they are equal; without ``exact`` they all stay. Rows without doc_id are not looked at, and rows
     that share a doc_id are read as one document each: a line that goes, goes in all of them.
     """
     rows = only(df, doc_id=doc_id, text=text).filter("doc_id IS NOT NULL")
@@ -145,7 +152,10 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
             texts, keys = part.column("text").to_pylist(), part.column("doc_id")
             for a, b in batches(texts, BATCH):
                 x = Lines(texts[a:b])
-                long = np.flatnonzero(x.end - x.start >= least)
+                long = x.end - x.start >= least
+                if exact is not None:
+                    long |= (x.end - x.start >= exact) & x.filled()
+                long = np.flatnonzero(long)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(x.owner[long] + a)), pa.array(x.number[long].astype(np.int32)), pa.array(x.hash[long].view(np.int64))], ["doc_id", "number", "line"])
 
     def keys(known: HashFilter | None = None):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import components, decontaminate, jaccard, line_dedup, pivots, toxicity, warc
+from tallywright.llm import components, decontaminate, jaccard, line_dedup, pivots, queries, toxicity, warc
 from tallywright.llm.words import Words
 
 
@@ -228,3 +228,16 @@ def test_vectors_of_a_dense_cluster(spark, n):
     got = pivots.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
     assert len(got) == n and all(r.n_links <= want[r.vec_id] for r in got)
     assert sum(r.n_links for r in got) >= 0.99 * want.sum() > 0
+
+
+def test_short_lines_that_repeat_exactly(spark):
+    docs = ["All rights reserved.\n\nfirst text\n  ", "All rights reserved.\n\nsecond text\n  \nx", "x\nAll rights reserved!\nx"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {(r.doc_id, r.number) for r in line_dedup.repeated_lines(df, exact=1).collect()} == {(1, 0), (2, 0), (2, 2)}
+    assert {(r.doc_id, r.number) for r in line_dedup.repeated_lines(df, exact=2).collect()} == {(1, 0)}
+    assert line_dedup.repeated_lines(df).count() == 0
+
+
+def test_line_query_removes_short_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "All rights reserved.\nfirst"), (2, "All rights reserved.\nsecond")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.dropped for r in queries.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()} == {1: [], 2: [0]}
