@@ -149,7 +149,7 @@ def leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "
     """
     kind = {"d": df.schema[doc_id].dataType.simpleString(), "i": items.schema[item_id].dataType.simpleString()}
     rows = only(df, doc_id=doc_id, text=text)
-    own = only(items, item_id=item_id, text=item_text).filter(F.col("text").rlike(r"\w"))
+    own = only(items, item_id=item_id, text=item_text).filter(F.col("text").rlike(r"[\p{L}\p{N}\p{M}]"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-int(size) // ITEM_BYTES)
     out = None

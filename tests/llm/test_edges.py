@@ -150,3 +150,11 @@ def test_stages(spark, docs, empty, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         now = saved(stage(spark, now, str(tmp_path)), name)
         assert now.count() == 0
+
+
+def test_leaks_of_other_scripts(spark):
+    """Items without an ASCII letter or digit are items."""
+    texts = ["сколько планет вращается вокруг нашего солнца\nвосемь планет", "πόσοι πλανήτες υπάρχουν στο ηλιακό μας σύστημα"]
+    df = spark.createDataFrame([(k, "a b c " + t + " d e f") for k, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([*enumerate(texts), (9, "?! ...")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, items).collect()} == {(0, 0), (1, 1)}
