@@ -1,12 +1,13 @@
 """Benchmark decontamination: BM25 over test items, every training passage a query.
 
 Items are indexed, passages of all documents are the queries, and all items whose score reaches ``threshold`` of the score they give
-their own text are retrieved, whatever their number. Bounds are those of block-max WAND, worked out for a whole batch of passages:
+their own text are retrieved, whatever their number. Bounds are those of block-max WAND, but there is no pivot and no cursor: they are
+worked out for all blocks of items, for so many passages at once as fill a grid of bounded size:
 
 * frequent terms whose highest impacts together stay below a share of the threshold cannot lift an item over it alone, so only the
   other terms open candidates;
 * items stand in blocks; for every term and block the highest impact is kept, and a block is scored only where the sum of its bounds
-  (with the bound of its frequent terms) reaches the threshold.
+  (with the bound of its frequent terms) reaches the threshold; other parts of the posting lists are not read.
 
 What is retrieved is verified on the words: question and answer of the item must both overlap with the passage.
 """
@@ -26,6 +27,7 @@ from tallywright.llm.words import Words, shingles
 
 K1, B = 1.2, 0.75
 ITEM_BYTES = 32_000_000  # texts of the items of one index; more items make more indexes, each queried by all passages
+CELLS = 2_000_000  # bounds or postings that are held at once
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -38,10 +40,36 @@ def split_item(text: str) -> tuple[str, str]:
     return (head, tail) if re.search(r"\w", head) and re.search(r"\w", tail) else (text, text)
 
 
+def _runs(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the runs and the places in them, for runs of ``count`` places from ``start``."""
+    run = np.repeat(np.arange(len(count)), count)
+    return run, np.arange(len(run)) + (start - np.cumsum(count) + count)[run]
+
+
+class Statistics:
+    """Number of items, their words, and the items of each term, added up over parts of the items."""
+
+    def __init__(self):
+        self.n, self.words, self.terms, self.df = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        for a, b in batches(texts):
+            w = Words(texts[a:b])
+            owner = np.repeat(np.arange(b - a), np.diff(w.at))
+            order = np.lexsort((owner, w.hashes))
+            h, o = w.hashes[order], owner[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+            terms, df = np.unique(h[first], return_counts=True)
+            every, place = np.unique(np.concatenate([self.terms, terms]), return_inverse=True)
+            self.df = np.bincount(place, weights=np.concatenate([self.df, df]), minlength=len(every)).astype(np.int64)
+            self.terms, self.n, self.words = every, self.n + b - a, self.words + len(h)
+
+
 class Index:
-    """Impact lists of items. Statistics are those of the items of this index."""
+    """Impact lists of items. Without ``whole``, statistics of more items than these, they are those of the items of this index."""
 
-    def __init__(self, ids: list[int], texts: list[str], threshold: float, block: int = 8):
+    def __init__(self, ids: list[int], texts: list[str], threshold: float, block: int = 8, whole: Statistics | None = None):
         self.ids = np.array(ids, np.int64)
         w = Words(texts)
         n = len(texts)
@@ -53,8 +81,9 @@ class Index:
         pair, tf = np.unique(term * n + item, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(lengths.mean() if n else 1, 1e-9)))
+        n_all, mean, df_all = (n, lengths.mean() if n else 1, df) if whole is None else (whole.n, whole.words / max(whole.n, 1), whole.df[np.searchsorted(whole.terms, self.terms)])
+        idf = np.log1p((n_all - df_all + 0.5) / (df_all + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(mean, 1e-9)))
         impact /= np.bincount(item, weights=impact, minlength=n)[item]
         self.item, self.impact = item, impact
         self.at = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -64,6 +93,7 @@ class Index:
         best = np.zeros(len(cells))
         np.maximum.at(best, place, impact)
         self.block_at = np.searchsorted(cells // max(self.n_blocks, 1), np.arange(len(self.terms) + 1))
+        self.cells, self.cell_at = cells, np.searchsorted(cell, np.append(cells, cells[-1:] + 1))  # postings stand in the order of their cells
         self.block_of, self.block_max = cells % max(self.n_blocks, 1), best
         # Frequent terms first, while all of them together stay below 60 percent of the threshold for every item.
         order = np.argsort(-df, kind="stable")
@@ -89,21 +119,42 @@ class Index:
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray, n: int) -> Iterator[tuple[int, int, float]]:
         """Passage, item and score for distinct (passage, term) rows in the order of the passage."""
-        rare = self.rare[term]
-        p, t = passage[rare], term[rare]
-        count = self.block_at[t + 1] - self.block_at[t]
-        cell = np.repeat(self.block_at[t] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        bound = np.bincount(np.repeat(p, count) * self.n_blocks + self.block_of[cell], weights=self.block_max[cell], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
-        open_ = (bound > 0) & (bound + self.frequent >= self.threshold - 1e-9)
         edges = np.searchsorted(passage, np.arange(n + 1))
-        for k in np.flatnonzero(open_.any(axis=1)):
-            own = term[edges[k]:edges[k + 1]]
-            lists = [np.arange(self.at[x], self.at[x + 1]) for x in own]
-            at = np.concatenate(lists)
-            at = at[open_[k][self.item[at] // self.block]]
-            score = np.bincount(self.item[at], weights=self.impact[at], minlength=len(self.ids))
-            for i in np.flatnonzero(score >= self.threshold - 1e-9):
-                yield int(k), int(i), float(score[i])
+        step = max(1, CELLS // max(self.n_blocks, 1))
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            rows = slice(edges[a], edges[b])
+            bound = self._bounds(passage[rows] - a, term[rows], b - a)
+            open_ = (bound > 0) & (bound + self.frequent >= self.threshold - 1e-9)
+            for k in np.flatnonzero(open_.any(axis=1)):
+                own, blocks = term[edges[a + k]:edges[a + k + 1]], np.flatnonzero(open_[k])
+                few = max(1, CELLS // (self.block * len(own)))
+                for c in range(0, len(blocks), few):
+                    for i, score in self._scores(own, blocks[c:c + few]):
+                        yield int(a + k), i, score
+
+    def _bounds(self, p: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+        """Highest scores by rare terms, passages by blocks; the cells of the terms are summed CELLS at once, or those of one term."""
+        rare = self.rare[t]
+        p, t = p[rare], t[rare]
+        count = self.block_at[t + 1] - self.block_at[t]
+        ends, bound, lo = np.cumsum(count), np.zeros(n * self.n_blocks), 0
+        while lo < len(t):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, side="right")))
+            at, cell = _runs(self.block_at[t[lo:hi]], count[lo:hi])
+            np.add.at(bound, p[lo:hi][at] * self.n_blocks + self.block_of[cell], self.block_max[cell])
+            lo = hi
+        return bound.reshape(n, self.n_blocks)
+
+    def _scores(self, terms: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, float]]:
+        """Items of these blocks that reach the threshold. Of each posting list only the blocks' parts are read."""
+        wanted = (terms[:, None] * self.n_blocks + blocks).ravel()
+        at = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+        cell, place = at[self.cells[at] == wanted], np.flatnonzero(self.cells[at] == wanted) % len(blocks)
+        run, posting = _runs(self.cell_at[cell], self.cell_at[cell + 1] - self.cell_at[cell])
+        score = np.bincount(place[run] * self.block + self.item[posting] % self.block, weights=self.impact[posting], minlength=len(blocks) * self.block)
+        for k in np.flatnonzero(score >= self.threshold - 1e-9):
+            yield int(blocks[k // self.block] * self.block + k % self.block), float(score[k])
 
     def overlaps(self, item: int, words: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and the answer's runs of words that stand in the passage."""
@@ -152,11 +203,20 @@ def leaks(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "
     own = only(items, item_id=item_id, text=item_text).filter(F.col("text").rlike(r"[\p{L}\p{N}\p{M}]"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-int(size) // ITEM_BYTES)
-    out = None
+    out, whole = None, None
+
+    def items_of(shard: int) -> pa.Table:
+        return own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).toArrow()
+
+    if shards > 1:
+        # Statistics of all items come first, so that an item scores the same in any index; they take 16 bytes a term.
+        whole = Statistics()
+        for shard in range(shards):
+            whole.add(items_of(shard)["text"].to_pylist())
     for shard in range(shards):
-        part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).toArrow()
+        part = items_of(shard)
         # The index of at most about ITEM_BYTES of texts goes to every task; other items come in other rounds.
-        index = df.sparkSession.sparkContext.broadcast(Index(list(range(part.num_rows)), part["text"].to_pylist(), threshold))
+        index = df.sparkSession.sparkContext.broadcast(Index(list(range(part.num_rows)), part["text"].to_pylist(), threshold, whole=whole))
         names = part["item_id"].combine_chunks()
 
         def search(parts: Iterator[pa.RecordBatch], index=index, names=names) -> Iterator[pa.RecordBatch]:

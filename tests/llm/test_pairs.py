@@ -241,3 +241,30 @@ def test_short_lines_that_repeat_exactly(spark):
 def test_line_query_removes_short_lines(spark, tmp_path):
     spark.createDataFrame([(1, "All rights reserved.\nfirst"), (2, "All rights reserved.\nsecond")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.dropped for r in queries.QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()} == {1: [], 2: [0]}
+
+
+def test_leaks_are_the_same_in_several_indexes(spark, monkeypatch):
+    """Scores follow from the statistics of all items, however many indexes and slices there are."""
+    rng = random.Random(8)
+    word = lambda: f"w{min(int(rng.expovariate(0.02)), 300)}"
+    items = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    docs = [" ".join([*(word() for _ in range(20)), *items[k % 60].split()[:rng.randint(8, 30)]]) for k in range(120)]
+    df, of = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    run = lambda: {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.leaks(df, of, overlap=0.2).collect()}
+    want = run()
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1500)
+    assert len(want) > 40 and run() == want
+
+
+def test_slices_lose_no_item(monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"w{min(int(rng.expovariate(0.04)), 200)}"
+    index = decontaminate.Index(list(range(50)), [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(50)], 0.35, block=4)
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(100)]
+    w = Words(texts)
+    pairs = sorted({(k, int(np.searchsorted(index.terms, h))) for k in range(100) for h in w.hashes[w.at[k]:w.at[k + 1]] if h in index.terms})
+    p, t = (np.array(x) for x in zip(*pairs))
+    run = lambda: {(k, i): round(s, 9) for k, i, s in index.retrieve(p, t, 100)}
+    want = run()
+    monkeypatch.setattr(decontaminate, "CELLS", 10)
+    assert len(want) > 20 and run() == want
