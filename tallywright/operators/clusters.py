@@ -157,11 +157,11 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
     return r.join(of, "sid").drop("tokens", "_o", "sid").unionByName(empty)
 
 
-def subject_partitions(clustered: DataFrame, max_rows: int = 40) -> DataFrame:
-    """CL05. Clusters with their size: ``kept`` for 2 to ``max_rows`` rows, ``oversized`` and ``single`` are reported, not lost."""
+def subject_partitions(clustered: DataFrame, max_rows: int | None = 40) -> DataFrame:
+    """CL05. Clusters with their size: ``kept`` for 2 to ``max_rows`` rows (None: any), ``oversized`` and ``single`` are reported, not lost."""
     n = clustered.groupBy("leader_id").agg(F.count("*").alias("size"))
     return clustered.join(n, "leader_id").withColumn("subject", F.concat(F.lit("cluster-"), "leader_id")).withColumn(
-        "outcome", F.when(F.col("size") < 2, "single").when(F.col("size") > max_rows, "oversized").otherwise("kept"))
+        "outcome", F.when(F.col("size") < 2, "single").when(F.col("size") > max_rows if max_rows is not None else F.lit(False), "oversized").otherwise("kept"))
 
 
 def group_assertions(clustered: DataFrame, subject: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -211,10 +211,12 @@ def promotion(scored: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def contested_groups(rows: DataFrame, order: Sequence[str], now: Column, partition_threshold: float = 0.35, claim_threshold: float = 0.5,
-                     conflict_threshold: float = 0.4, max_rows: int = 40) -> DataFrame:
+                     conflict_threshold: float = 0.4, max_rows: int | None = None, claim_chars: int | None = None, evidence_rows: bool = False) -> DataFrame:
     """CL09. Subjects whose claim is contested by rows with similar words and other numbers.
 
-    Rows come filtered by the deny rules. Partitions hold at most ``max_rows`` rows, so the lists below are bounded.
+    Rows come filtered by the deny rules. The published definition leaves out subjects of more than ``max_rows`` = 40 rows and cuts
+    claims to ``claim_chars`` = 140 characters. ``evidence`` is one list per subject, or with ``evidence_rows`` one row per assertion
+    or contradiction, which no size of a subject makes long.
     """
     parts = subject_partitions(leader_clusters(rows, order, scope=(), threshold=partition_threshold), max_rows).filter("outcome = 'kept'")
     parts = parts.drop("leader_id", "size", "outcome")
@@ -228,10 +230,13 @@ def contested_groups(rows: DataFrame, order: Sequence[str], now: Column, partiti
     genuine = c.filter(real).select("subject").distinct()
     facts = g.groupBy("subject").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == "assertion", F.col("agent")))), ", ").alias("majority"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") != "assertion", F.col("agent")))), ", ").alias("minority"),
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "agent", "id"))), ",").alias("evidence"))
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") != "assertion", F.col("agent")))), ", ").alias("minority"))
+    one = F.concat_ws(":", "agent", "id")
+    evidence = g.select("subject", one.alias("evidence")) if evidence_rows else g.groupBy("subject").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("evidence"))
+    facts = facts.join(evidence, "subject")
+    text = F.col("claim_text") if claim_chars is None else tx.clip(F.col("claim_text"), claim_chars)
     return scored.join(genuine, "subject", "left_semi").join(facts, "subject").join(claim, "subject").select(
-        "subject", tx.clip(F.col("claim_text"), 140).alias("claim"), "majority", "minority", "evidence", "trust", "distinct_agents", "contradicting_agents")
+        "subject", text.alias("claim"), "majority", "minority", "evidence", "trust", "distinct_agents", "contradicting_agents")
 
 
 TRUST_RANK = {"durable": 0, "corroborated": 1, "unverified": 2, "contested": 3}

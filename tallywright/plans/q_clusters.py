@@ -126,7 +126,7 @@ def _(t):
 def _(t):
     from tallywright.operators.filters import deny_rule_filter
     rows = deny_rule_filter(t.doc_ledger, ["src3"], ["license"]).select("id", "agent", "ts", "text")
-    return cl.contested_groups(rows, ["ts", "id"], ts(NOW_EVENTS))
+    return cl.contested_groups(rows, ["ts", "id"], ts(NOW_EVENTS), evidence_rows=True)
 
 
 @query("cl11_compact_ledger")

@@ -86,6 +86,17 @@ def test_contested_groups(spark):
     assert [(r.majority, r.minority) for r in got] == [("a, b", "c, d")]
 
 
+def test_contested_groups_of_any_size(spark):
+    tail = " and so on" * 20
+    rows = [(f"{k:02d}", T0, "ab"[k % 2] if k < 30 else "cd"[k % 2], ("budget for project apollo is 100 dollars" if k < 30 else "budget for project zeus moon is 900 euros") + tail) for k in range(50)]
+    df = spark.createDataFrame(rows, "id string, ts timestamp_ntz, agent string, text string")
+    run = lambda **x: cl.contested_groups(df, ["ts", "id"], F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), partition_threshold=0.2, claim_threshold=0.9, conflict_threshold=0.2, **x).collect()
+    (got,) = run()
+    assert (got.majority, got.minority, got.claim) == ("a, b", "c, d", rows[0][3]) and len(got.evidence.split(",")) == 50
+    assert sorted(r.evidence for r in run(evidence_rows=True)) == sorted(f"{a}:{i}" for i, _, a, _ in rows)
+    assert run(max_rows=40) == []
+
+
 def test_trust_rerank_moves_corroborated_hits_up(spark):
     rows = [(1, "x", 1, "a", T0, "lone claim words"), (1, "y", 2, "b", T0, "shared fact stands here"), (1, "z", 3, "c", T0, "shared fact stands here")]
     df = spark.createDataFrame(rows, "query_id int, id string, rank int, agent string, ts timestamp_ntz, text string")
