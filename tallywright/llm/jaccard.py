@@ -92,9 +92,12 @@ def near_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     out. Rows that share a doc_id are one document, whose text is the greatest of theirs. An empty table gives no rows.
     """
     rows = only(df, doc_id=doc_id, text=text).filter("doc_id IS NOT NULL")
+    # Texts are shuffled for it only where an id repeats.
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = saved(rows.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
     sketches = saved(_sketches(rows, size), "sketches")
-    # One class per set; a doc_id that came twice takes the least of its classes.
-    own = sketches.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "n", "bands")).alias("s")).select("doc_id", "s.*")
+    own = sketches.select("doc_id", "f1", "f2", "n", "bands")
+    # One class per set.
     classes = saved(own.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
 
     keys = classes.select("id", F.posexplode("bands").alias("band", "key"))

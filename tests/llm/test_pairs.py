@@ -268,3 +268,10 @@ def test_slices_lose_no_item(monkeypatch):
     want = run()
     monkeypatch.setattr(decontaminate, "CELLS", 10)
     assert len(want) > 20 and run() == want
+
+
+def test_repeated_rows_of_a_document_are_one_document(spark):
+    words = [f"word{k}" for k in range(60)]
+    a, b = " ".join(words), " ".join(words[:-2])
+    df = spark.createDataFrame([(1, a), (1, a), (1, a), (2, b), (3, "z " + b), (3, a + " of another kind " * 20)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_links, r.group_id) for r in jaccard.near_documents(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1)}
