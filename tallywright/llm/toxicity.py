@@ -125,9 +125,9 @@ def logistic(rows: np.ndarray, columns: np.ndarray, n: int, width: int, target:
 def fit(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Term hashes in order, their weights, bias. ``docs``: doc_id, text; ``labels``: doc_id, toxic."""
     train = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # At most ``sample`` ids, so the broadcast is bounded by that parameter.
+    # At most ``sample`` ids and one text of each, the greatest, so the broadcast and the sample are bounded by that parameter.
     picked = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = saved(docs.join(F.broadcast(picked), "doc_id").repartition("doc_id"), "training")
+    texts = saved(docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "training")
 
     def terms(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -181,7 +181,7 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """One row per input row: doc_id, held_out (crc32 of the id as text is a multiple of 5), score (0 to 1), predicted (score >= 0.5).
 
     Labels of held-out ids are never read. Null texts score as empty ones; a null id counts as not held out and trains nothing. Without
-    labels of both classes every score is the share of the one class. Repeated rows are scored one by one; other columns are ignored.
+    labels of both classes every score is the share of the one class. Repeated rows are scored one by one and train as one; other columns are ignored.
     """
     rows = only(df, doc_id=doc_id, text=text)
     features, weights, bias = fit(rows.filter("doc_id IS NOT NULL"), only(labels, doc_id=doc_id, toxic=toxic), sample)

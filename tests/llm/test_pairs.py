@@ -275,3 +275,12 @@ def test_repeated_rows_of_a_document_are_one_document(spark):
     a, b = " ".join(words), " ".join(words[:-2])
     df = spark.createDataFrame([(1, a), (1, a), (1, a), (2, b), (3, "z " + b), (3, a + " of another kind " * 20)], "doc_id long, text string")
     assert {r.doc_id: (r.n_links, r.group_id) for r in jaccard.near_documents(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1)}
+
+
+def test_repeated_rows_train_as_one(spark):
+    rng = random.Random(4)
+    docs = [(k, " ".join(rng.choice(["you idiot scum", "garden tea", "stupid", "morning rain"][k % 2::2]) for _ in range(12))) for k in range(120)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in docs], "doc_id long, toxic int")
+    fit = lambda rows: toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, 100)
+    one, many = fit(docs), fit(docs + [d for d in docs if d[0] < 10] * 40)
+    assert len(one[0]) and all(np.array_equal(x, y) for x, y in zip(one[:2], many[:2])) and one[2] == many[2]
