@@ -152,6 +152,15 @@ def _(t):
     return out.withColumn("day", F.col("day").cast("string"))
 
 
+@query("jn12_asof_forward_ship_days", """WITH days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem),
+ev AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS x FROM orders),
+m AS (SELECT ev.d, x, (SELECT min(days.d) FROM days WHERE days.d >= ev.d) AS day FROM ev)
+SELECT CAST(day AS VARCHAR) AS day, string_agg(x, ' | ' ORDER BY fd, x) AS event FROM (SELECT day, x, min(d) AS fd FROM m WHERE day IS NOT NULL GROUP BY day, x) GROUP BY day""")
+def _(t):
+    out = jn.asof_forward(t.orders.select(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("text")), t.lineitem.select(F.to_date("l_shipdate").alias("date")))
+    return out.withColumn("day", F.col("day").cast("string"))
+
+
 @query("jn13_overlay_by_date", f"""WITH {BARS} SELECT CAST(date AS VARCHAR) AS date, CASE WHEN day(date) <= 10 THEN close * 2 ELSE close END AS close,
   CASE WHEN day(date) <= 10 THEN 'overlay' ELSE 'base' END AS src,
   CASE WHEN volume > 8 THEN 'busy' WHEN day(date) <= 10 THEN 'note' ELSE '' END AS event FROM bars""")
