@@ -5,7 +5,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,21 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of all of them.
+
+    The rows are sorted over all partitions and written with their place inside their partition; the rows before each partition, one number
+    for a partition, are added afterwards. No task holds more than its own range.
+    """
+    place = F.monotonically_increasing_id()
+    rows = saved(df.orderBy(*order).withColumn("_place", place), "ordered")
+    part = F.shiftright("_place", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    out = rows.withColumn("_part", part).join(before, "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before", "_place")
+
+
 FILTER_BITS = 1 << 27
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import binary_output, decontaminate, jaccard, language, line_dedup, packing, pivots, token_counts, toxicity, warc
+from tallywright.llm import binary_output, decontaminate, jaccard, language, line_dedup, packing, pivots, resampling, token_counts, toxicity, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,32 @@ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x), m AS
 SELECT doc_id, least(doc_id, coalesce(copy, doc_id)) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, least(doc_id, coalesce(low, doc_id)) AS group_id, doc_id <= coalesce(low, doc_id) AS kept
 FROM documents LEFT JOIN k ON k.x = doc_id LEFT JOIN m ON m.x = doc_id
 """
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the words of the benchmark."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+# CRC-32 byte by byte with the usual table, itself worked out bit by bit; once for every different word.
+ORACLES["op11_importance_resampling"] = r"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+texts AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+words AS (SELECT side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+uses AS (SELECT side, doc_id, w, count(*) AS n FROM words GROUP BY ALL),
+coded AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM uses)),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+  lambda x, b: xor(t[(xor(x, b) & 255) + 1], x >> 8)), CAST(4294967295 AS BIGINT)) % 10000 AS bucket FROM coded, crc),
+placed AS (SELECT side, doc_id, bucket, n FROM uses JOIN hashed USING (w)),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM placed GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM sums),
+weights AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scores AS (SELECT d.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0)
+  + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)),
+fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS drawn FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= drawn THEN r END AS rank FROM scores LEFT JOIN fit USING (doc_id)
+"""
