@@ -80,7 +80,7 @@ def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) ->
 
 
 class Interned:
-    """``slot`` of every occurrence, numbered from 0 without gaps; ``count`` of every slot; ``owner``, an occurrence of every slot's string."""
+    """``slot`` of every occurrence, numbered from 0 without gaps; ``count`` of every slot; ``owner``, an occurrence of every slot's string, and its key in ``keys``."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
         self.data, self.start, self.length = data, start, length
@@ -108,6 +108,7 @@ class Interned:
         number = np.zeros(size, np.int64)
         number[used] = np.arange(len(used))
         self.slot, self.owner = number[place], table[used]
+        self.keys = keys[self.owner]
         self.count = np.bincount(self.slot, minlength=len(used))
 
     def strings(self) -> list[bytes]:

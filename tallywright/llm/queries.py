@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import binary_output, decontaminate, jaccard, language, line_dedup, packing, pivots, resampling, token_counts, toxicity, warc
+from tallywright.llm import binary_output, decontaminate, jaccard, language, line_dedup, packing, phrases, pivots, resampling, token_counts, toxicity, url_filter, warc
 from tallywright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,56 @@ scores AS (SELECT d.doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_feature
 fit AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS drawn FROM scores WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= drawn THEN r END AS rank FROM scores LEFT JOIN fit USING (doc_id)
 """
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; the trees learn from the URLs that a rule decides."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def page_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page's URL, and the rule's verdict."""
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    rule, verdict = url_filter.rule_for(F.col("host"), F.col("path"), URL_RULES)
+    return pages.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), verdict.alias("verdict"))
+
+
+ORACLES["page_url_rules"] = r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*', 0)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r(verdict, host, start, rule) AS (VALUES ('allow', 'org', '/', 'org/'), ('block', 'example.org', '/es/', 'example.org/es/'), ('block', 'example.org', '/en/1', 'example.org/en/1'),
+  ('allow', 'com', '/fr/', 'com/fr/'), ('block', 'com', '/de/', 'com/de/')),
+m AS (SELECT p.page_id, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+  FROM p JOIN r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.start) GROUP BY p.page_id)
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+@query
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), size=3, least=10, share=50, first=2000)
+
+
+ORACLES["op13_phrase_graph"] = r"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM p),
+runs AS (SELECT lang, k, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, g, count(*) AS a FROM runs GROUP BY ALL),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+inner_runs AS (SELECT lang, g[1:2] AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, g[2:3], a FROM c WHERE k = 3),
+covered AS (SELECT lang, g, max(a) AS longer FROM inner_runs GROUP BY lang, g),
+kept AS (SELECT c.* FROM c LEFT JOIN covered v ON c.lang = v.lang AND c.g = v.g WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (SELECT lang, g, a, k, unnest(range(1, k)) AS cut FROM kept),
+scores AS (SELECT x.lang, x.g, x.a, cut, l.a AS l, r.a AS r, CAST(CAST(1000000 AS HUGEINT) * x.a * x.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.g = x.g[1:cut] JOIN f r ON r.lang = x.lang AND r.g = x.g[cut + 1:x.k]),
+best AS (SELECT lang, g, a, min(struct_pack(score := score, cut := cut, l := l, r := r)) AS b FROM scores GROUP BY lang, g, a),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, b.l AS l, b.r AS r, b.score AS score FROM best)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
