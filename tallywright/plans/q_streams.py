@@ -8,8 +8,11 @@ from tallywright.plans.tables import NOW_E, NOW_EVENTS, Tables, ts
 from tallywright.streaming import jobs, runner
 
 
+FILES = 8  # files in a micro-batch
+
+
 def events(t: Tables):
-    e = runner.event_time(runner.stream_files(t.spark, t.dir, "events.parquet"))
+    e = runner.event_time(runner.stream_files(t.spark, t.dir, "events.parquet", files_per_trigger=FILES))
     return e.withColumn("agent", F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string"))).withColumn("id", F.col("event_id"))
 
 
@@ -38,9 +41,11 @@ def _(t):
 
 @query("st04_freshness_stream", f"SELECT event_type AS stream, CASE WHEN (epoch_us({NOW_E}) - epoch_us(max(ts))) / 3.6e9 <= 24.2 THEN 'FRESH' ELSE 'STALE' END AS state, round((epoch_us({NOW_E}) - epoch_us(max(ts))) / 3.6e9, 1) AS age_h, CAST(24.2 AS DOUBLE) AS max_age_h FROM events GROUP BY event_type")
 def _(t):
-    n = runner.update_to_table(jobs.newest_per_stream(events(t).withColumnRenamed("event_type", "stream"), "stream"), ["stream"], folder(t, "st04"))
     slo = t.events.select(F.col("event_type").alias("stream")).distinct().withColumn("max_age_h", F.lit(24.2))
-    return ev.freshness(n, slo, "stream", ts(NOW_EVENTS))
+    states = jobs.freshness_stream(events(t).withColumnRenamed("event_type", "stream"), "stream", slo, as_of=NOW_EVENTS)
+    with runner.keyed_state(t.spark):
+        newest = runner.update_to_table(states, ["stream"], folder(t, "st04"))
+    return jobs.freshness_table(newest, slo, "stream", ts(NOW_EVENTS))
 
 
 _ERRORS = "e AS (SELECT user_id, event_id AS id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'error')"
@@ -51,14 +56,14 @@ _ERRORS = "e AS (SELECT user_id, event_id AS id, ts, row_number() OVER (PARTITIO
   FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1) SELECT user_id, id, n AS consecutive, n >= 3 AS escalate FROM w WHERE fire""")
 def _(t):
     s = events(t).filter("event_type = 'error'").select("user_id", "id", "ts")
-    return runner.append_to_table(jobs.alert_cooldown(s, "user_id", 1440), folder(t, "st05")).select("user_id", "id", "consecutive", "escalate")
+    return runner.to_the_end(lambda close: jobs.alert_cooldown(s, "user_id", 1440, close=close), t.spark, folder(t, "st05")).select("user_id", "id", "consecutive", "escalate")
 
 
 @query("st06_dark_streak", """WITH a AS (SELECT agent, event_id AS id, event_type = 'error' AS dark, row_number() OVER w AS rn, ts FROM (SELECT 'a' || (user_id % 7) AS agent, event_id, event_type, ts FROM events) WINDOW w AS (PARTITION BY agent ORDER BY ts, event_id)),
 b AS (SELECT *, max(CASE WHEN NOT dark THEN rn END) OVER (PARTITION BY agent ORDER BY rn) AS lastok FROM a) SELECT agent, id, CASE WHEN dark THEN rn - coalesce(lastok, 0) ELSE 0 END AS streak FROM b""")
 def _(t):
     s = events(t).select("agent", "id", "ts", (F.col("event_type") == "error").alias("dark"))
-    return runner.append_to_table(jobs.dark_streak(s, "agent"), folder(t, "st06")).select("agent", "id", "streak")
+    return runner.to_the_end(lambda close: jobs.dark_streak(s, "agent", close=close), t.spark, folder(t, "st06")).select("agent", "id", "streak")
 
 
 @query("st07_burn_rate_stream", """WITH b AS (SELECT epoch_us(ts) // 300000000 AS s, event_type = 'error' AS bad FROM events), x AS (SELECT (s + i + 1) * 300 AS e, bad FROM b, range(12) r(i))
@@ -71,7 +76,7 @@ def _(t):
 
 def messages(t: Tables):
     """Conversation turns as a stream; every message comes twice."""
-    c = runner.stream_files(t.spark, t.dir, "conversations.parquet")
+    c = runner.stream_files(t.spark, t.dir, "conversations.parquet", files_per_trigger=FILES)
     m, head = (F.col("conv_id") + F.col("turn")) % 5, None
     for i, s in enumerate(_SAFETY):
         head = F.when(m == i, s) if head is None else head.when(m == i, s)
@@ -86,7 +91,7 @@ def _(t):
 
 @query("st09_incremental_index", "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents")
 def _(t):
-    d = runner.stream_files(t.spark, t.dir, "documents.parquet")
+    d = runner.stream_files(t.spark, t.dir, "documents.parquet", files_per_trigger=FILES)
     d = d.select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.sha2("text", 256).alias("sha256"), F.col("source").alias("entity"), "text")
     return jobs.incremental_index(d, folder(t, "st09"))[0].select("path", "sha256")
 
@@ -97,7 +102,7 @@ def _(t):
     FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)) SELECT user_id AS job, id, plan, n AS attempt FROM w""")
 def _(t):
     s = events(t).filter("event_type = 'error'").select(F.col("user_id").alias("job"), "id", "ts")
-    return runner.append_to_table(jobs.restart_plan(s, "job", 1440), folder(t, "st10"))
+    return runner.to_the_end(lambda close: jobs.restart_plan(s, "job", 1440, close=close), t.spark, folder(t, "st10"))
 
 
 @query("st11_idempotent_append", "SELECT k AS key, arg_min(event_id, (ts, event_id)) AS id, count(*) AS attempts, count(DISTINCT event_type) > 1 AS conflict FROM (SELECT *, 'op' || (event_id % 4000) AS k FROM events) GROUP BY k")

@@ -5,18 +5,17 @@ the state functions also accept a batch DataFrame, which is how they are checked
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywright.functions.ordered import latest_by
 from tallywright.operators.documents import chunk_rows
 from tallywright.operators.privacy import safety_classify
 from tallywright.operators.scalars import strip_html
 from tallywright.streaming.runner import each_batch
+from tallywright.streaming.stateful import Freshness, in_order
 
 # Stateless and aggregating jobs ---------------------------------------------------------------------------------------
 
@@ -39,9 +38,23 @@ def usage_rollup_stream(usage: DataFrame, keys: list[str], late: str = "1 hour",
     return g.select(F.col("w.start").alias("window_start"), *keys, "tokens_in", "tokens_out", "cost_usd", "requests")
 
 
-def newest_per_stream(events: DataFrame, stream: str) -> DataFrame:
-    """ST04. Newest event per stream; freshness against the SLO is taken on this table at the time of asking."""
-    return events.groupBy(stream).agg(F.max("ts").alias("ts"))
+def freshness_stream(events: DataFrame, stream: str, slo: DataFrame, as_of: str | None = None) -> DataFrame:
+    """ST04. (stream, newest, state, max_age_ms, at) whenever the state of a declared stream is found out: with its events, and, without any, by a
+    timer as soon as the newest is older than the stream's ``max_age_h``. The newest row of a stream is its state.
+
+    ``slo`` has one row (stream, max_age_h) for each declared stream; events of others are dropped. With ``as_of`` (UTC) a history is judged at that time, without timers.
+    """
+    allowed = slo.select(F.col(stream).alias("_s"), F.round(F.col("max_age_h") * 3_600_000).cast("long").alias("max_age_ms"))
+    e = events.select(F.col(stream).alias("stream_"), "ts").join(allowed, F.col("stream_") == F.col("_s")).select("stream_", "ts", "max_age_ms")
+    replay = None if as_of is None else int(dt.datetime.fromisoformat(as_of).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    schema = f"stream {dict(events.dtypes)[stream]}, newest timestamp, state string, max_age_ms long, at timestamp"
+    return e.groupBy("stream_").transformWithStateInPandas(Freshness(replay), schema, "Update", "None" if replay is not None else "ProcessingTime").withColumnRenamed("stream", stream)
+
+
+def freshness_table(states: DataFrame, slo: DataFrame, stream: str, now: Column) -> DataFrame:
+    """ST04. State, age and allowed age of every declared stream from the newest rows of ``freshness_stream``; NO_DATA where there was none."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros("newest")) / 3.6e9
+    return slo.join(states.select(stream, "newest", "state"), stream, "left").select(stream, F.coalesce("state", F.lit("NO_DATA")).alias("state"), F.round(age, 1).alias("age_h"), "max_age_h")
 
 
 def burn_rate_stream(events: DataFrame, error: Column, slo: float, window: str = "1 hour", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -124,108 +137,56 @@ def incremental_index(docs: DataFrame, folder: str, store: str = "store/room") -
     return now, live
 
 
-# State functions -----------------------------------------------------------------------------------------------------
+# State machines ------------------------------------------------------------------------------------------------------
 
 NEVER = -1
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch in order; the micro-batch is bounded by the source's file limit."""
-    f = pd.concat(list(frames))
-    return f.sort_values(["ts", "id"], kind="stable")
-
-
-def _expire(state: GroupState, last_us: int, ttl_days: float) -> None:
-    """State lives ``ttl_days`` of event time after the key's last row."""
-    due = int(last_us / 1000 + ttl_days * 86_400_000)
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-
-def _us(t: pd.Timestamp) -> int:
-    return t.value // 1000
+def cooldown_step(wait_us: int, escalate_after: int):
+    """(last firing, firings) and a signal: fired and its number, or nothing during the cooldown."""
+    def step(state, t, _):
+        last, n = state
+        if last != NEVER and t - last < wait_us:
+            return state, None
+        return (t, n + 1), (n + 1, n + 1 >= escalate_after)
+    return step
+
+
+def streak_step(wait_us: int, need: int, escalate_after: int):
+    """(streak, sent, last sent) and a scan: the streak, whether help is sent, whether it escalates."""
+    def step(state, t, dark):
+        streak, sent, last = state
+        streak = streak + 1 if dark else 0
+        go = bool(dark) and streak >= need and (last == NEVER or t - last >= wait_us)
+        sent = sent + go if dark else 0
+        return (streak, sent, t if go else last), (streak, go, bool(dark) and sent >= escalate_after)
+    return step
+
+
+def restart_step(wait_us: int, escalate_after: int):
+    """(last restart, restarts, paused) and a failure: restart, cooldown, escalate once, then paused."""
+    def step(state, t, _):
+        last, tries, paused = state
+        if paused:
+            return state, ("paused", tries)
+        if last != NEVER and t - last < wait_us:
+            return state, ("cooldown", tries)
+        if tries + 1 > escalate_after:
+            return (last, tries, True), ("escalate", tries)
+        return (t, tries + 1, False), ("restart", tries + 1)
+    return step
+
+
+def alert_cooldown(signals: DataFrame, key: str, cooldown_min: int = 360, escalate_after: int = 3, late: str = "1 hour", ttl_days: float = 30, slot_minutes: int = 60, close: DataFrame | None = None) -> DataFrame:
+    """ST05. Fired signals: the first, and each one that comes when the last firing is at least the cooldown old."""
+    return in_order(signals, key, None, cooldown_step(cooldown_min * 60_000_000, escalate_after), (NEVER, 0), "last long, n long", "consecutive long, escalate boolean", late, slot_minutes, ttl_days, close)
 
 
-def _stateful(df: DataFrame, key: str, fn, out: str, state: str, late: str) -> DataFrame:
-    rows = df.withWatermark("ts", late).withColumnRenamed(key, "_key")
-    return rows.groupBy("_key").applyInPandasWithState(fn, out, state, "append", GroupStateTimeout.EventTimeTimeout).withColumnRenamed("_key", key)
+def dark_streak(scans: DataFrame, key: str, need: int = 2, cooldown_min: int = 360, escalate_after: int = 3, late: str = "1 hour", ttl_days: float = 30, slot_minutes: int = 60, close: DataFrame | None = None) -> DataFrame:
+    """ST06. Per scan the streak of dark readings, whether help is sent, and whether it escalates. ``scans`` has (key, id, ts, dark)."""
+    return in_order(scans, key, "dark", streak_step(cooldown_min * 60_000_000, need, escalate_after), (0, 0, NEVER), "streak long, sent long, last long", "streak long, dispatch boolean, escalate boolean", late, slot_minutes, ttl_days, close).drop("ts")
 
 
-def alert_cooldown(signals: DataFrame, key: str, cooldown_min: int = 360, escalate_after: int = 3, late: str = "1 hour", ttl_days: float = 30) -> DataFrame:
-    """ST05. Fired signals: the first, and each one that comes when the last firing is at least the cooldown old."""
-    wait = cooldown_min * 60_000_000
-
-    def step(k, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, n = state.get if state.exists else (NEVER, 0)
-        out, seen = [], 0
-        for r in _ordered(frames).itertuples():
-            t = _us(r.ts)
-            seen = max(seen, t)
-            if last != NEVER and t - last < wait:
-                continue
-            last, n = t, n + 1
-            out.append((k[0], r.id, r.ts, n, n >= escalate_after))
-        state.update((last, n))
-        _expire(state, seen, ttl_days)
-        yield pd.DataFrame(out, columns=["_key", "id", "ts", "consecutive", "escalate"])
-
-    kind = dict(signals.dtypes)
-    return _stateful(signals, key, step, f"_key {kind[key]}, id {kind['id']}, ts timestamp, consecutive long, escalate boolean", "last long, n long", late)
-
-
-def dark_streak(scans: DataFrame, key: str, need: int = 2, cooldown_min: int = 360, escalate_after: int = 3, late: str = "1 hour", ttl_days: float = 30) -> DataFrame:
-    """ST06. Per scan the streak of dark readings, whether help is sent, and whether it escalates. ``scans`` has (key, id, ts, dark)."""
-    wait = cooldown_min * 60_000_000
-
-    def step(k, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        streak, sent, last = state.get if state.exists else (0, 0, NEVER)
-        out, seen = [], 0
-        for r in _ordered(frames).itertuples():
-            t = _us(r.ts)
-            seen = max(seen, t)
-            streak = streak + 1 if r.dark else 0
-            go = bool(r.dark) and streak >= need and (last == NEVER or t - last >= wait)
-            sent = sent + go if r.dark else 0
-            last = t if go else last
-            out.append((k[0], r.id, streak, go, bool(r.dark) and sent >= escalate_after))
-        state.update((streak, sent, last))
-        _expire(state, seen, ttl_days)
-        yield pd.DataFrame(out, columns=["_key", "id", "streak", "dispatch", "escalate"])
-
-    kind = dict(scans.dtypes)
-    return _stateful(scans, key, step, f"_key {kind[key]}, id {kind['id']}, streak long, dispatch boolean, escalate boolean", "streak long, sent long, last long", late)
-
-
-def restart_plan(failures: DataFrame, key: str, cooldown_min: int = 360, escalate_after: int = 3, late: str = "1 hour", ttl_days: float = 30) -> DataFrame:
+def restart_plan(failures: DataFrame, key: str, cooldown_min: int = 360, escalate_after: int = 3, late: str = "1 hour", ttl_days: float = 30, slot_minutes: int = 60, close: DataFrame | None = None) -> DataFrame:
     """ST10. Plan per failure: restart, cooldown, escalate once after the allowed attempts, then paused."""
-    wait = cooldown_min * 60_000_000
-
-    def step(k, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, tries, paused = state.get if state.exists else (NEVER, 0, False)
-        out, seen = [], 0
-        for r in _ordered(frames).itertuples():
-            t = _us(r.ts)
-            seen = max(seen, t)
-            if paused:
-                plan = "paused"
-            elif last != NEVER and t - last < wait:
-                plan = "cooldown"
-            elif tries + 1 > escalate_after:
-                plan, paused = "escalate", True
-            else:
-                plan, last, tries = "restart", t, tries + 1
-            out.append((k[0], r.id, plan, tries))
-        state.update((last, tries, paused))
-        _expire(state, seen, ttl_days)
-        yield pd.DataFrame(out, columns=["_key", "id", "plan", "attempt"])
-
-    kind = dict(failures.dtypes)
-    return _stateful(failures, key, step, f"_key {kind[key]}, id {kind['id']}, plan string, attempt long", "last long, tries long, paused boolean", late)
+    return in_order(failures, key, None, restart_step(cooldown_min * 60_000_000, escalate_after), (NEVER, 0, False), "last long, tries long, paused boolean", "plan string, attempt long", late, slot_minutes, ttl_days, close).drop("ts")

@@ -6,13 +6,15 @@ to go on after a restart of the driver is given a ``resume`` name: it then finds
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.ordered import latest_by
 from tallywright.session import shared_root
+from tallywright.streaming.stateful import CLOSE
 
 
 def work_folder(spark: SparkSession, name: str, resume: str | None = None) -> str:
@@ -26,6 +28,30 @@ def stream_files(spark: SparkSession, folder: str, glob: str, schema=None, files
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as processors with timers need; a running stream has its own copy of the setting."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def to_the_end(job: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
+    """Runs ``job(close)``, an append stream with timers, over what is available, then closes it: a row of a far time passes the watermark
+    over all that still waits. A closed stream takes no more rows."""
+    schema, marks = "ts timestamp", f"{folder}/close"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(marks)
+    df = job(spark.readStream.schema(schema).parquet(marks))
+    with keyed_state(spark):
+        append_to_table(df, folder)
+        spark.createDataFrame([(CLOSE,)], schema).write.mode("append").parquet(marks)
+        return append_to_table(df, folder)
+
+
 def append_to_table(df: DataFrame, folder: str) -> DataFrame:
     """Runs an append stream into a Parquet sink, which writes every row exactly once, and returns the table."""
     spark, schema = df.sparkSession, df.schema
