@@ -7,29 +7,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import text as tx
+from tallywright.functions.links import follow, follow_to_cycles
 from tallywright.functions.ordered import latest_by
 from tallywright.operators.windows import fork_detection
 from tallywright.session import cut_lineage
 
 
 def alias_resolve(keys: DataFrame, aliases: DataFrame, hops: int | None = None) -> DataFrame:
-    """GR01. Follows the newest alias of every key to its end, or for ``hops`` steps (as published 8); a cycle stops before it closes.
+    """GR01. Follows the newest alias of every key to its end, or for ``hops`` steps (as published 8). A way into a cycle ends at the first
+    key of the cycle that it meets.
 
-    ``aliases`` has (ekey, evalue, ts, id). Only keys that still move are joined again; the loop ends when none does.
+    ``aliases`` has (ekey, evalue, ts, id). The ends of all aliases are found by pointer jumping and met by the keys once; a way of ``hops`` steps is joined step by step.
     """
     a = latest_by(aliases.select("ekey", "evalue", "ts", "id"), ["ekey"], ["ts", "id"])
-    a = cut_lineage(a.filter((F.coalesce("evalue", F.lit("")) != "") & (F.col("evalue") != F.col("ekey"))).select(F.col("ekey").alias("target"), F.col("evalue").alias("_to")))
-    moving, done, step = keys.select("key", F.col("key").alias("target"), F.array("key").alias("_seen")), None, 0
-    while True:
-        j = moving.join(a, "target", "left") if hops is None or step < hops else moving.withColumn("_to", F.lit(None).cast("string"))
-        j = cut_lineage(j.withColumn("_end", F.col("_to").isNull() | F.coalesce(F.array_contains("_seen", F.col("_to")), F.lit(False))))
+    a = a.filter((F.coalesce("evalue", F.lit("")) != "") & (F.col("evalue") != F.col("ekey"))).select(F.col("ekey").alias("src"), F.col("evalue").alias("dst"))
+    if hops is None:
+        ends = follow_to_cycles(a)
+        return keys.select("key").join(ends, F.col("key") == F.col("src"), "left").select("key", F.coalesce("end", "key").alias("target"))
+    a = cut_lineage(a.select(F.col("src").alias("target"), F.col("dst").alias("_to")))
+    moving, done = keys.select("key", F.col("key").alias("target"), F.array("key").alias("_seen")), None
+    for _ in range(hops):
+        j = cut_lineage(moving.join(a, "target", "left").withColumn("_end", F.col("_to").isNull() | F.coalesce(F.array_contains("_seen", F.col("_to")), F.lit(False))))
         # A key whose alias closes a cycle is left at the key that the alias names, as every step before it.
         ended = j.filter("_end").select("key", F.coalesce("_to", "target").alias("target"))
         done = ended if done is None else done.unionByName(ended)
         moving = j.filter("NOT _end").select("key", F.col("_to").alias("target"), F.array_append("_seen", F.col("_to")).alias("_seen"))
         if moving.isEmpty():
             return done
-        step += 1
+    rest = moving.select("key", "target")
+    return rest if done is None else done.unionByName(rest)
 
 
 def walk_graph(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
@@ -73,25 +79,33 @@ def entity_inventory(rows: DataFrame, approved: DataFrame, owner: str) -> DataFr
 def chain_members(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """GR04. (head, id, depth) for every row of the chain below each head; depth 0 is the head.
 
-    Pointer doubling: each round composes every jump with itself, so a chain of n rows takes log2(n) rounds. A row that
-    supersedes a missing row ends its chain; rows on a cycle are cut at the first repeated row.
+    Chains are cut at heads and at rows that several rows supersede. Inside a piece list ranking gives every row its distance from the top;
+    only the tops, few as they are, are then reached from the heads, and each piece is attached once. Where nothing forks a piece is a whole
+    chain. A row that supersedes a missing row ends its chain; rows on a cycle are cut at the first repeated row.
     """
     ids = rows.filter(F.col("id").isNotNull()).select("id").distinct()
     step = rows.filter(F.col("supersedes").isNotNull() & (F.col("supersedes") != F.col("id"))).select(F.col("id").alias("src"), F.col("supersedes").alias("dst")).join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy("src").agg(F.min("dst").alias("dst"))
     step = cut_lineage(step)
-    reach = heads.select(F.col("id").alias("head"), F.col("id").alias("id"), F.lit(0).cast("long").alias("depth"))
-    # From the heads every reached row is extended by the jump of the round: 1, 2, 4, ... links. Chains have no gaps, so a
-    # round without a new row is the last one.
-    jump, width, size = step, 1, -1
-    while True:
-        more = reach.join(jump, F.col("id") == F.col("src")).select("head", F.col("dst").alias("id"), (F.col("depth") + width).alias("depth"))
-        reach = cut_lineage(reach.unionByName(more).groupBy("head", "id").agg(F.min("depth").alias("depth")))
-        before, size = size, reach.count()
-        if size == before or width == 1 and more.isEmpty():
-            return reach
-        jump = cut_lineage(jump.join(jump.select(F.col("src").alias("_m"), F.col("dst").alias("_d")), F.col("dst") == F.col("_m")).select("src", F.col("_d").alias("dst")))
-        width *= 2
+    above = step.groupBy("dst").agg(F.count("*").alias("_n"), F.min("src").alias("src"))
+    tops = cut_lineage(heads.select("id").union(above.filter("_n > 1").select(F.col("dst").alias("id"))).distinct())
+    # The way up of every other row to the first top, or to a row above all heads, which then counts for nothing.
+    up = above.filter("_n = 1").select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(tops.withColumnRenamed("id", "src"), "src", "left_anti")
+    ranked = follow(up).filter("ended").join(tops.withColumnRenamed("id", "end"), "end", "left_semi").select(F.col("end").alias("top"), F.col("src").alias("id"), F.col("steps").alias("distance"))
+    pieces = cut_lineage(ranked.unionByName(tops.select(F.col("id").alias("top"), "id", F.lit(0).cast("long").alias("distance"))))
+    # A top that is superseded continues the pieces that end just above it. Every piece has one next top at most.
+    below = step.join(tops.withColumnRenamed("id", "dst"), "dst", "left_semi").join(pieces.withColumnRenamed("id", "src"), "src").select(F.col("top").alias("src"), "dst", (F.col("distance") + 1).alias("width"))
+    below = cut_lineage(below)
+    reach = heads.select(F.col("id").alias("head"), F.col("id").alias("top"), F.lit(0).cast("long").alias("depth")).distinct()
+    jump, size = below, 0
+    # From the heads every reached top is extended by the jump of the round, 1, 2, 4, ... pieces, until a round adds nothing.
+    while not jump.isEmpty() and (now := (reach := cut_lineage(reach)).count()) > size:
+        size = now
+        more = reach.join(jump, F.col("top") == F.col("src")).select("head", F.col("dst").alias("top"), (F.col("depth") + F.col("width")).alias("depth"))
+        reach = reach.unionByName(more).groupBy("head", "top").agg(F.min("depth").alias("depth"))
+        far = jump.select(F.col("src").alias("_m"), F.col("dst").alias("_d"), F.col("width").alias("_w"))
+        jump = cut_lineage(jump.join(far, F.col("dst") == F.col("_m")).select("src", F.col("_d").alias("dst"), (F.col("width") + F.col("_w")).alias("width")))
+    return reach.join(pieces, "top").select("head", "id", (F.col("depth") + F.col("distance")).alias("depth"))
 
 
 def supersede_chain(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -101,18 +115,27 @@ def supersede_chain(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return m.join(n, "head").select("head", "id", (F.col("_m") - F.col("depth") + 1).alias("position"), (F.col("_m") + 1).alias("chain_length"))
 
 
+def _ending(edges: DataFrame, near: str, far: str) -> DataFrame:
+    """(node): the nodes that cannot be left for ever along edges from ``near`` to ``far``, as far as single edges tell: those without an edge, and
+    those whose only edges lead to such a node in turn."""
+    out = edges.groupBy(near).agg(F.count("*").alias("_n"), F.min(far).alias("_far"))
+    single = out.filter("_n = 1").select(F.col(near).alias("src"), F.col("_far").alias("dst"))
+    several = out.filter("_n > 1").select(F.col(near).alias("end"))
+    hanging = follow(single).filter("ended").join(several, "end", "left_anti").select(F.col("src").alias("node"))
+    return hanging.union(edges.select(F.col(far).alias("node")).distinct().join(out.select(F.col(near).alias("node")), "node", "left_anti"))
+
+
 def cycle_check(edges: DataFrame) -> DataFrame:
     """GR05. Edges that lie on or between cycles, self edges included; an empty result is an acyclic graph.
 
-    Nodes without incoming edges are peeled from the front and nodes without outgoing edges from the back until
-    nothing changes.
+    Nodes that lead nowhere, and nodes that nothing leads to, are taken away until nothing changes. A whole chain goes at once: where a node has a single
+    edge its end is found by pointer jumping, so a chain of n edges takes log2(n) rounds. Further rounds are needed only as deep as branches lie behind branches.
     """
     cur = cut_lineage(edges.select("src", "dst").distinct())
     n = cur.count()
     while n:
-        kept = cur.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = kept.join(cur.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = cut_lineage(kept)
+        kept = cur.join(_ending(cur, "dst", "src").withColumnRenamed("node", "src"), "src", "left_anti")
+        kept = cut_lineage(kept.join(_ending(cur, "src", "dst").withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
         m = kept.count()
         if m == n:
             break
