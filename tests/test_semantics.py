@@ -316,7 +316,8 @@ def cooldown_step(state, i, t, flag):
 
 def test_alert_cooldown_over_batches(spark, tmp_path):
     rows = events()
-    got = runner.append_to_table(jobs.alert_cooldown(as_stream(spark, tmp_path, rows), "key"), str(tmp_path / "w"))
+    stream = as_stream(spark, tmp_path, rows)
+    got = runner.to_the_end(lambda close: jobs.alert_cooldown(stream, "key", close=close), spark, str(tmp_path / "w"))
     assert sorted((r.key, r.id, r.consecutive, r.escalate) for r in got.collect()) == fold(rows, cooldown_step, (None, 0))
 
 
@@ -330,7 +331,8 @@ def streak_step(state, i, t, dark):
 
 def test_dark_streak_over_batches(spark, tmp_path):
     rows = events(200, 8)
-    got = runner.append_to_table(jobs.dark_streak(as_stream(spark, tmp_path, rows).withColumnRenamed("flag", "dark"), "key"), str(tmp_path / "w"))
+    stream = as_stream(spark, tmp_path, rows).withColumnRenamed("flag", "dark")
+    got = runner.to_the_end(lambda close: jobs.dark_streak(stream, "key", close=close), spark, str(tmp_path / "w"))
     assert sorted((r.key, r.id, r.streak, r.dispatch, r.escalate) for r in got.collect()) == fold(rows, streak_step, (0, 0, None))
 
 
@@ -347,7 +349,8 @@ def restart_step(state, i, t, flag):
 
 def test_restart_plan_over_batches(spark, tmp_path):
     rows = events(200, 9)
-    got = runner.append_to_table(jobs.restart_plan(as_stream(spark, tmp_path, rows), "key"), str(tmp_path / "w"))
+    stream = as_stream(spark, tmp_path, rows)
+    got = runner.to_the_end(lambda close: jobs.restart_plan(stream, "key", close=close), spark, str(tmp_path / "w"))
     assert sorted((r.key, r.id, r.plan, r.attempt) for r in got.collect()) == fold(rows, restart_step, (None, 0, False))
 
 
