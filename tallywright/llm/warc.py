@@ -5,7 +5,7 @@ offset, file name, length. A file opens with a ``filedesc`` record whose body na
 length, never by what stands in them.
 
 Files are written by Spark as text with the formats' own separators (LF after an ARC record, two CRLF after a WARC record) and gzip,
-about ``file_bytes`` of payload in each, below the shared folder, and are read as binary files, record by record.
+about ``file_bytes`` of payload in each ARC file, below the shared folder, and are read as binary files, record by record.
 """
 from __future__ import annotations
 
@@ -36,27 +36,35 @@ def _word(value: str | None) -> str:
 def write_arc(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000", file_bytes: int = 24_000_000) -> None:
     """ARC files of pages: versions 1 and 2 by turns, file by file. A null page has an empty payload, a null URL is "-"."""
     rows = only(df, page_id=page_id, url=url, html=html)
-    total = rows.agg(F.sum(F.octet_length("html") + 400)).first()[0] or 0
 
     def archive(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        version, name = str(1 + part_id % 2), f"pages-{part_id:06d}.arc"
-        fill = " 200 - -" + f" 0 {name}" if version == "2" else ""
-        body = f"{version} 0 tallywright\n{LINES[version]}\n"
-        yield pa.RecordBatch.from_arrays([pa.array([f"filedesc://{name} 0.0.0.0 {date} text/plain{fill} {len(body)}\n{body}"])], ["value"])
+        part_id, number, out, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["\n".join(out)], pa.large_string()).cast(pa.string())], ["value"])
+
         for part in parts:
             for a in range(0, part.num_rows, 500):
-                out = []
                 for r in part.slice(a, 500).to_pylist():
+                    if not out:
+                        version, name = str(1 + (part_id + number) % 2), f"pages-{part_id:06d}-{number:06d}.arc"
+                        fill = " 200 - -" + f" 0 {name}" if version == "2" else ""
+                        body = f"{version} 0 tallywright\n{LINES[version]}\n"
+                        out = [f"filedesc://{name} 0.0.0.0 {date} text/plain{fill} {len(body)}\n{body}"]
                     payload = r["html"] or ""
-                    size = len(payload.encode())
+                    n = len(payload.encode())
                     own = f"X-Page-Id: {r['page_id']}\r\n" if r["page_id"] is not None else ""
-                    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n{own}\r\n{payload}"
+                    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n{own}\r\n{payload}"
                     out.append(f"{_word(r['url'])} 0.0.0.0 {date} text/html{fill} {len(block.encode())}\n{block}")
-                yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
+                    size += n + 400
+                    if size >= file_bytes:
+                        yield whole()
+                        number, out, size = number + 1, [], 0
+        if out:
+            yield whole()
 
-    dealt = rows.repartition(max(1, -(-int(total) // file_bytes)), "page_id", "url")
-    dealt.mapInArrow(archive, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    # A row is a whole archive and a file has one row, so pages are written where they are read, without a shuffle.
+    rows.mapInArrow(archive, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 class _Reader:
@@ -167,21 +175,31 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
+def whole_records(file: str, raw: bytes) -> Iterator[dict]:
+    """``arc_records`` with head, payload, payload_digest, page_id (from the page's own header), kind and id; a damaged one is left as it is."""
+    for r in arc_records(raw):
+        if not r["damaged"]:
+            r["file"] = file
+            r["head"], r["payload"] = _payload(r)
+            r["payload_digest"] = hashlib.sha256(r["payload"]).hexdigest()
+            own = _headers(r["head"]).get("x-page-id", "")
+            r["page_id"] = int(own) if re.fullmatch(r"-?\d{1,19}", own) else None
+            r["id"], r["kind"] = record_id(r, r["payload_digest"]), _kind(r, r["head"])
+        yield r
+
+
 def read_arc(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """Records: file, offset, id, kind, url, ip, date, page_id (from the page's own header), payload_bytes, payload_digest; with ``content`` also head and payload."""
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for f in part.to_pylist():
                 out, size = [], 0
-                for r in arc_records(f["content"]):
+                for r in whole_records(f["file"], f["content"]):
                     if r["damaged"]:
                         out.append((f["file"], r["offset"], None, "damaged", None, None, None, None, None, None, None, None))
                         continue
-                    head, payload = _payload(r)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    own = _headers(head).get("x-page-id", "")
-                    r["file"] = f["file"]
-                    out.append((f["file"], r["offset"], record_id(r, digest), _kind(r, head), r["url"], r["ip"], iso_date(r["date"]), int(own) if re.fullmatch(r"-?\d{1,19}", own) else None, len(payload), digest, head if content else None, payload if content else None))
+                    payload = r["payload"]
+                    out.append((f["file"], r["offset"], r["id"], r["kind"], r["url"], r["ip"], iso_date(r["date"]), r["page_id"], len(payload), r["payload_digest"], r["head"] if content else None, payload if content else None))
                     size += len(payload)
                     if size > 4_000_000 and content or len(out) > 5000:
                         yield batch(out)
@@ -201,21 +219,34 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
 
     Identifiers are UUIDs of URL, date, place and digest, so a repeated conversion gives the same. Of web records with equal payloads
     of at least ``least_bytes``, the one with the least page_id (then place; null last) is a response and the others revisit it. Damaged
-    records are left out. Decisions travel on the place of a record, which no two records share.
+    records are left out. Decisions travel as one row for each file, which holds no more records than the file, and meet the file as it is, compressed.
     """
     light = read_arc(spark, arc_path).select("file", "offset", "id", "kind", "url", "date", "page_id", "payload_bytes", "payload_digest")
     web = light.filter((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "offset", F.col("id").alias("to"), F.col("url").alias("to_url"), F.col("date").alias("to_date"))
     first = web.groupBy("payload_digest").agg(F.min(order).alias("f"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "f.to", "f.to_url", "f.to_date")
-    decided = web.select("file", "offset", "id", "payload_digest").join(first, "payload_digest").filter(F.col("id") != F.col("to")).select("file", "offset", "to", "to_url", "to_date")
-    full = read_arc(spark, arc_path, content=True).filter("kind <> 'damaged'").join(decided, ["file", "offset"], "left")
+    decided = web.select("file", "offset", "id", "payload_digest").join(first, "payload_digest").filter(F.col("id") != F.col("to"))
+    of_file = decided.groupBy("file").agg(F.collect_list(F.struct("offset", "to", "to_url", "to_date")).alias("decisions"))
 
     def render(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for a in range(0, part.num_rows, 200):
-                yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in part.slice(a, 200).to_pylist()], pa.string())], ["value"])
+            for k in range(part.num_rows):
+                f = part.slice(k, 1).to_pylist()[0]
+                decisions = {d["offset"]: d for d in f["decisions"] or []}
+                out, size = [], 0
+                for r in whole_records(f["file"], f["content"]):
+                    if r["damaged"]:
+                        continue
+                    out.append(warc_record(r | {"date": iso_date(r["date"])} | decisions.get(r["offset"], {"to": None})))
+                    size += len(out[-1])
+                    if size > 4_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                        out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    full.mapInArrow(render, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    files = _files(spark, arc_path).join(of_file, "file", "left").select("file", "content", "decisions")
+    files.mapInArrow(render, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
 
 
 def warc_record(r: dict) -> str:
