@@ -108,18 +108,46 @@ def test_two_fit_replaces_the_smallest():
     assert patterns[0] == ([(70, 1), (18, 1), (11, 1)], 1) and patterns[1] == ([(20, 1)], 1)
 
 
+def one_by_one(counts, size):
+    """Best-two-fit without counts by length: a bin at a time, a piece at a time."""
+    left = sorted((x for x, n in enumerate(counts) for _ in range(n)), reverse=True)
+    out = []
+    while left:
+        bin_, gap = [], size
+        for x in list(left):
+            if x <= gap:
+                bin_.append(x)
+                left.remove(x)
+                gap -= x
+        if gap and len(bin_) > 1:
+            small, room = min(bin_), gap + min(bin_)
+            # Two unpacked pieces that fill the room best, if better than the smallest piece; ties go to the shortest first one.
+            best = None
+            for i, x in enumerate(sorted(left)):
+                for y in sorted(left)[:i]:
+                    if x + y <= room and (best is None or (x + y, -min(x, y)) > (best[0] + best[1], -min(best))):
+                        best = (x, y)
+            if best and sum(best) > small:
+                bin_.remove(small)
+                left.append(small)
+                for x in best:
+                    left.remove(x)
+                    bin_.append(x)
+                left.sort(reverse=True)
+        out.append(tuple(sorted(bin_)))
+    return sorted(out)
+
+
 def test_equal_lengths_are_packed_as_one_by_one():
     rng = np.random.default_rng(2)
-    for _ in range(30):
+    for _ in range(60):
         counts = np.zeros(41, np.int64)
-        np.add.at(counts, rng.integers(1, 41, rng.integers(1, 120)), 1)
-        patterns = packing.two_fit_patterns(counts, 40)
-        back = np.zeros(41, np.int64)
-        for pieces, times in patterns:
+        np.add.at(counts, rng.integers(1, 41, rng.integers(1, 60)), 1)
+        bins = []
+        for pieces, times in packing.two_fit_patterns(counts, 40):
             assert sum(length * n for length, n in pieces) <= 40 and times > 0
-            for length, n in pieces:
-                back[length] += n * times
-        assert (back == counts).all()
+            bins += [tuple(sorted(length for length, n in pieces for _ in range(n)))] * times
+        assert sorted(bins) == one_by_one(counts, 40)
 
 
 def test_matrices(docs):
