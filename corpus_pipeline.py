@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document of nothing else goes. n_chars follows the text."""
-    left = line_dedup.without_repeated_lines(docs, edits=2, least=40)
+    """Repeated lines go, equal ones of any length and, from 40 characters, those within two edits; a document of nothing else goes. n_chars follows the text."""
+    left = line_dedup.without_repeated_lines(docs, edits=2, least=40, exact=1)
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
