@@ -1,7 +1,7 @@
 """Ordered computations that stay spread out when one key holds a large part of all rows.
 
 A plain window over a key puts the whole key into one task. The helpers here cut each key into
-buckets of its order column (a day, a block of ids), work inside the buckets, and carry one summary row per
+buckets of its order column (a day, a block of ids, or ranges of equal row count), work inside the buckets, and carry one summary row per
 (key, bucket) across the bucket borders. The summary is small, and the large side is shuffled once.
 """
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.session import cut_lineage
+
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the largest ``order`` per key, as a partially aggregated ``max_by``."""
@@ -99,6 +101,35 @@ def bucketed_row_number(df: DataFrame, keys: Sequence[str], bucket: Column, orde
     return bucketed_running(df, keys, bucket, order, {out: F.lit(1).cast("long")})
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_range") -> DataFrame:
+    """The rows with the number of their range of (keys, order), as a bucket for the functions above.
+
+    Ranges are partitions of Spark's range partitioning, so each holds about as many rows as the others whatever the keys are and however close together
+    their rows lie; a key that is large is cut, small keys share a range. Equal (keys, order) stay together. The rows are written once, for
+    the numbers have to be the same wherever they are used.
+    """
+    dealt = df.repartitionByRange(*keys, *order) if keys or order else df
+    return cut_lineage(dealt.withColumn(name, F.spark_partition_id()))
+
+
+def next_marked(df: DataFrame, order: str, mark: str, name: str) -> DataFrame:
+    """``name``: the first value of ``mark`` that is not null on the row or after it, in ``order`` of all rows.
+
+    The rows are sorted in ranges. What a range needs from those behind it is one value, their first mark; there are as many as partitions.
+    """
+    r = ranged(df, [], [order])
+    firsts = sorted((x["_range"], x["m"]) for x in r.groupBy("_range").agg(F.min_by(mark, F.when(F.col(mark).isNotNull(), F.col(order))).alias("m")).collect())
+    after, carry = None, {}
+    for k, m in reversed(firsts):
+        carry[k] = after
+        after = m if m is not None else after
+    kind = r.schema[mark].dataType
+    behind = df.sparkSession.createDataFrame(list(carry.items()), f"_range int, _behind {kind.simpleString()}")
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    own = r.withColumn(name, F.first(mark, ignorenulls=True).over(inside))
+    return own.join(F.broadcast(behind), "_range").withColumn(name, F.coalesce(name, "_behind")).drop("_range", "_behind")
+
+
 def time_bucket(col: str = "ts", minutes: int = 60) -> Column:
     """Number of the stretch of time that a row falls in; a shorter one splits a busy key further."""
     return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / F.lit(minutes * 60_000_000))

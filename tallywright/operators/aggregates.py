@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions import fixed
-from tallywright.functions.ordered import bucketed_row_number
+from tallywright.functions.ordered import bucketed_row_number, bucketed_running, ranged
 
 
 def catalog_status(catalog: DataFrame, dims: Sequence[str], flags: dict[str, Column]) -> DataFrame:
@@ -123,8 +123,8 @@ def digest_by_category(classified: DataFrame, tier_one: Column) -> DataFrame:
     att = classified.filter(~tier_one & F.col("state").isin("overdue", "near-due", "ack"))
     wait = F.col("days_overdue")
     ranked = att.select("id", "owner", "category", "state", "days_overdue", "days_until_due", (-wait).alias("_w"))
-    # Ranks are taken inside day buckets of the wait, so that a large category is sorted by many tasks.
-    ranked = bucketed_row_number(ranked, ["category"], F.floor("_w"), ["_w", "id"], "position").drop("_w")
+    # Ranks are taken inside ranges of equal row count, so that a large category, or a wait that many share, is sorted by many tasks.
+    ranked = bucketed_row_number(ranged(ranked, ["category"], ["_w", "id"]), ["category"], F.col("_range"), ["_w", "id"], "position").drop("_w", "_range")
     tag = (F.when(F.col("state") == "overdue", F.concat(F.lit("OVERDUE "), F.round("days_overdue").cast("long").cast("string"), F.lit("d past SLA")))
            .when(F.col("state") == "near-due", F.concat(F.lit("due in "), F.ceil("days_until_due").cast("string"), F.lit("d")))
            .otherwise("acknowledged, still open"))
@@ -138,9 +138,10 @@ def severity_tally(findings: DataFrame, severities: DataFrame) -> DataFrame:
 
 
 def arg_max_status(beacons: DataFrame, agent: str, cols: Sequence[str], ts: str = "ts", since: Column | None = None) -> DataFrame:
-    """AG10. Newest value of each column per agent with its time."""
+    """AG10. The newest row of each agent: ``cols`` and its time. Of several at that time the one with the greatest values, all from one row."""
     b = beacons if since is None else beacons.filter(F.col(ts) > since)
-    return b.groupBy(agent).agg(*[F.max_by(c, ts).alias(c) for c in cols], F.max(ts).alias("last"))
+    newest = b.groupBy(agent).agg(F.max(F.struct(F.col(ts).alias("_ts"), *cols)).alias("_n"))
+    return newest.select(agent, *[F.col(f"_n.`{c}`").alias(c) for c in cols], F.col("_n._ts").alias("last"))
 
 
 def activity_funnel(events: DataFrame, since: Column, user: str, event: str, top: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -156,18 +157,21 @@ def newest_and_count(events: DataFrame, stream: str, since: Column, ts: str = "t
     return events.filter(F.col(ts) > since).groupBy(stream).agg(F.max(ts).alias("newest"), F.count("*").alias("n"))
 
 
-def latency_stats(df: DataFrame, keys: Sequence[str], value: str, id: Sequence[str], quantiles: dict[str, float], width: float) -> DataFrame:
+def latency_stats(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], width: float) -> DataFrame:
     """AG13. Mean and exact order statistics sorted[floor(n*q)] per key.
 
-    Rows are numbered inside value buckets of ``width``; only the rows at the wanted positions go on.
+    Equal values are counted before they are sorted, so a value that half of the rows have is one row. The counts are added up inside value
+    buckets of ``width``; a value is the order statistic whose position falls among its own.
     """
+    keys = list(keys)
     n = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    rn = bucketed_row_number(df.select(*keys, value, *id), keys, F.floor(F.col(value) / width), [value, *id], "rn")
-    want = n.select(*keys, "n", F.explode(F.array(*[
-        F.struct(F.lit(q).alias("q"), F.least(F.col("n") - 1, F.floor(F.col("n") * v)).alias("at")) for q, v in quantiles.items()])).alias("_w"))
-    hit = rn.withColumn("at", F.col("rn") - 1).join(want.select(*keys, "_w.q", "_w.at"), [*keys, "at"])
-    picked = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col(value))).alias(q) for q in quantiles])
-    return n.join(picked, list(keys))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    upto = bucketed_running(counts, keys, F.floor(F.col(value) / width), [value], {"_upto": F.col("_c")})
+    at = {q: F.least(F.col("n") - 1, F.floor(F.col("n") * v)) for q, v in quantiles.items()}
+    met = upto.join(n.select(*[F.col(k).alias(f"_k{k}") for k in keys], *[c.alias(f"_at_{q}") for q, c in at.items()]), [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys])
+    of = lambda q: F.max(F.when((F.col(f"_at_{q}") < F.col("_upto")) & (F.col(f"_at_{q}") >= F.col("_upto") - F.col("_c")), F.col(value)))
+    picked = met.groupBy(*keys).agg(*[of(q).alias(q) for q in quantiles]).select(*[F.col(k).alias(f"_k{k}") for k in keys], *quantiles)
+    return n.join(picked, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]).drop(*[f"_k{k}" for k in keys])
 
 
 def oldest_and_count(df: DataFrame, container: str, ts: str, now: Column) -> DataFrame:

@@ -7,11 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed, text as tx
+from tallywright.functions.links import follow
 from tallywright.functions.ordered import latest_by
 from tallywright.functions.similarity import posting_cost, set_id, similar_sets
+from tallywright.operators.graph import supersede_chain
 from tallywright.operators.joins import active_rows, supersede_pairs
 from tallywright.session import cut_lineage
 
+RANGES = 64  # parts of the order of which the earliest are solved first
+
 
 def _tokenised(rows: DataFrame, scope: Sequence[str], text: str) -> DataFrame:
     r = rows.withColumn("tokens", tx.tokens(F.col(text))).filter(F.size("tokens") > 0)
@@ -128,11 +132,14 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
         share = min(1.0, (pair_budget / cost) ** 0.5) if cost > 0 else 1.0
         head = pending
         if share < 1.0:
-            # The earliest part of the order, found by an approximate quantile of the first order column.
-            # Nulls come first in that order.
-            o = F.coalesce(F.unix_micros(F.col(f"pos.{order[0]}").cast("timestamp")), F.lit(-(1 << 62)))
-            cut = pending.agg(F.percentile_approx(o, share, 10000).alias("c")).first()["c"]
-            head = pending.filter(o <= cut)
+            # The earliest part of the order, whatever its columns are: as many of its ranges as the share allows, one at least.
+            r = cut_lineage(pending.repartitionByRange(RANGES, "pos").withColumn("_range", F.spark_partition_id()))
+            sizes = sorted(r.groupBy("_range").count().collect())
+            upto, room = 0, share * sum(n for _, n in sizes) - sizes[0][1]
+            while upto + 1 < len(sizes) and sizes[upto + 1][1] <= room:
+                upto, room = upto + 1, room - sizes[upto + 1][1]
+            pending = r.drop("_range")
+            head = r.filter(F.col("_range") <= sizes[upto][0]).drop("_range")
         new, similar = _greedy_leaders(head, threshold, scope)
         new = cut_lineage(new)
         whole = share >= 1.0 and first_round
@@ -253,7 +260,10 @@ def trust_rerank(hits: DataFrame, now: Column, query: str = "query_id", position
 
 
 def memory_diff(rows: DataFrame, since: Column, now: Column) -> DataFrame:
-    """CL12. added, changed, retired or still_true per row for a window of time; a row that is none of these is left out."""
+    """CL12. added, changed, retired or still_true per row for a window of time; a row that is none of these is left out.
+
+    A changed row has the oldest row of its chain, ``was``, and its own place in the chain from 1; :func:`memory_diff_chains` lists the rows between.
+    """
     ids = rows.select(F.col("id").alias("_oid"))
     r = rows.join(ids, F.col("supersedes") == F.col("_oid"), "left")
     nxt = rows.filter(F.col("supersedes").isNotNull()).groupBy("supersedes").agg(F.max_by(F.struct("id", "ts"), F.struct("ts", "id")).alias("_n"))
@@ -262,7 +272,18 @@ def memory_diff(rows: DataFrame, since: Column, now: Column) -> DataFrame:
     here, gone = inside(F.col("ts")), F.col("_n").isNotNull()
     state = (F.when(F.col("_oid").isNotNull() & here, "changed").when(gone & inside(F.col("_n.ts")) & ~here, "retired")
              .when(here, "added").when(~here & ~gone, "still_true"))
-    return r.withColumn("state", state).filter("state IS NOT NULL").withColumn("retired_by", F.when(F.col("state") == "retired", F.col("_n.id"))).drop("_oid", "_s", "_n")
+    r = r.withColumn("state", state).filter("state IS NOT NULL").withColumn("retired_by", F.when(F.col("state") == "retired", F.col("_n.id")))
+    back = rows.filter(F.col("supersedes") != F.col("id")).join(ids, F.col("supersedes") == F.col("_oid"), "left_semi").groupBy(F.col("id").alias("src")).agg(F.min("supersedes").alias("dst"))
+    way = follow(back).select(F.col("src").alias("_w"), F.col("end").alias("_end"), F.col("steps").alias("_steps"))
+    r = r.join(way, F.col("id") == F.col("_w"), "left")
+    changed = F.col("state") == "changed"
+    return r.withColumn("was", F.when(changed, F.coalesce("_end", "id"))).withColumn("place", F.when(changed, F.coalesce("_steps", F.lit(0)) + 1)).drop("_oid", "_s", "_n", "_w", "_end", "_steps")
+
+
+def memory_diff_chains(rows: DataFrame, diff: DataFrame) -> DataFrame:
+    """CL12. (head, id, position, chain_length): the rows, oldest first, behind every changed row of ``diff`` that nothing supersedes. A chain stands once, not once for each of its rows."""
+    newest = diff.filter("state = 'changed'").join(rows.select(F.col("supersedes").alias("_s")).filter("_s IS NOT NULL").distinct(), F.col("id") == F.col("_s"), "left_anti")
+    return supersede_chain(rows, newest.select("id"))
 
 
 def recurring_clusters(clustered: DataFrame, private_agents: Sequence[str] = (), at_least: int = 2) -> DataFrame:

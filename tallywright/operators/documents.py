@@ -158,11 +158,11 @@ def metadata_conform(df: DataFrame, fields: Sequence[dict]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in {f["name"] for f in fields}], *out)
 
 
-def segment_labels(df: DataFrame, segments: str, labels: Sequence[str], max_items: int | None = None) -> DataFrame:
-    """DP06. Segments with a known label and a locator, all or the first ``max_items`` (as published 6), with the distinct labels and
-    the mixed flag."""
+def segment_labels(df: DataFrame, segments: str, labels: Sequence[str], max_items: int | None = None, locator_chars: int | None = None, rationale_chars: int | None = None) -> DataFrame:
+    """DP06. Segments with a known label and a locator, with the distinct labels and the mixed flag. ``max_items``, ``locator_chars`` and ``rationale_chars`` cut them (as published 6, 220 and 140)."""
+    capped = lambda c, n: sc.ascii_safe(c) if n is None else sc.ascii_cap(c, n)
     clean = F.transform(F.coalesce(segments, F.array().cast(df.schema[segments].dataType)), lambda s: F.struct(
-        sc.coerce_enum(s["label"], labels).alias("label"), sc.ascii_cap(s["locator"], 220).alias("locator"), sc.ascii_cap(s["rationale"], 140).alias("rationale")))
+        sc.coerce_enum(s["label"], labels).alias("label"), capped(s["locator"], locator_chars).alias("locator"), capped(s["rationale"], rationale_chars).alias("rationale")))
     kept = F.filter(clean, lambda s: (s["label"] != "") & (s["locator"] != ""))
     kept = kept if max_items is None else F.slice(kept, 1, max_items)
     d = df.withColumn("segments_kept", kept)
@@ -297,13 +297,13 @@ def deadline_candidates(docs: DataFrame, text: str, context: int = 100) -> DataF
     return d.withColumn("confidence", F.when(F.col("keyword").isNotNull(), "high").otherwise("low"))
 
 
-def docket_delta(entries: DataFrame, since: str | None, source: str) -> DataFrame:
-    """DP12. New docket entries as unverified rows; ``entries`` has (date_filed, date_created, description, entry_number)."""
+def docket_delta(entries: DataFrame, since: str | None, source: str, chars: int | None = None) -> DataFrame:
+    """DP12. New docket entries as unverified rows; ``entries`` has (date_filed, date_created, description, entry_number). ``chars`` cuts the text (as published 500)."""
     day = F.substring(F.coalesce("date_filed", "date_created"), 1, 10)
     desc = tx.collapse_spaces(F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit("(no description)")))
     label = F.when(F.col("entry_number").isNotNull(), F.concat(F.lit("Docket Entry #"), F.col("entry_number").cast("string"), F.lit(": "), desc)).otherwise(desc)
     keep = [c for c in entries.columns if c not in ("date_filed", "date_created", "description", "entry_number")]
-    e = entries.select(*keep, day.alias("date"), F.substring(label, 1, 500).alias("what"), F.lit(source).alias("source"), F.lit(False).alias("verified"))
+    e = entries.select(*keep, day.alias("date"), tx.leading(label, chars).alias("what"), F.lit(source).alias("source"), F.lit(False).alias("verified"))
     e = e.filter(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
     return e.filter(F.col("date") > since) if since else e
 

@@ -81,14 +81,24 @@ def composed(c: Column) -> Column:
     return check(c)
 
 
-def safe_path(path: Column) -> Column:
-    """A relative path in normal form C without scheme, control characters, empty or dotted parts, outside the reserved roots."""
+def well_formed_path(path: Column) -> Column:
+    """A relative path in normal form C without scheme, control characters, empty or dotted parts."""
     parts = F.split(path, "/")
+    ascii = path.rlike(r"^[\x00-\x7f]*$")
     return F.coalesce(
         (F.length(path) > 0) & (F.length(path) <= 1024) & ~path.rlike(r"[\\%?#\x00-\x1f\x7f]")
-        & (path.rlike(r"^[\x00-\x7f]*$") | composed(path)) & ~path.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
-        & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
-        & ~F.lower(parts[0]).isin(*fixed.RESERVED_ROOTS), F.lit(False))
+        # Only texts beyond ASCII go to Python; the others are null there.
+        & (ascii | composed(F.when(~ascii, path))) & ~path.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
+        & ~F.exists(parts, lambda p: p.isin("", ".", "..")), F.lit(False))
+
+
+def reserved_path(path: Column) -> Column:
+    return F.coalesce(F.lower(F.split(path, "/")[0]).isin(*fixed.RESERVED_ROOTS), F.lit(False))
+
+
+def safe_path(path: Column) -> Column:
+    """A well-formed path outside the reserved roots."""
+    return well_formed_path(path) & ~reserved_path(path)
 
 
 def exclusion_reason(prefixes: Sequence[str] | None, entities: Column | None = None, doc_date: Column | None = None) -> Column:

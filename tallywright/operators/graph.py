@@ -132,14 +132,11 @@ def cycle_check(edges: DataFrame) -> DataFrame:
     edge its end is found by pointer jumping, so a chain of n edges takes log2(n) rounds. Further rounds are needed only as deep as branches lie behind branches.
     """
     cur = cut_lineage(edges.select("src", "dst").distinct())
-    n = cur.count()
-    while n:
-        kept = cur.join(_ending(cur, "dst", "src").withColumnRenamed("node", "src"), "src", "left_anti")
-        kept = cut_lineage(kept.join(_ending(cur, "src", "dst").withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        m = kept.count()
-        if m == n:
-            break
-        cur, n = kept, m
+    n, unchanged, side = cur.count(), 0, ("dst", "src")
+    while n and unchanged < 2:
+        cur = cut_lineage(cur.join(_ending(cur, *side).withColumnRenamed("node", side[1]), side[1], "left_anti").select("src", "dst"))
+        n, before, side = cur.count(), n, side[::-1]
+        unchanged = unchanged + 1 if n == before else 0
     return cur.withColumn("self_edge", F.col("src") == F.col("dst"))
 
 

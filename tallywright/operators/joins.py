@@ -3,12 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import text as tx
-from tallywright.functions.ordered import bucketed_running, time_bucket, top_per_key
-from tallywright.operators.filters import exclusion_reason, safe_path
+from tallywright.functions.ordered import bucketed_running, next_marked, ranged, top_per_key
+from tallywright.operators.filters import exclusion_reason, reserved_path, safe_path, well_formed_path
 
 
 def active_rows(rows: DataFrame, id: str = "id", supersedes: str = "supersedes") -> DataFrame:
@@ -45,18 +45,26 @@ def presence(catalog: DataFrame, inventory: DataFrame, reason: Column) -> DataFr
         F.max(F.when(~F.col("_t"), F.col("size"))).alias("original_size"), F.max(F.when(F.col("_t"), F.col("size"))).alias("text_size"))
     return cat.join(objs, F.col("path") == F.col("_p"), "full_outer").select(
         F.coalesce("path", "_p").alias("path"), F.coalesce("reason", F.lit("(not in catalog)")).alias("reason"),
-        F.col("path").isNotNull().alias("in_catalog"), "original_size", "text_size")
+        F.col("path").isNotNull().alias("in_catalog"), F.coalesce("catalog_rows", F.lit(0)).alias("catalog_rows"), "original_size", "text_size")
 
 
 def inventory_reconcile(catalog: DataFrame, inventory: DataFrame, reason: Column) -> DataFrame:
-    """JN04. Presence counts per exclusion reason, eligible and uncatalogued paths included."""
+    """JN04. Presence counts per exclusion reason, eligible and uncatalogued paths included.
+
+    Catalog rows whose path is malformed, or inside a reserved root, are counted as ``(invalid path)`` and ``(internal path)``; they have no
+    presence. So ``catalog_rows`` adds up to the rows of the catalog, and less ``paths`` gives the repeated ones.
+    """
     p = presence(catalog, inventory, reason)
-    return p.groupBy("reason").agg(
-        F.count("*").alias("paths"), F.count("original_size").alias("original_present"),
+    kind = F.when(~well_formed_path(F.col("path")), "(invalid path)").when(reserved_path(F.col("path")), "(internal path)")
+    left_out = catalog.select("path", kind.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("catalog_rows"), F.count_distinct("path").alias("paths"))
+    counted = p.groupBy("reason").agg(
+        F.sum("catalog_rows").alias("catalog_rows"), F.count("*").alias("paths"), F.count("original_size").alias("original_present"),
         F.count_if(F.col("original_size").isNull()).alias("original_missing"),
         F.count_if(F.col("original_size") == 0).alias("original_zero"),
         F.count_if(F.col("text_size") > 0).alias("text_nonempty"), F.count_if(F.col("text_size") == 0).alias("text_empty"),
         F.count_if(F.col("text_size").isNull()).alias("text_missing"))
+    zero = [F.lit(0).cast("long").alias(c) for c in counted.columns[3:]]
+    return counted.unionByName(left_out.select("reason", "catalog_rows", "paths", *zero))
 
 
 def repair_plan(catalog: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -145,18 +153,24 @@ def presence_verdict(left: DataFrame, right: DataFrame, keys: DataFrame, key: st
         .when(F.col("_l").isNull(), "MISSING_LEFT").otherwise("MISSING_RIGHT").alias("verdict"))
 
 
+def asof_rows(events: DataFrame, days: DataFrame) -> DataFrame:
+    """JN12. (day, date, text): every text of ``events`` (date, text) with the first day of ``days`` (date) at or after its date, once
+    a day, at its earliest date; texts behind the last day are left out.
+
+    Dates meet days in ranges that carry one row each; the texts follow by a join on the date.
+    """
+    texts = events.select("date", "text").distinct()
+    marks = days.select("date", F.col("date").alias("_day")).union(texts.select("date", F.lit(None).cast(days.schema["date"].dataType))).groupBy("date").agg(F.max("_day").alias("_day"))
+    nxt = next_marked(marks, "date", "_day", "day").filter("day IS NOT NULL").select("date", "day")
+    return texts.join(nxt, "date").groupBy("day", "text").agg(F.min("date").alias("date")).select("day", "date", "text")
+
+
 def asof_forward(events: DataFrame, days: DataFrame, sep: str = " | ") -> DataFrame:
-    """JN12. Event texts on the first day of ``days`` at or after the event's date, joined without repeats.
+    """JN12. The texts of :func:`asof_rows` joined to one string a day, in the order of date and text; a text that the string so far contains is left out, as published.
 
-    ``events`` has (date, text), ``days`` has (date). Only distinct dates go through the ordered window.
+    The string is the result, so a day's different texts are brought together here and only here; use the rows where a day may have very many.
     """
-    texts = events.groupBy("date", "text").agg(F.lit(1).alias("_x")).drop("_x")
-    marks = days.select("date", F.col("date").alias("_day")).distinct().unionByName(
-        texts.select("date", F.lit(None).cast("date").alias("_day")).distinct())
-    marks = marks.groupBy("date").agg(F.max("_day").alias("_day"))
-    ahead = Window.orderBy(F.col("date")).rowsBetween(0, Window.unboundedFollowing)
-    nxt = marks.select("date", F.first("_day", ignorenulls=True).over(ahead).alias("day")).filter("day IS NOT NULL")
-    listed = texts.join(nxt, "date").groupBy("day").agg(F.array_sort(F.collect_list(F.struct("date", "text"))).alias("_t"))
+    listed = asof_rows(events, days).groupBy("day").agg(F.array_sort(F.collect_list(F.struct("date", "text"))).alias("_t"))
     return listed.select("day", F.aggregate(
         "_t", F.lit(""), lambda acc, x: F.when(acc == "", x["text"]).when(F.contains(acc, x["text"]), acc)
         .otherwise(F.concat(acc, F.lit(sep), x["text"]))).alias("event"))
@@ -181,13 +195,14 @@ def entity_candidate_slice(rows: DataFrame, asking: Column, eligible: Column, n:
     """JN14. For each asking row the newest ``n`` older eligible rows that share an entity key.
 
     ``rows`` has (id, ts, keys). Eligible rows are numbered inside each key in (ts, id) order, so the newest ``n``
-    before a row are a range of numbers; rows meet in blocks of ``n`` numbers of one key, whatever the key's size.
+    before a row are a range of numbers; rows meet in blocks of ``n`` numbers of one key, whatever the key's size. The numbers are worked
+    out in ranges of equal row count, or in buckets of ``bucket``.
     The newest ``n`` over all keys are among the newest ``n`` of each key.
     """
     base = rows.withColumn("_ask", asking).withColumn("_ok", eligible)
     k = base.select("id", "ts", "_ask", "_ok", F.explode(F.array_distinct("keys")).alias("key"))
-    k = bucketed_running(k, ["key"], bucket if bucket is not None else time_bucket(), ["ts", "id"],
-                         {"pos": F.col("_ok").cast("long")})
+    k = k if bucket is not None else ranged(k, ["key"], ["ts", "id"])
+    k = bucketed_running(k, ["key"], bucket if bucket is not None else F.col("_range"), ["ts", "id"], {"pos": F.col("_ok").cast("long")})
     cand = k.filter("_ok").select("key", "pos", F.floor(F.col("pos") / n).alias("blk"), F.col("id").alias("cand_id"), F.col("ts").alias("cand_ts"))
     before = F.col("pos") - F.col("_ok").cast("long")
     ask = k.filter("_ask").withColumn("hi", before).withColumn("lo", F.greatest(before - (n - 1), F.lit(1))).filter("hi >= 1")

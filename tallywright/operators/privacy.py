@@ -302,11 +302,11 @@ def subject_access(sources: dict[str, tuple[DataFrame, str]], subject) -> DataFr
 def erasure_with_exceptions(sources: dict[str, tuple[DataFrame, str]], subjects: DataFrame, holds: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """PR12. (tables without the erasable rows, report per source of deleted and retained rows).
 
-    ``subjects`` has (subject), ``holds`` has (source, subject, reason); a held subject keeps its rows in that source.
+    ``subjects`` has (subject), ``holds`` has (source, subject, reason); a held subject keeps its rows in that source, with the first of its reasons.
     """
     kept, report = {}, None
     for name, (df, key) in sources.items():
-        h = holds.filter(F.col("source") == name).select(F.col("subject").alias("_h"), "reason").dropDuplicates(["_h"])
+        h = holds.filter(F.col("source") == name).groupBy(F.col("subject").alias("_h")).agg(F.min("reason").alias("reason"))
         want = subjects.select(F.col("subject").alias("_s")).distinct().join(h, F.col("_s") == F.col("_h"), "left")
         go = want.filter("_h IS NULL")
         kept[name] = df.join(go, F.col(key) == F.col("_s"), "left_anti")

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed, text as tx
-from tallywright.functions.ordered import top_per_key
+from tallywright.functions.ordered import bucketed_row_number, ranged, top_per_key
 from tallywright.operators.joins import active_rows
 
 
@@ -76,5 +76,7 @@ def capped_fact_list(existing: DataFrame, new: DataFrame, keys: Sequence[str], o
     front = F.when(F.col("_age") == 0, -F.col(order)).otherwise(F.col(order))
     if cap is not None:
         return top_per_key(both, keys, [F.asc("_age"), front], cap, "position").drop("_age")
-    return both.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc("_age"), front))).drop("_age")
+    # The whole list of a key is numbered in ranges of equal row count.
+    r = ranged(both.withColumn("_front", front), keys, ["_age", "_front"])
+    return bucketed_row_number(r, keys, F.col("_range"), ["_age", "_front"], "position").withColumn("position", F.col("position").cast("int")).drop("_age", "_front", "_range")
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.ordered import (attach, bucketed_lag, bucketed_row_number, bucketed_running_max, time_bucket,
+from tallywright.functions.ordered import (attach, bucketed_lag, bucketed_row_number, bucketed_running_max, ranged,
                                            latest_by, top_per_key)
 
 
@@ -17,7 +17,8 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] =
 
 def fork_detection(rows: DataFrame, keys: Sequence[str] = ("type", "ekey")) -> DataFrame:
     """WN02. Keys in which a row does not supersede the row before it."""
-    prev = bucketed_lag(rows.select(*keys, "id", "ts", "supersedes"), keys, time_bucket(), ["ts", "id"], {"_prev": "id"})
+    r = ranged(rows.select(*keys, "id", "ts", "supersedes"), keys, ["ts", "id"])
+    prev = bucketed_lag(r, keys, F.col("_range"), ["ts", "id"], {"_prev": "id"})
     bad = F.col("_prev").isNotNull() & ~F.col("supersedes").eqNullSafe(F.col("_prev"))
     return prev.groupBy(*keys).agg(F.count("*").alias("rows"), F.max(bad).alias("forked"))
 
@@ -116,13 +117,14 @@ def latest_per_agent(assertions: DataFrame, keys: Sequence[str], order: Sequence
 
 
 def consecutive_streak(scans: DataFrame, key: str, state: str, order: Sequence[str] = ("ts", "id"), bucket: Column | None = None) -> DataFrame:
-    """WN13. Position of each scan inside its run of equal states."""
-    b = bucket if bucket is not None else time_bucket()
+    """WN13. Position of each scan inside its run of equal states. The scans are cut into ranges of equal row count, or into buckets of ``bucket``."""
+    b = bucket if bucket is not None else F.col("_range")
+    scans = scans if bucket is not None else ranged(scans, [key], order)
     s = bucketed_lag(scans, [key], b, order, {"_prev": state})
     s = bucketed_row_number(s, [key], b, order, "_rn")
     change = F.when(~F.col("_prev").eqNullSafe(F.col(state)), F.col("_rn"))
     s = bucketed_running_max(s, [key], b, order, "_start", change)
-    return s.withColumn("streak", F.col("_rn") - F.col("_start") + 1).drop("_prev", "_rn", "_start")
+    return s.withColumn("streak", F.col("_rn") - F.col("_start") + 1).drop("_prev", "_rn", "_start", "_range")
 
 
 def latest_and_peak(daily: DataFrame, key: str, value: str, day: str = "day") -> DataFrame:

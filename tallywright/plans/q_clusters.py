@@ -5,6 +5,7 @@ from tallywright.functions import fixed, text as tx
 from tallywright.operators import clusters as cl
 from tallywright.plans.registry import query
 from tallywright.plans.tables import DOC_LEDGER, LEDGER, NOW_EVENTS, NOW_E, Tables, sql_tokens, sql_word, ts
+from tallywright.session import cut_lineage
 
 # All pairs by shared token counts, without any prefix rule.
 PAIRS = f"""tok AS (SELECT doc_id, {sql_tokens('text')} AS toks FROM documents), inv AS (SELECT doc_id, unnest(toks) AS w FROM tok),
@@ -146,9 +147,18 @@ def _(t):
 r AS (SELECT l.id, l.ts >= TIMESTAMP '2024-01-15' AND l.ts <= {NOW_E} AS here, l.supersedes IS NOT NULL AND EXISTS (SELECT 1 FROM ledger o WHERE o.id = l.supersedes) AS sup,
   n.by_id, n.by_ts >= TIMESTAMP '2024-01-15' AS gone_here FROM ledger l LEFT JOIN n ON n.s = l.id),
 d AS (SELECT id, CASE WHEN sup AND here THEN 'changed' WHEN by_id IS NOT NULL AND gone_here AND NOT here THEN 'retired' WHEN here THEN 'added' WHEN by_id IS NULL THEN 'still_true' END AS state, by_id FROM r)
-SELECT id, state, CASE WHEN state = 'retired' THEN by_id END AS retired_by FROM d WHERE state IS NOT NULL""")
+SELECT d.id, state, CASE WHEN state = 'retired' THEN by_id END AS retired_by, CASE WHEN state = 'changed' THEN first_id END AS was, CASE WHEN state = 'changed' THEN place END AS place
+FROM d JOIN (SELECT id, first_value(id) OVER w AS first_id, row_number() OVER w AS place FROM ledger WINDOW w AS (PARTITION BY type, ekey ORDER BY ts, event_id)) c ON c.id = d.id WHERE state IS NOT NULL""")
 def _(t):
-    return cl.memory_diff(t.ledger, ts("2024-01-15 00:00:00"), ts(NOW_EVENTS)).select("id", "state", "retired_by")
+    return cl.memory_diff(t.ledger, ts("2024-01-15 00:00:00"), ts(NOW_EVENTS)).select("id", "state", "retired_by", "was", "place")
+
+
+@query("cl12_memory_diff_chains", f"""WITH {LEDGER}, c AS (SELECT id, ts, type, ekey, row_number() OVER w AS position, count(*) OVER (PARTITION BY type, ekey) AS chain_length, last_value(id) OVER (PARTITION BY type, ekey ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS head
+  FROM ledger WHERE type IN ('entity', 'correction') WINDOW w AS (PARTITION BY type, ekey ORDER BY ts, event_id)),
+h AS (SELECT id FROM c WHERE id = head AND position > 1 AND ts >= TIMESTAMP '2024-01-15' AND ts <= {NOW_E}) SELECT head, c.id, position, chain_length FROM c JOIN h ON h.id = c.head""")
+def _(t):
+    rows = cut_lineage(t.ledger)
+    return cl.memory_diff_chains(rows, cl.memory_diff(rows, ts("2024-01-15 00:00:00"), ts(NOW_EVENTS)))
 
 
 @query("cl13_recurring_clusters", f"WITH RECURSIVE {greedy_sql(_ledger_sql('agent'), 0.5)} SELECT scope AS agent, leader_id, count(*) AS count, count(*) >= 2 AS recurring FROM led WHERE scope <> 'a3' GROUP BY ALL")

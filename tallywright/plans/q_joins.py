@@ -26,13 +26,18 @@ def _(t):
 
 
 @query("jn04_inventory_reconcile", f"""WITH {INVENTORY}, p AS (
-  SELECT c.path, {_REASON} AS reason, o.size AS osize, x.size AS tsize FROM catalog c
+  SELECT c.path, doc_id % 50 = 0 AS repeated, {_REASON} AS reason, o.size AS osize, x.size AS tsize FROM catalog c
   LEFT JOIN inventory o ON o.key = c.path LEFT JOIN inventory x ON x.key = '_TEXT/' || c.path || '.txt')
-SELECT reason, count(*) AS paths, count(osize) AS original_present, count(*) - count(osize) AS original_missing,
+SELECT reason, count(*) + count(*) FILTER (repeated) AS catalog_rows, count(*) AS paths, count(osize) AS original_present, count(*) - count(osize) AS original_missing,
   count(*) FILTER (osize = 0) AS original_zero, count(*) FILTER (tsize > 0) AS text_nonempty, count(*) FILTER (tsize = 0) AS text_empty,
-  count(*) - count(tsize) AS text_missing FROM p GROUP BY reason""")
+  count(*) - count(tsize) AS text_missing FROM p GROUP BY reason
+UNION ALL SELECT '(invalid path)', count(*), count(DISTINCT source), 0, 0, 0, 0, 0, 0 FROM documents WHERE doc_id % 50 = 1
+UNION ALL SELECT '(internal path)', count(*), count(*), 0, 0, 0, 0, 0, 0 FROM documents WHERE doc_id % 50 = 2""")
 def _(t):
-    return jn.inventory_reconcile(t.catalog, t.inventory, flt.exclusion_reason(None))
+    # Besides the catalog itself: rows that repeat a path, rows with a path outside the tree, and rows of a reserved root.
+    c, k = t.catalog, F.col("doc_id") % 50
+    more = c.filter(k < 3).withColumn("path", F.when(k == 1, F.concat(F.lit("../"), "entity")).when(k == 2, F.concat(F.lit("_TEXT/"), "path")).otherwise(F.col("path")))
+    return jn.inventory_reconcile(c.unionByName(more), t.inventory, flt.exclusion_reason(None))
 
 
 _PLAN = f"""WITH {INVENTORY}, j AS (
@@ -142,13 +147,15 @@ def _(t):
     return jn.presence_verdict(l.filter("l_returnflag = 'R'"), l.filter("l_linestatus = 'O'"), t.orders.select(F.col("o_orderkey").alias("id")), "id")
 
 
-@query("jn12_asof_forward", """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 499000),
+@query("jn12_asof_forward", """WITH days AS (SELECT DISTINCT CAST(l_shipdate AS DATE) + 1 AS d FROM lineitem WHERE dayofweek(l_shipdate) IN (0, 5)),
 ev AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS x FROM orders),
 m AS (SELECT ev.d, x, (SELECT min(days.d) FROM days WHERE days.d >= ev.d) AS day FROM ev)
 SELECT CAST(day AS VARCHAR) AS day, string_agg(x, ' | ' ORDER BY fd, x) AS event FROM (SELECT day, x, min(d) AS fd FROM m WHERE day IS NOT NULL GROUP BY day, x) GROUP BY day""")
 def _(t):
     o = t.orders.withColumn("date", F.to_date("o_orderdate"))
-    out = jn.asof_forward(o.select("date", F.col("o_orderpriority").alias("text")), o.filter("o_totalprice > 499000").select("date"))
+    # The days after the Fridays and Sundays of all ship dates, so that several days of events meet on one.
+    days = t.lineitem.filter(F.dayofweek("l_shipdate").isin(1, 6)).select(F.date_add(F.to_date("l_shipdate"), 1).alias("date"))
+    out = jn.asof_forward(o.select("date", F.col("o_orderpriority").alias("text")), days)
     return out.withColumn("day", F.col("day").cast("string"))
 
 

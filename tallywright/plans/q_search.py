@@ -5,6 +5,7 @@ from tallywright.functions import fixed, text as tx
 from tallywright.operators import evals as ev, search as vs
 from tallywright.plans.registry import query
 from tallywright.plans.tables import Tables
+from tallywright.session import cut_lineage
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
 
@@ -43,7 +44,9 @@ def docs_df(t: Tables):
 
 
 def vectors_df(t: Tables):
-    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    """The vectors, and two that no search may return or stumble over: one that is null and one with a component that is not a number."""
+    bad = t.spark.range(2).select((-1 - F.col("id")).alias("id"), F.when(F.col("id") == 0, F.array(*[F.lit(float("nan"))] * 64)).cast("array<float>").alias("vector"), F.lit(0).alias("label"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label").unionByName(bad)
 
 
 def centroids(t: Tables):
@@ -127,15 +130,17 @@ def _(t):
     return vs.quantization_parity(v, v.withColumn("vector", vs.quantize(F.col("vector"))), centroids(t), 10, other=["label"])
 
 
-@query("vs08_find_thin_pack", f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=50)}, loc AS (SELECT text FROM documents WHERE contains(lower(text), (SELECT lower(text) FROM benchmark WHERE item_id = 0))),
-sem AS (SELECT h.id, d.text, round(h.score, 9) AS score FROM hits h JOIN documents d ON d.doc_id = h.id WHERE query_id = 0 AND h.id % 9 <> 0)
-SELECT id, round(score, 6) AS score FROM sem WHERE trim(text) <> '' AND lower(text) NOT IN (SELECT lower(text) FROM loc) AND (SELECT count(*) FROM loc) < 3 ORDER BY round(score, 9) DESC, id LIMIT 3""")
+@query("vs08_find_thin_pack", f"""WITH {bm25_sql(_ONE)}, {BM_TOP.format(k=50)}, sem AS (SELECT h.query_id, h.id, d.text, round(h.score, 9) AS score, contains(lower(d.text), lower(b.text)) AS here
+  FROM hits h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id),
+have AS (SELECT query_id, count(*) FILTER (here) AS n FROM sem GROUP BY 1)
+SELECT s.query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, id) AS INTEGER) AS slot FROM sem s JOIN have ON have.query_id = s.query_id
+WHERE n < 3 AND trim(text) <> '' AND id % 9 <> 0 AND NOT EXISTS (SELECT 1 FROM sem o WHERE o.query_id = s.query_id AND o.here AND lower(o.text) = lower(s.text)) QUALIFY slot <= 3""")
 def _(t):
-    first = t.benchmark.filter("item_id = 0").select(F.lower("text").alias("wanted"))
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
-    local = d.join(first, F.contains(F.lower("text"), F.col("wanted")), "left_semi")
-    sem = vs.bm25_search(queries_df(t).filter("query_id = 0"), docs_df(t), {"text": 1.0}, 50).join(d, "id").select("id", "text", F.round("score", 9).alias("score"), (F.col("id") % 9 == 0).alias("retracted"))
-    return vs.thin_pack_fill(local, sem).select("id", F.round("score", 6).alias("score"))
+    wanted = t.benchmark.select(F.col("item_id").alias("query_id"), F.lower("text").alias("wanted"))
+    hits = vs.bm25_search(queries_df(t), docs_df(t), {"text": 1.0}, 50).join(d, "id").join(wanted, "query_id")
+    hits = cut_lineage(hits.select("query_id", "id", "text", F.round("score", 9).alias("score"), (F.col("id") % 9 == 0).alias("retracted"), F.contains(F.lower("text"), F.col("wanted")).alias("here")))
+    return vs.thin_pack_fill(hits.filter("here"), hits.drop("here")).select("query_id", "id", F.round("score", 6).alias("score"), "slot")
 
 
 # Evaluation of the keyword list: a document is relevant when it contains the benchmark text.

@@ -1,7 +1,6 @@
 """Queries over streams: the tables as a file source, run over what is available."""
 from pyspark.sql import functions as F
 
-from tallywright.operators import evals as ev
 from tallywright.plans.q_privacy import _IDS2, _M2, _PLAIN, _SAFETY
 from tallywright.plans.registry import query
 from tallywright.plans.tables import NOW_E, NOW_EVENTS, Tables, ts
@@ -84,7 +83,7 @@ def messages(t: Tables):
     return c.select("conv_id", "turn", "role", F.concat(head, "text").alias("text"), stamp.alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
 
 
-@query("st08_safety_stream", f"""WITH p AS (SELECT conv_id, turn, {_PLAIN} AS t FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, {_M2} AS m FROM p) SELECT conv_id, turn, {_IDS2} AS rules FROM x WHERE {_IDS2} <> ''""")
+@query("st08_safety_stream", f"""WITH p AS (SELECT conv_id, turn, {_PLAIN} AS t FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, {_M2} AS m FROM p) SELECT conv_id, turn, {_IDS2} AS rules FROM x WHERE {_IDS2} <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""")
 def _(t):
     return jobs.safety_stream(messages(t), ["user"], folder(t, "st08"))[0].select("conv_id", "turn", "rules")
 

@@ -76,7 +76,7 @@ def safety_alerts(messages: DataFrame, roles: list[str], late: str = "7 days") -
 
 
 def safety_stream(messages: DataFrame, roles: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
-    """ST08. (alerts, tagged conversations). A conversation that an earlier batch has tagged gives no more alerts. A batch writes its
+    """ST08. (alerts, tagged conversations). A conversation gives one alert: its first matching message of the first batch with any. A batch writes its
     alerts before its tags: after a failure in between the alert comes again, it is never lost."""
     alerts = safety_alerts(messages, roles)
     spark, schema = messages.sparkSession, alerts.schema
@@ -84,7 +84,11 @@ def safety_stream(messages: DataFrame, roles: list[str], folder: str) -> tuple[D
 
     def write(batch: DataFrame, no: int) -> None:
         tagged = spark.read.schema("conv_id long, batch long").parquet(f"{folder}/tags").filter(F.col("batch") < no).select("conv_id").distinct()
-        batch.join(tagged, "conv_id", "left_anti").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/alerts/batch={no}")
+        new = batch.join(tagged, "conv_id", "left_anti").select(*batch.columns)
+        # Of the matching messages of a conversation in one batch the first gives the alert.
+        rest = [c for c in new.columns if c != "conv_id"]
+        first = new.groupBy("conv_id").agg(F.min_by(F.struct(*rest), F.struct("ts", "turn")).alias("_f")).select("conv_id", "_f.*").select(*new.columns)
+        first.write.mode("overwrite").parquet(f"{folder}/alerts/batch={no}")
         done = spark.read.schema(schema).parquet(f"{folder}/alerts/batch={no}")
         done.select("conv_id").distinct().write.mode("overwrite").parquet(f"{folder}/tags/batch={no}")
 
