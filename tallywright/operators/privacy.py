@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,80 +131,134 @@ def over_89(schema: T.StructType, year: int, at: Column | None = None) -> Column
     return flag
 
 
-def _leaf(key: str, kind: T.DataType, v: Column, old: Column, zips: Sequence[str]) -> tuple[Column | None, Column, Column]:
-    """(masked value or None when the key is dropped from every record, categories found, the key if its value is dropped here)."""
-    s = v.cast("string")
-    found = lambda cat: F.when(v.isNotNull(), F.array(F.lit(cat))).otherwise(F.array().cast("array<string>"))
-    nothing = F.array().cast("array<string>")
-    for keys, cat, mask in KEY_CLASSES:
-        if key in keys:
-            return F.when(v.isNotNull(), F.lit(mask)), found(cat), nothing
-    if key in ZIP_KEYS:
-        return F.when(v.isNotNull(), zip3(v, zips)), found("geo_zip"), nothing
-    if key in AGE_KEYS:
-        high = F.coalesce(s.try_cast("double") > 89, F.lit(False))
-        return F.when(high, "90+").otherwise(s), F.when(high, F.array(F.lit("age_over_89"))).otherwise(nothing), nothing
-    if key in DATE_KEYS or key.endswith("date") or key.endswith("_at"):
-        y = F.regexp_extract(s, r"([0-9]{4})", 1)
-        out = F.when(y != "", y).otherwise("REDACTED-DATE")
-        cats = found("dates_full")
-        if key in DOB_KEYS:
-            out = F.when(old, "REDACTED-90+").otherwise(out)
-            cats = F.when(old & v.isNotNull(), F.array(F.lit("dates_full"), F.lit("dob_year_over_89_suppressed"))).otherwise(cats)
-        return F.when(v.isNotNull(), out), cats, nothing
-    if re.search(GENERIC_ID, key) and key not in SAFE_KEYS:
-        return F.when(v.isNotNull(), F.lit("[ID-REDACTED]")), found("other_unique_identifier"), nothing
-    safe = key in SAFE_KEYS or re.fullmatch(r"\d+hz_band", key)
-    free = key in TEXT_KEYS and isinstance(kind, T.StringType)
-    if not isinstance(kind, T.StringType):
-        return (v, nothing, nothing) if safe else (None, nothing, found(key))
-    scrubbed = scrub_free_text(v) if safe or free else None
-    out, cats = (scrubbed["t"], scrubbed["c"]) if scrubbed is not None else (None, nothing)
-    shaped = None
+NOTHING = "array<string>"
+
+
+def _none() -> Column:
+    return F.array().cast(NOTHING)
+
+
+def _judged(value: Column | None, cats: Column, gone: Column) -> Column:
+    """What is known of one leaf: its masked value, the categories found, and its key if the value is dropped."""
+    return F.struct(*([] if value is None else [value.alias("m")]), cats.alias("c"), gone.alias("d"))
+
+
+def _shape(v: Column) -> Column:
+    """struct(m, c) of the identifier that a whole text has the shape of, else null."""
+    out = None
     for pattern, cat in ID_SHAPES:
-        hit = F.trim(v).rlike(pattern)
-        mask = F.lit("[" + cat.upper().replace("_", "-") + "-REDACTED]")
-        shaped = F.when(hit, F.struct(mask.alias("m"), F.array(F.lit(cat)).alias("c"))) if shaped is None else shaped.when(hit, F.struct(mask.alias("m"), F.array(F.lit(cat)).alias("c")))
-    hit = shaped["m"].isNotNull()
-    value = F.when(v.isNull(), None).when(hit, shaped["m"]).otherwise(out if out is not None else F.lit(None))
-    gone = nothing if scrubbed is not None else F.when(v.isNull() | F.coalesce(hit, F.lit(False)), nothing).otherwise(F.array(F.lit(key)))
-    return value, F.when(v.isNull(), nothing).when(hit, shaped["c"]).otherwise(cats), gone
-
-
-def _masked(schema: T.StructType, old: Column, zips: Sequence[str], at: Column | None = None) -> tuple[list[Column], list[Column], list[Column]]:
-    """(masked columns, arrays of categories, arrays of the names whose values are dropped), each record by itself."""
-    cols, cats, gone = [], [], []
-    none = F.array().cast("array<string>")
-    for f in schema:
-        v = F.col(f"`{f.name}`") if at is None else at.getField(f.name)
-        key, kind = f.name.lower(), f.dataType
+        made = F.struct(F.lit("[" + cat.upper().replace("_", "-") + "-REDACTED]").alias("m"), F.array(F.lit(cat)).alias("c"))
+        out = F.when(F.trim(v).rlike(pattern), made) if out is None else out.when(F.trim(v).rlike(pattern), made)
+    return out
+
+
+def _date(v: Column, s: Column, birth: Column, old: Column) -> tuple[Column, Column]:
+    y = F.regexp_extract(s, r"([0-9]{4})", 1)
+    hidden = birth & old
+    cats = F.when(hidden, F.array(F.lit("dates_full"), F.lit("dob_year_over_89_suppressed"))).otherwise(F.array(F.lit("dates_full")))
+    return F.when(v.isNotNull(), F.when(hidden, "REDACTED-90+").when(y != "", y).otherwise("REDACTED-DATE")), F.when(v.isNotNull(), cats).otherwise(_none())
+
+
+def _text(key: Column, v: Column, kept: Column, scrubs: bool) -> Column:
+    """A text: the mask of its shape, else scrubbed where it is ``kept``, else dropped. It is looked at once; the one-element array binds what is found."""
+    scrubbed = F.when(kept & v.isNotNull(), scrub_free_text(v)) if scrubs else F.lit(None).cast("struct<t: string, c: array<string>>")
+
+    def judge(x: Column) -> Column:
+        hit, s = x["hit"], x["s"]
+        return _judged(F.when(hit.isNotNull(), hit["m"]).otherwise(s["t"]), F.coalesce(hit["c"], s["c"], _none()),
+                       F.when(v.isNull() | hit.isNotNull() | kept, _none()).otherwise(F.array(key)))
+
+    return F.transform(F.transform(F.array(_shape(v)), lambda hit: F.struct(hit.alias("hit"), F.when(hit.isNull(), scrubbed).alias("s"))), judge)[0]
+
+
+def _leaf(key: str, kind: T.DataType, old: Column, zips: Sequence[str]) -> tuple[Callable[[Column], Column], bool]:
+    """(judge of a value under a key known from the schema, whether any value of the key is kept)."""
+    def judge(v: Column) -> Column:
+        s = v.cast("string")
+        found = lambda cat: F.when(v.isNotNull(), F.array(F.lit(cat))).otherwise(_none())
+        for keys, cat, mask in KEY_CLASSES:
+            if key in keys:
+                return _judged(F.when(v.isNotNull(), F.lit(mask)), found(cat), _none())
+        if key in ZIP_KEYS:
+            return _judged(F.when(v.isNotNull(), zip3(v, zips)), found("geo_zip"), _none())
+        if key in AGE_KEYS:
+            high = F.coalesce(s.try_cast("double") > 89, F.lit(False))
+            return _judged(F.when(high, "90+").otherwise(s), F.when(high, F.array(F.lit("age_over_89"))).otherwise(_none()), _none())
+        if key in DATE_KEYS or key.endswith("date") or key.endswith("_at"):
+            return _judged(*_date(v, s, F.lit(key in DOB_KEYS), old), _none())
+        if re.search(GENERIC_ID, key) and key not in SAFE_KEYS:
+            return _judged(F.when(v.isNotNull(), F.lit("[ID-REDACTED]")), found("other_unique_identifier"), _none())
+        if not isinstance(kind, T.StringType):
+            return _judged(v, _none(), _none()) if safe else _judged(None, _none(), found(key))
+        kept = safe or key in TEXT_KEYS
+        return _text(F.lit(key), v, F.lit(kept), kept)
+
+    safe = key in SAFE_KEYS or bool(re.fullmatch(r"\d+hz_band", key))
+    classed = any(key in keys for keys, _, _ in KEY_CLASSES) or key in ZIP_KEYS or key in AGE_KEYS or key in DATE_KEYS or key.endswith(("date", "_at"))
+    return judge, isinstance(kind, T.StringType) or safe or classed or bool(re.search(GENERIC_ID, key))
+
+
+def _entry(kind: T.DataType, old: Column, zips: Sequence[str]) -> Callable[[Column, Column], Column]:
+    """Judge of (key, value) of a map, whose keys are only known row by row: the classes of :func:`_leaf` in the same order. Values are texts from here on."""
+    def judge(name: Column, v: Column) -> Column:
+        key, s = F.lower(name), v.cast("string")
+        found = lambda cat: F.when(v.isNotNull(), F.array(F.lit(cat))).otherwise(_none())
+        masked = lambda value, cats: _judged(value, cats, _none())
+        out = None
+        add = lambda test, value: F.when(test, value) if out is None else out.when(test, value)
+        for keys, cat, mask in KEY_CLASSES:
+            out = add(key.isin(*keys), masked(F.when(v.isNotNull(), F.lit(mask)), found(cat)))
+        out = add(key.isin(*ZIP_KEYS), masked(F.when(v.isNotNull(), zip3(s, zips)), found("geo_zip")))
+        high = F.coalesce(s.try_cast("double") > 89, F.lit(False))
+        out = add(key.isin(*AGE_KEYS), masked(F.when(high, "90+").otherwise(s), F.when(high, F.array(F.lit("age_over_89"))).otherwise(_none())))
+        out = add(key.isin(*DATE_KEYS) | key.endswith("date") | key.endswith("_at"), masked(*_date(v, s, key.isin(*DOB_KEYS), old)))
+        out = add(key.rlike(GENERIC_ID) & ~key.isin(*SAFE_KEYS), masked(F.when(v.isNotNull(), F.lit("[ID-REDACTED]")), found("other_unique_identifier")))
+        safe = key.isin(*SAFE_KEYS) | key.rlike(r"^[0-9]+hz_band$")
+        if isinstance(kind, T.StringType):
+            return out.otherwise(_text(key, v, safe | key.isin(*TEXT_KEYS), True))
+        return out.otherwise(_judged(F.when(safe, s), _none(), F.when(safe | v.isNull(), _none()).otherwise(F.array(key))))
+    return judge
+
+
+class _Walk:
+    """One place of the schema: ``judged`` makes of a value what is known of all its leaves, each judged once; ``value``, ``cats`` and ``gone`` read that."""
+
+    def __init__(self, key: str, kind: T.DataType, old: Column, zips: Sequence[str]):
+        flat = lambda many: F.coalesce(F.flatten(many), _none())
         if isinstance(kind, T.StructType):
-            c, g, d = _masked(kind, old, zips, v)
-            if c:
-                cols.append(F.when(v.isNotNull(), F.struct(*c)).alias(f.name))
-            cats += g
-            gone += d
+            parts = [(f.name, f"p{k}", _Walk(f.name.lower(), f.dataType, old, zips)) for k, f in enumerate(kind)]
+            stay = [(name, at, w) for name, at, w in parts if w.stays]
+            self.stays = bool(stay)
+            self.judged = lambda v: F.when(v.isNotNull(), F.struct(*[w.judged(v.getField(name)).alias(at) for name, at, w in parts]))
+            self.value = lambda r: F.when(r.isNotNull(), F.struct(*[w.value(r[at]).alias(name) for name, at, w in stay]))
+            self.cats = lambda r: flat(F.array(*[w.cats(r[at]) for _, at, w in parts]))
+            self.gone = lambda r: flat(F.array(*[w.gone(r[at]) for _, at, w in parts]))
         elif isinstance(kind, T.ArrayType):
-            inner = kind.elementType
-            nested = isinstance(inner, T.StructType)
-
-            def part(x: Column, which: int, inner=inner, nested=nested, key=key) -> Column:
-                return F.flatten(F.array(*_masked(inner, old, zips, x)[which])) if nested else _leaf(key, inner, x, old, zips)[which]
-
-            if nested:
-                if _masked(inner, old, zips, F.element_at(v, 1))[0]:
-                    cols.append(F.transform(v, lambda x: F.struct(*_masked(inner, old, zips, x)[0])).alias(f.name))
-            elif _leaf(key, inner, F.element_at(v, 1), old, zips)[0] is not None:
-                cols.append(F.transform(v, lambda x: _leaf(key, inner, x, old, zips)[0]).alias(f.name))
-            cats.append(F.coalesce(F.flatten(F.transform(v, lambda x: part(x, 1))), none))
-            gone.append(F.coalesce(F.flatten(F.transform(v, lambda x: part(x, 2))), none))
+            inner = _Walk(key, kind.elementType, old, zips)
+            self.stays = inner.stays
+            self.judged = lambda v: F.transform(v, inner.judged)
+            self.value = lambda r: F.transform(r, inner.value)
+            self.cats = lambda r: flat(F.transform(r, inner.cats))
+            self.gone = lambda r: flat(F.transform(r, inner.gone))
+        elif isinstance(kind, T.MapType) and isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
+            # Below a key of a map the names come from the schema again; the key itself is not looked at.
+            inner = _Walk(key, kind.valueType, old, zips)
+            self.stays = inner.stays
+            self.judged = lambda v: F.transform(F.map_entries(v), lambda e: F.struct(e["key"].alias("k"), inner.judged(e["value"]).alias("r")))
+            self.value = lambda r: F.map_from_entries(F.transform(r, lambda e: F.struct(e["k"], inner.value(e["r"]))))
+            self.cats = lambda r: flat(F.transform(r, lambda e: inner.cats(e["r"])))
+            self.gone = lambda r: flat(F.transform(r, lambda e: inner.gone(e["r"])))
+        elif isinstance(kind, T.MapType):
+            entry = _entry(kind.valueType, old, zips)
+            self.stays = True
+            self.judged = lambda v: F.transform(F.map_entries(v), lambda e: F.struct(e["key"].alias("k"), entry(e["key"].cast("string"), e["value"]).alias("r")))
+            self.value = lambda r: F.map_from_entries(F.transform(F.filter(r, lambda e: F.size(e["r"]["d"]) == 0), lambda e: F.struct(e["k"], e["r"]["m"])))
+            self.cats = lambda r: flat(F.transform(r, lambda e: e["r"]["c"]))
+            self.gone = lambda r: flat(F.transform(r, lambda e: e["r"]["d"]))
         else:
-            m, g, d = _leaf(key, kind, v, old, zips)
-            cats.append(g)
-            gone.append(d)
-            if m is not None:
-                cols.append(m.alias(f.name))
-    return cols, cats, gone
+            self.judged, self.stays = _leaf(key, kind, old, zips)
+            self.value, self.cats, self.gone = (lambda r, f=f: r[f] for f in "mcd")
+            self.cats, self.gone = (lambda r, g=g: F.coalesce(g(r), _none()) for g in (self.cats, self.gone))
 
 
 UNCLASSIFIED = "dropped (unclassified)"
@@ -214,16 +268,16 @@ def deidentify_record(df: DataFrame, year: int, keep: Sequence[str] = (), zips:
     """PR03. Nested records masked by key class; values of keys of no class are dropped and their keys named, record by record, in
     ``dropped_keys``, with the category "dropped (unclassified)".
 
-    The schema is walked once; every leaf becomes one expression, arrays become ``transform``. A text of no class stays only
-    as a mask when it has the shape of an identifier. ``keep`` columns pass as they are.
+    The schema is walked once; structs, arrays and maps keep their form. A map's entries are classed by their own keys, row by row, and its plain
+    values become texts. Every leaf is judged once, in a first projection; the second takes values, categories and dropped keys from that. A
+    text of no class stays only as a mask when it has the shape of an identifier. ``keep`` columns pass as they are.
     """
     schema = T.StructType([f for f in df.schema if f.name not in keep])
-    old = over_89(schema, year)
-    d = df.withColumn("_old", old)
-    cols, cats, gone = _masked(schema, F.col("_old"), zips)
-    none = F.array().cast("array<string>")
-    merged = lambda parts: F.array_sort(F.array_distinct(F.flatten(F.array(*parts)))) if parts else none
-    d = d.select(*keep, *cols, merged(cats).alias("categories"), merged(gone).alias("dropped_keys"))
+    d = df.withColumn("_old", over_89(schema, year))
+    walks = [(f.name, f"_j{k}", _Walk(f.name.lower(), f.dataType, F.col("_old"), zips)) for k, f in enumerate(schema)]
+    d = d.select(*keep, *[w.judged(F.col(f"`{name}`")).alias(at) for name, at, w in walks])
+    merged = lambda parts: F.array_sort(F.array_distinct(F.flatten(F.array(*parts)))) if parts else _none()
+    d = d.select(*keep, *[w.value(F.col(at)).alias(name) for name, at, w in walks if w.stays], merged([w.cats(F.col(at)) for _, at, w in walks]).alias("categories"), merged([w.gone(F.col(at)) for _, at, w in walks]).alias("dropped_keys"))
     return d.withColumn("categories", F.when(F.size("dropped_keys") > 0, F.array_sort(F.array_append("categories", F.lit(UNCLASSIFIED)))).otherwise(F.col("categories")))
 
 

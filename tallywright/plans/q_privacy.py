@@ -80,7 +80,9 @@ def records(t: Tables):
         k.alias("id"), F.col("c_name").alias("name"), (k % 101).cast("int").alias("age"), F.concat((1925 + k % 80).cast("string"), F.lit("-04-05")).alias("dob"),
         F.struct(F.lit("1 Main St").alias("street"), F.concat(F.lit("ST"), (k % 5).cast("string")).alias("state"), F.lpad((k * 37 % 99999).cast("string"), 5, "0").alias("zip")).alias("home"),
         "purchase_history", F.concat(F.lit("Mr. John Roe, mail j@x.org, seen 2020-01-0"), (k % 9 + 1).cast("string")).alias("note"),
-        F.when(k % 4 == 0, F.concat(F.lit("MRN-"), (k + 10000).cast("string"))).otherwise("free words").alias("reference"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+        F.when(k % 4 == 0, F.concat(F.lit("MRN-"), (k + 10000).cast("string"))).otherwise("free words").alias("reference"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"),
+        F.create_map(F.lit("order_id"), F.concat(F.lit("A"), k.cast("string")), F.lit("Visit_Date"), F.concat((2000 + k % 20).cast("string"), F.lit("-02-03")), F.lit("product"), F.concat(F.lit("p"), (k % 7).cast("string")),
+                     F.lit("balance"), F.lit("high")).alias("extras"))
 
 
 YEAR = 2024
@@ -89,12 +91,13 @@ _ZIPS = ["001", "037", "122"]
 
 @query("pr03_deidentify_record", f"""WITH r AS (SELECT c_custkey AS k, c_custkey % 101 AS age, 1925 + c_custkey % 80 AS y, lpad(CAST(c_custkey * 37 % 99999 AS VARCHAR), 5, '0') AS zip FROM customer), o AS (SELECT *, age > 89 OR {YEAR} - y > 89 AS old FROM r),
 h AS (SELECT o_custkey, string_agg('[ID-REDACTED]' || '/' || year(o_orderdate) || '/' || o_orderpriority, ';' ORDER BY o_orderkey) AS hist FROM orders GROUP BY 1)
-SELECT '[ID-REDACTED]' AS id, '[NAME-REDACTED]' AS name, CASE WHEN age > 89 THEN '90+' ELSE CAST(age AS VARCHAR) END AS age, CASE WHEN old THEN 'REDACTED-90+' ELSE CAST(y AS VARCHAR) END AS dob, 'ST' || (k % 5) AS state,
+SELECT '[ID-REDACTED]' AS id, '[NAME-REDACTED]' AS name, 'Visit_Date=' || (2000 + k % 20) || ';order_id=[ID-REDACTED];product=p' || (k % 7) AS extras, CASE WHEN age > 89 THEN '90+' ELSE CAST(age AS VARCHAR) END AS age, CASE WHEN old THEN 'REDACTED-90+' ELSE CAST(y AS VARCHAR) END AS dob, 'ST' || (k % 5) AS state,
   CASE WHEN substr(zip, 1, 3) IN ('001', '037', '122') THEN substr(zip, 1, 3) || '00' ELSE '000' END AS zip, hist, 'Mr. [NAME-REDACTED], mail [EMAIL-REDACTED], seen 2020' AS note, CASE WHEN k % 4 = 0 THEN '[MRN-REDACTED]' END AS reference, CASE WHEN k % 4 = 0 THEN 'balance,segment' ELSE 'balance,reference,segment' END AS dropped FROM o LEFT JOIN h ON o_custkey = k""")
 def _(t):
     d = pr.deidentify_record(records(t), YEAR, zips=_ZIPS)
     hist = F.array_join(F.transform("purchase_history", lambda x: F.concat_ws("/", x["order_id"], x["order_date"], x["product"])), ";")
-    return d.select("id", "name", "age", "dob", F.col("home.state").alias("state"), F.col("home.zip").alias("zip"), hist.alias("hist"), "note", "reference", F.array_join("dropped_keys", ",").alias("dropped"))
+    extras = F.array_join(F.transform(F.array_sort(F.map_entries("extras")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return d.select("id", "name", extras.alias("extras"), "age", "dob", F.col("home.state").alias("state"), F.col("home.zip").alias("zip"), hist.alias("hist"), "note", "reference", F.array_join("dropped_keys", ",").alias("dropped"))
 
 
 @query("pr04_age_90_rule", f"SELECT c_custkey AS id, c_custkey % 101 > 89 OR {YEAR} - (1925 + c_custkey % 80) > 89 AS over_89 FROM customer")

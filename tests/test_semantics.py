@@ -187,6 +187,18 @@ def test_deidentify_is_closed_to_unknown_keys(spark):
     assert r.purchase_history[0].order_date == "2020" and r.purchase_history[0].odd is None and "555" not in r.purchase_history[0].product
 
 
+def test_maps_are_walked_entry_by_entry(spark):
+    schema = "id int, dob string, tags map<string, string>, sizes map<string, int>, inner map<string, struct<email: string, odd: string, note: string>>"
+    tags = {"Email": "a@b.co", "visit_date": "2020-05-06", "birth_date": "1920-01-01", "zip": "12345", "age": "93", "odd": "some words", "thing": "MRN-55555", "product": "call 555-123-4567", "empty": None, "customer_id": "7"}
+    df = spark.createDataFrame([(1, "1920-01-01", tags, {"qty": 3, "age": 95, "weight": 80}, {"x": ("a@b.co", "words", "seen 2020-01-02"), "y": None}), (2, None, None, {}, None)], schema)
+    got = {k + 1: r for k, r in enumerate(pr.deidentify_record(df, 2024, zips=["123"]).orderBy(F.col("dob").isNull()).collect())}
+    assert got[1].tags == {"Email": "[EMAIL-REDACTED]", "visit_date": "2020", "birth_date": "REDACTED-90+", "zip": "12300", "age": "90+", "thing": "[MRN-REDACTED]",
+                           "product": "call [PHONE-REDACTED]", "empty": None, "customer_id": "[ID-REDACTED]"}
+    assert got[1].sizes == {"qty": "3", "age": "90+"} and got[1].inner["x"].asDict() == {"email": "[EMAIL-REDACTED]", "odd": None, "note": "seen 2020"} and got[1].inner["y"] is None
+    assert got[1].dropped_keys == ["odd", "weight"] and {"phone", "mrn", "email", "geo_zip", "age_over_89", "dob_year_over_89_suppressed"} <= set(got[1].categories)
+    assert (got[2].tags, got[2].sizes, got[2].inner, got[2].dropped_keys) == (None, {}, None, [])
+
+
 def test_bleeding_money_is_not_an_injury(spark):
     df = spark.createDataFrame([("we are bleeding money",), ("it is bleeding badly",), ("explosion-proof lamp",)], "t string")
     assert [r.matched for r in pr.safety_classify(df, "t").collect()] == [False, True, False]
