@@ -111,8 +111,9 @@ class Interned:
         self.keys = keys[self.owner]
         self.count = np.bincount(self.slot, minlength=len(used))
 
-    def strings(self) -> list[bytes]:
-        """The string of every slot."""
+    def strings(self, slots: np.ndarray | slice = slice(None)) -> list[bytes]:
+        """The strings of all slots, or of some."""
         view = memoryview(self.data)
-        a = self.start[self.owner]
-        return [bytes(view[x:y]) for x, y in zip(a.tolist(), (a + self.length[self.owner]).tolist())]
+        own = self.owner[slots]
+        a = self.start[own]
+        return [bytes(view[x:y]) for x, y in zip(a.tolist(), (a + self.length[own]).tolist())]

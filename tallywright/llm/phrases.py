@@ -9,16 +9,16 @@ Through a node whose whole flow comes in by one edge and leaves by one edge, not
 compacted to one row of words with one weight, by list ranking: every edge learns the first edge of its path and its distance from
 it, both doubling their reach each round.
 
-Runs are counted batch by batch on interned words before they are shuffled, once, by their node. A node of two very frequent words is
-spread by a hash of what follows; ``heavy_words`` bounds what the other nodes can hold.
+Runs are counted batch by batch on interned words before they are shuffled, once, one row for each first word of a batch with all that
+follows it. What follows a very frequent word is spread by a hash; ``heavy_words`` bounds what stands together.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +32,7 @@ GAP = END.copy()
 GAP[list(b" \t")] = True
 HEAVY = 1000  # words with more than a thousandth of all occurrences are spread
 SALTS = 64
+BATCH_BYTES = 2_000_000  # of texts that are counted at once
 
 
 class Pieces:
@@ -48,9 +49,6 @@ class Pieces:
         self.piece = np.cumsum(END[data])[start]
         self.table = Interned(data, start, end - start)
 
-    def words(self) -> pa.Array:
-        return pa.array(self.table.strings(), pa.binary()).cast(pa.string())
-
 
 def heavy_words(docs: DataFrame, text: str) -> list[str]:
     """At most ``HEAVY`` words, among them every word with more than 2 / HEAVY of all occurrences.
@@ -61,76 +59,109 @@ def heavy_words(docs: DataFrame, text: str) -> list[str]:
     def report(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             column = part.column(0)
-            for s in slices(column):
+            for s in slices(column, BATCH_BYTES):
                 p = Pieces(column[s].to_pylist())
                 often = np.flatnonzero(p.table.count * (2 * HEAVY) >= len(p.row)) if len(p.row) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([p.words().take(pa.array(often)), pa.array([None], pa.string())]), pa.array([*p.table.count[often].tolist(), len(p.row)], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([*(w.decode() for w in p.table.strings(often)), None], pa.string()), pa.array([*p.table.count[often].tolist(), len(p.row)], pa.int64())], ["word", "n"])
 
     rows = only(docs, text=text).mapInArrow(report, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = rows.filter("word IS NULL").select(F.col("n").alias("total"))
-    found = rows.filter("word IS NOT NULL").join(F.broadcast(total)).filter(F.col("n") * HEAVY > F.col("total"))
-    return sorted(r.word for r in found.select("word").collect())
+    # The total, under no word, is the first; less than HEAVY words have more than a HEAVY-th of it each.
+    top = rows.orderBy(F.col("word").isNotNull(), F.desc("n")).limit(HEAVY + 1).collect()
+    return sorted(r.word for r in top[1:] if r.n * HEAVY > top[0].n)
+
+
+def counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and how often each is there."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.diff(np.append(first, len(key)))
 
 
 def runs(docs: DataFrame, lang: str, text: str, size: int, heavy: list[str]) -> DataFrame:
-    """lang, w1.., salt, k, n: the run of ``size`` words, or of the k words left in its piece, that starts at every word, counted by batch."""
-    names = [f"w{j + 1}" for j in range(size)]
+    """lang, w1, salt, spread, runs: for every word of a batch the runs of 1 to ``size`` words that start with it.
+
+    ``runs`` has a line for each run: its further words and, behind a tab, its occurrences if there are several. Each batch is a graph of its own:
+    the edges are counted, the flow of a shorter run is the sum of the edges that go on from it and of its ends. What starts with a word that is not heavy stands together. What starts with a heavy
+    word is dealt by ``salt``, a hash of the words up to the first that is not heavy; ``spread`` of the first words are heavy.
+    """
     spread = {w.encode() for w in heavy}
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             langs, column = part.columns
-            for s in slices(column):
+            for s in slices(column, BATCH_BYTES):
                 p = Pieces(column[s].to_pylist())
-                words, total = p.words(), len(p.row)
+                total = len(p.row)
                 if not total:
                     continue
                 coded = langs[s].fill_null("und").dictionary_encode()
-                code = coded.indices.to_numpy().astype(np.int64)[p.row]
-                wide = len(words) + 1
-                ids = np.zeros((size, total), np.int64)  # from 1; 0 behind the end of the piece
-                key = code
-                for j in range(size):
-                    inside = np.flatnonzero(p.piece[:total - j] == p.piece[j:]) if j < total else np.zeros(0, np.int64)
-                    ids[j, inside] = p.table.slot[inside + j] + 1
-                    key = np.unique(key, return_inverse=True)[1] * wide + ids[j]
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                ids, code = ids[:, first], code[first]
-                strings = p.table.strings()
-                hot = np.array([False, *(w in spread for w in strings)])
-                salt = np.where(hot[ids[:-1]].all(axis=0), 1 + np.concatenate([[0], p.table.keys % np.uint64(SALTS)]).astype(np.int64)[ids[-1]], 0)
-                columns = [words.take(pa.array(np.where(i > 0, i - 1, 0), mask=i == 0)) for i in ids]
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code)), *columns, pa.array(salt.astype(np.int8)), pa.array((ids > 0).sum(axis=0).astype(np.int8)), pa.array(n)], ["lang", *names, "salt", "k", "n"])
-
-    return only(docs, lang=F.col(f"`{lang}`").cast("string"), text=text).mapInArrow(count, f"lang string, {', '.join(f'{c} string' for c in names)}, salt byte, k byte, n long")
+                strings, wide = p.table.strings(), len(p.table.owner) + 1
+                words = pa.array(strings, pa.binary()).cast(pa.string())
+                ids = np.zeros((size + 1, total), np.int64)  # the language, then the words from 1; 0 behind the end of the piece
+                ids[0] = coded.indices.to_numpy().astype(np.int64)[p.row]
+                for j in range(min(size, total)):
+                    inside = np.flatnonzero(p.piece[:total - j] == p.piece[j:])
+                    ids[j + 1, inside] = p.table.slot[inside + j] + 1
+                if len(coded.dictionary) * wide ** size < 1 << 63:
+                    key = ids[0]
+                    for row in ids[1:]:
+                        key = key * wide + row
+                    key, n = counted(key)
+                    ids = ids[:, :len(key)]
+                    for j in range(size, 0, -1):
+                        key, ids[j] = np.divmod(key, wide)
+                    ids[0] = key
+                else:
+                    ids, n = np.unique(ids, axis=1, return_counts=True)
+                hot = np.array([False, *(w in spread for w in strings)])[ids[1:]]
+                leading = np.logical_and.accumulate(hot, axis=0).sum(axis=0)
+                salt = np.zeros(len(n), np.uint64)
+                keys = np.concatenate([np.zeros(1, np.uint64), p.table.keys])
+                for j in range(1, size):
+                    salt = np.where(leading >= j, salt * np.uint64(31) + keys[ids[j + 1]] + np.uint64(1), salt)
+                salt = np.where(leading > 0, 1 + (salt ^ (salt >> np.uint64(32))) % np.uint64(SALTS), 0).astype(np.int64)
+                group = ((ids[0] * wide + ids[1]) * (SALTS + 1) + salt) * (size + 1) + leading
+                order = np.argsort(group, kind="stable")
+                ids, n, group, salt, leading = ids[:, order], n[order], group[order], salt[order], leading[order]
+                new = np.concatenate([[True], group[1:] != group[:-1]])
+                first = np.flatnonzero(new)
+                lines, of = [], []
+                for k in range(1, size + 1):
+                    # Rows with the same first k words stand together: their sum is the flow.
+                    if k > 1:
+                        new = new | np.concatenate([[True], ids[k, 1:] != ids[k, :-1]])
+                    at = np.flatnonzero(new)
+                    flow = np.add.reduceat(n, at)
+                    whole = ids[k, at] > 0
+                    at, flow = at[whole], flow[whole]
+                    line = pc.binary_join_element_wise(*[words.take(pa.array(ids[j, at] - 1)) for j in range(2, k + 1)], " ") if k > 1 else pa.array([""] * len(at), pa.string())
+                    lines.append(pc.if_else(pa.array(flow > 1), pc.binary_join_element_wise(line, pa.array(flow).cast(pa.string()), "\t"), line))
+                    of.append(np.searchsorted(first, at, side="right") - 1)
+                of = np.concatenate(of)
+                by = np.argsort(of, kind="stable")
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[by], np.arange(len(first) + 1)).astype(np.int32)), pa.concat_arrays(lines).take(pa.array(by)))
+                out = pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(ids[0, first])), words.take(pa.array(ids[1, first] - 1)), pa.array(salt[first].astype(np.int8)), pa.array(leading[first].astype(np.int8)), pc.binary_join(lists, "\n")], ["lang", "w1", "salt", "spread", "runs"])
+                del p, strings, words, ids, n, hot, leading, salt, keys, group, order, new, lines, of, by, lists, line, at, flow, whole
+                pa.default_memory_pool().release_unused()
+                yield out
+
+    return only(docs, lang=F.col(f"`{lang}`").cast("string"), text=text).mapInArrow(count, "lang string, w1 string, salt byte, spread byte, runs string")
 
 
 def flows(docs: DataFrame, lang: str, text: str, size: int, least: int) -> DataFrame:
-    """lang, k, w1.., n: every run of k words, 1 to ``size``, with its occurrences; runs of two words and more only from ``least``.
+    """lang, k, phrase, n: every run of k words, 1 to ``size``, with its occurrences; runs of two words and more only from ``least``.
 
-    Runs of ``size - 1`` very frequent words may come in several parts, to be added up.
+    Runs shorter than ``size`` that have heavy words only may come in several parts, to be added up.
     """
-    names = [f"w{j + 1}" for j in range(size)]
-    node = names[:-1]
-    # All consumers name every column and filter on aggregates only, so that they share one exchange.
-    dealt = runs(docs, lang, text, size, heavy_words(docs, text)).repartition("lang", *node, "salt")
-    last, n = F.col(names[-1]), F.col("n")
-    edges = dealt.groupBy("lang", *names, "salt").agg(F.sum("n").alias("n"), F.max("k").alias("k")).filter((F.col("k") == size) & (n >= least)).select("lang", "k", *names, "n")
-    through = F.sum(F.when(last.isNotNull(), n).otherwise(0)) + F.sum(F.when(last.isNull(), n).otherwise(0))  # edges out, ends
-    level = dealt.groupBy("lang", *node, "salt").agg(through.alias("n"), F.max("k").alias("k"), F.max("salt").alias("s")).filter(n > 0)
-    out = [edges]
-    for k in range(size - 1, 0, -1):
-        here = names[:k]
-        whole = F.col("s") == 0 if k == size - 1 else F.lit(True)
-        some = level.filter((F.least("k", F.lit(k)) == k) & ((n >= least) | ~whole)) if k > 1 else level
-        out.append(some.select("lang", F.lit(k).cast("byte").alias("k"), *here, *[F.lit(None).cast("string").alias(c) for c in names[k:]], "n"))
-        if k > 1:
-            level = level.groupBy("lang", *names[:k - 1]).agg(F.sum("n").alias("n"), F.max(F.least("k", F.lit(k - 1))).alias("k"))
-    return reduce(DataFrame.union, out)
-
-
-def joined(names: list[str]) -> Column:
-    return F.concat_ws(" ", *names)
+    dealt = runs(docs, lang, text, size, heavy_words(docs, text)).repartition("lang", "w1", "salt")
+    line = F.col("line")
+    lines = dealt.select("lang", "w1", "salt", "spread", F.explode(F.split("runs", "\n")).alias("line"))
+    several = F.contains(line, F.lit("\t"))
+    lines = lines.select("lang", "w1", "salt", "spread", F.substring_index(line, "\t", 1).alias("rest"), F.when(several, F.substring_index(line, "\t", -1).cast("long")).otherwise(F.lit(1)).alias("n"))
+    k = F.when(F.col("rest") == "", 1).otherwise(F.size(F.split("rest", " ")) + 1)
+    sums = lines.groupBy("lang", "w1", "salt", "spread", "rest").agg(F.sum("n").alias("n"))
+    sums = sums.filter((F.col("n") >= least) | (F.col("rest") == "") | ((F.col("spread") > 0) & (k <= F.col("spread")) & (k < size)))
+    return sums.select("lang", k.alias("k"), F.when(F.col("rest") == "", F.col("w1")).otherwise(F.concat_ws(" ", "w1", "rest")).alias("phrase"), "n")
 
 
 def paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -172,18 +203,17 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", size:
     """
     if size < 2 or not 0 < share <= 100:
         raise ValueError("size is at least 2, share from 1 to 100")
-    names = [f"w{j + 1}" for j in range(size)]
-    table = saved(flows(docs, lang, text, size, least), "flows")
-    counts = table.select("lang", "k", joined(names).alias("phrase"), "n")
+    counts = saved(flows(docs, lang, text, size, least), "flows")
     edges = counts.filter(F.col("k") == size).drop("k")
-    nodes = saved(counts.filter(F.col("k") == size - 1).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "nodes")
+    shorter = saved(counts.filter(F.col("k") < size).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "shorter")
+    nodes = shorter.filter(F.col("k") == size - 1).drop("k")
     compact = saved(paths(edges, nodes), "paths")
     last = F.size("words") - size + 1  # places of edges; nodes have one more
     longest = parts_of(compact, size, 1, last)
     within = parts_of(compact, size - 1, 2, last)  # nodes inside paths: as frequent as the edges beside them, hence left out below
     ends = compact.select("lang", "n", F.explode(F.array(F.slice("words", 1, size - 1), F.slice("words", last + 1, size - 1))).alias("w")).select("lang", F.array_join("w", " ").alias("phrase"), "n")
     outer = nodes.join(within, ["lang", "phrase"], "left_anti")
-    shorter = counts.filter((F.col("k") < size - 1) & (F.col("n") >= least))
+    shorter = shorter.filter(F.col("k") < size - 1)
     known = longest.union(within).union(outer).union(shorter.drop("k"))
 
     def uncovered(level: DataFrame, longer: DataFrame) -> DataFrame:

@@ -30,8 +30,9 @@ WORD = np.zeros(256, bool)  # of UTF-8: every byte of a character beyond ASCII i
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[slice]:
-    """Rows of a string column in stretches of bounded bytes, at least one row each."""
+def slices(column: pa.Array, most: int | None = None) -> Iterator[slice]:
+    """Rows of a string column in stretches of at most ``most`` bytes (``SLICE_BYTES``), but of one row at least."""
+    most = most or SLICE_BYTES
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(size):

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import phrases, resampling
+from tallywright.llm import phrases
 
 
 def low(text):
@@ -52,7 +52,7 @@ def rows(seed, n=150):
 @pytest.mark.parametrize("size, least, share, heavy", [(3, 4, 50, 1000), (3, 2, 80, 12), (2, 3, 50, 12), (4, 3, 50, 12), (5, 2, 100, 1000)])
 def test_collocations(spark, monkeypatch, size, least, share, heavy):
     monkeypatch.setattr(phrases, "HEAVY", heavy)
-    monkeypatch.setattr(resampling, "SLICE_BYTES", 900)
+    monkeypatch.setattr(phrases, "BATCH_BYTES", 900)
     data = rows(size)
     df = spark.createDataFrame(data, "lang string, text string").withColumn("n", F.lit("x")).withColumn("k", F.lit("x")).repartition(4)
     got = phrases.collocations(df, size=size, least=least, share=share, first=40)
@@ -72,7 +72,7 @@ def test_paths(spark):
     """A passage that ten texts share is one path; where texts part it ends; its inner nodes have its weight."""
     a, b = "s1 a b c d e f g h t1".split(), "s2 a b c d x y z t2".split()
     data = [("en", " ".join(a))] * 10 + [("en", " ".join(b))] * 5
-    table = phrases.flows(spark.createDataFrame(data, "lang string, text string"), "lang", "text", 3, 2).select("lang", "k", phrases.joined(["w1", "w2", "w3"]).alias("phrase"), "n")
+    table = phrases.flows(spark.createDataFrame(data, "lang string, text string"), "lang", "text", 3, 2)
     got = phrases.paths(table.filter("k = 3").drop("k"), table.filter("k = 2").drop("k")).collect()
     assert {(" ".join(r.words), r.n) for r in got} == {("s1 a b", 10), ("s2 a b", 5), ("a b c d", 15), ("c d e f g h t1", 10), ("c d x y z t2", 5)}
 
