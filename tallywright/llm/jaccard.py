@@ -24,6 +24,7 @@ from tallywright.llm.words import Words, mix, shingles
 
 BANDS, ROWS, STEP = 28, 4, 16
 BLOCK_BYTES = 3_000_000  # shingle sets of a block; a longer document has one to itself
+BATCH = 1_000_000  # characters of texts whose shingles are held at once
 
 
 def seeds() -> np.ndarray:
@@ -68,7 +69,7 @@ def _sketches(rows: DataFrame, size: int) -> DataFrame:
     def sketch(parts):
         for part in parts:
             texts, keys = part.column("text").to_pylist(), part.column("doc_id")
-            for a, b in batches(texts):
+            for a, b in batches(texts, BATCH):
                 h, at = _sets(texts[a:b], size)
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
@@ -110,7 +111,7 @@ def near_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", th
     def fill(parts):
         for part in parts:
             texts = part.column("text").to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, BATCH):
                 h, at = _sets(texts[a:b], size)
                 full = np.flatnonzero(np.diff(at))
                 if len(full):

@@ -26,7 +26,7 @@ from tallywright.llm.words import mix, prefix_hashes, slices_hash
 BLOCK_BYTES, LINE_COST = 1_000_000, 4_000  # a block holds lines of so many bytes, and about 250 at most
 CELLS = 2_000_000
 SPACES = np.array([k for k in range(0x3001) if chr(k).isspace()], np.uint32)
-BATCH = 1_000_000  # characters of texts that are cut into lines at once
+BATCH = 500_000  # characters of texts that are cut into lines at once
 
 
 class Lines:

@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions.ordered import top_per_key
 from tallywright.llm.common import only, saved
 from tallywright.llm.interning import Interned, padded
 from tallywright.llm.resampling import LOWER, slices
@@ -236,6 +237,6 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", size:
     score = F.expr("CAST(1000000 * CAST(a AS DECIMAL(16,0)) * CAST(a AS DECIMAL(16,0)) AS DECIMAL(38,0)) DIV (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("x"))
     total = counts.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.col("x.score").desc(), F.col("a").desc(), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= first)
+    # Every task keeps its own best of each language before they meet.
+    ranked = top_per_key(scored, ["lang"], [F.col("x.score").desc(), F.col("a").desc(), F.col("phrase")], first).withColumn("rank", F.col("rank").cast("long"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "x.l", "x.r", "n", "x.score")
