@@ -237,6 +237,8 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", size:
     score = F.expr("CAST(1000000 * CAST(a AS DECIMAL(16,0)) * CAST(a AS DECIMAL(16,0)) AS DECIMAL(38,0)) DIV (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("x"))
     total = counts.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    # Every task keeps its own best of each language before they meet.
-    ranked = top_per_key(scored, ["lang"], [F.col("x.score").desc(), F.col("a").desc(), F.col("phrase")], first).withColumn("rank", F.col("rank").cast("long"))
+    # The best of each share of a language first, so that at most SALTS * first rows of a language come together.
+    order = [F.col("x.score").desc(), F.col("a").desc(), F.col("phrase")]
+    best = top_per_key(scored.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))), ["lang", "_share"], order, first).drop("rank", "_share")
+    ranked = top_per_key(best, ["lang"], order, first).withColumn("rank", F.col("rank").cast("long"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "x.l", "x.r", "n", "x.score")
