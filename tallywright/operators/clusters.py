@@ -133,13 +133,13 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
         head = pending
         if share < 1.0:
             # The earliest part of the order, whatever its columns are: as many of its ranges as the share allows, one at least.
-            r = cut_lineage(pending.repartitionByRange(RANGES, "pos").withColumn("_range", F.spark_partition_id()))
-            sizes = sorted(r.groupBy("_range").count().collect())
+            parts = cut_lineage(pending.repartitionByRange(RANGES, "pos").withColumn("_range", F.spark_partition_id()))
+            sizes = sorted(parts.groupBy("_range").count().collect())
             upto, room = 0, share * sum(n for _, n in sizes) - sizes[0][1]
             while upto + 1 < len(sizes) and sizes[upto + 1][1] <= room:
                 upto, room = upto + 1, room - sizes[upto + 1][1]
-            pending = r.drop("_range")
-            head = r.filter(F.col("_range") <= sizes[upto][0]).drop("_range")
+            pending = parts.drop("_range")
+            head = parts.filter(F.col("_range") <= sizes[upto][0]).drop("_range")
         new, similar = _greedy_leaders(head, threshold, scope)
         new = cut_lineage(new)
         whole = share >= 1.0 and first_round

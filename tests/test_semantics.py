@@ -46,6 +46,9 @@ def test_leader_clusters_in_several_steps(spark):
     want = leaders([(i, "", x) for i, _, _, _, x in sorted(rows, key=lambda r: (r[1], r[0]))], 0.5)
     got = {r.id: r.leader_id for r in cl.leader_clusters(df, ["ts", "id"], scope=(), threshold=0.5, pair_budget=200).collect()}
     assert got == want
+    # An order that is a text is cut the same way.
+    by_id = leaders([(i, "", x) for i, _, _, _, x in sorted(rows, key=lambda r: r[0])], 0.5)
+    assert {r.id: r.leader_id for r in cl.leader_clusters(df, ["id"], scope=(), threshold=0.5, pair_budget=200).collect()} == by_id
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
