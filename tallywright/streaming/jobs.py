@@ -75,10 +75,10 @@ def safety_alerts(messages: DataFrame, roles: list[str], late: str = "7 days") -
     return hit.select("conv_id", "turn", "ts", F.array_join(F.transform("matches", lambda x: x["id"]), ",").alias("rules"))
 
 
-def safety_stream(messages: DataFrame, roles: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
+def safety_stream(messages: DataFrame, roles: list[str], folder: str, late: str = "7 days") -> tuple[DataFrame, DataFrame]:
     """ST08. (alerts, tagged conversations). A conversation gives one alert: its first matching message of the first batch with any. A batch writes its
     alerts before its tags: after a failure in between the alert comes again, it is never lost."""
-    alerts = safety_alerts(messages, roles)
+    alerts = safety_alerts(messages, roles, late)
     spark, schema = messages.sparkSession, alerts.schema
     spark.createDataFrame([], "conv_id long").write.mode("overwrite").parquet(f"{folder}/tags/batch=-1")
 

@@ -28,6 +28,15 @@ def stream_files(spark: SparkSession, folder: str, glob: str, schema=None, files
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A file source over one table of a folder, be it a single file or a folder of part files.
+
+    The path is a pattern that fits this one name: a source over a plain path takes folders only.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}").schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in RocksDB, as processors with timers need; a running stream has its own copy of the setting."""

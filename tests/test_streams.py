@@ -1,10 +1,17 @@
 """Keyed state with timers: order over micro-batches, bounded rows, freshness that ends by itself."""
 import datetime as dt
+import os
 import random
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers the queries
+from tallywright.plans import q_streams
+from tallywright.plans.registry import QUERIES
 from tallywright.streaming import jobs, runner, stateful
 
 T0 = dt.datetime(2024, 1, 1)
@@ -100,3 +107,25 @@ def test_a_stream_without_events_turns_stale(spark, tmp_path):
     newest = latest_by(spark.read.parquet(f"{folder}/out"), ["key"], ["at"])
     table = jobs.freshness_table(newest, slo, "key", F.current_timestamp())
     assert {r.key: r.state for r in table.collect()} == {"short": "STALE", "long": "FRESH", "old": "STALE", "never": "NO_DATA"}
+
+
+@pytest.mark.parametrize("parts", [0, 2])
+def test_tables_of_one_file_or_of_part_files(spark, tmp_path, parts):
+    """A table is a file or a folder of files; the later file of the folder has the earlier messages, far before those of the first."""
+    talk = [(c, 0, "user", "I was injured.") for c in range(20_000, 20_004)], [(c, 0, "user", "I was injured.") for c in range(4)]
+    docs = [(c, f"text {c}", "en", "s") for c in range(6)]
+    for name, rows, schema in [("conversations", talk, "conv_id long, turn long, role string, text string"), ("documents", (docs[:3], docs[3:]), "doc_id long, text string, lang string, source string")]:
+        made = [pa.Table.from_pylist([r.asDict() for r in spark.createDataFrame(x, schema).collect()]) for x in rows]
+        at = tmp_path / f"{name}.parquet"
+        if not parts:
+            pq.write_table(pa.concat_tables(made), at)
+            continue
+        at.mkdir()
+        for k, x in enumerate(made):
+            pq.write_table(x, at / f"part-{k}.parquet")
+            os.utime(at / f"part-{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(q_streams, "FILES", 1)
+        alerts = {r.conv_id for r in QUERIES["st08_safety_stream"](spark, str(tmp_path)).collect()}
+        assert alerts == {c for x in talk for c, *_ in x}
+        assert QUERIES["st09_incremental_index"](spark, str(tmp_path)).count() == 6
