@@ -189,7 +189,8 @@ FROM led JOIN o ON o.scope = led.scope AND o.id = led.id JOIN standing ON standi
 
 @query("cl10_trust_rerank", _rerank_sql())
 def _(t):
+    from tallywright.operators.search import with_documents
     from tallywright.plans.q_search import hits_df
     d = t.doc_ledger.select(F.col("doc_id").alias("id"), "agent", "ts", "text")
-    h = hits_df(t).join(d, "id")
+    h = with_documents(hits_df(t), d)
     return cl.trust_rerank(h, ts(NOW_EVENTS)).select("query_id", "id", "rank", "new_rank", "status", F.round("trust", 6).alias("trust"))

@@ -101,7 +101,7 @@ b AS (SELECT query_id, parent_id, arg_max(id, (score, -turn)) AS id, max(score)
 SELECT query_id, parent_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 15""")
 def _(t):
     turns = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("conv_id").cast("long").alias("parent_id"), F.col("turn").alias("ordinal"), "text")
-    h = vs.bm25_search(queries_df(t), turns, {"text": 1.0}, 50).join(turns.drop("text"), "id").withColumn("score", F.round("score", 9))
+    h = vs.with_documents(vs.bm25_search(queries_df(t), turns, {"text": 1.0}, 50), turns.drop("text")).withColumn("score", F.round("score", 9))
     return vs.collapse_parents(h, 15).withColumn("score", F.round("score", 6))
 
 
@@ -138,7 +138,7 @@ WHERE n < 3 AND trim(text) <> '' AND id % 9 <> 0 AND NOT EXISTS (SELECT 1 FROM s
 def _(t):
     d = t.documents.select(F.col("doc_id").alias("id"), "text")
     wanted = t.benchmark.select(F.col("item_id").alias("query_id"), F.lower("text").alias("wanted"))
-    hits = vs.bm25_search(queries_df(t), docs_df(t), {"text": 1.0}, 50).join(d, "id").join(wanted, "query_id")
+    hits = vs.with_documents(vs.bm25_search(queries_df(t), docs_df(t), {"text": 1.0}, 50), d).join(wanted, "query_id")
     hits = cut_lineage(hits.select("query_id", "id", "text", F.round("score", 9).alias("score"), (F.col("id") % 9 == 0).alias("retracted"), F.contains(F.lower("text"), F.col("wanted")).alias("here")))
     return vs.thin_pack_fill(hits.filter("here"), hits.drop("here")).select("query_id", "id", F.round("score", 6).alias("score"), "slot")
 
@@ -151,7 +151,7 @@ met AS (SELECT b.item_id AS query_id, coalesce(count(*) FILTER (rank <= 5 AND re
 
 
 def marked(t: Tables):
-    h = hits_df(t).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    h = vs.with_documents(hits_df(t), t.documents.select(F.col("doc_id").alias("id"), "text"))
     expect = t.benchmark.select(F.col("item_id").alias("query_id"), F.array(F.col("text")).alias("expect"))
     return ev.relevance_match(h, expect)
 
@@ -193,7 +193,7 @@ s AS (SELECT b.item_id AS query_id, coalesce(n, 0) AS new_hit, coalesce(l, 0) AS
 
 
 def hard_negatives(t: Tables):
-    h = hits_df(t).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    h = vs.with_documents(hits_df(t), t.documents.select(F.col("doc_id").alias("id"), "text"))
     b = t.benchmark
     n = b.agg(F.count("*").alias("c")).scalar()
     new = b.select(F.col("item_id").alias("query_id"), F.array(F.col("text")).alias("expect_new")).withColumn("_n", n).withColumn("_o", (F.col("query_id") + 1) % F.col("_n"))

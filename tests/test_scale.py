@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywright.functions import links, ordered, similarity
-from tallywright.operators import aggregates as ag, graph as gr, joins as jn, windows as wn
+from tallywright.operators import aggregates as ag, graph as gr, joins as jn, search, windows as wn
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -186,3 +186,59 @@ def test_days_ahead(spark):
         for t in listed:
             text = t if not text else text if t in text else f"{text} | {t}"
         assert joined[d] == text
+
+
+def _bm25(queries, docs, fields, k, scope):
+    """(query, scope, id, score) of the first k by the formula. Rows of one id, field and length count as one document."""
+    from collections import Counter, defaultdict
+    from math import log
+    docs, asked, total = [d for d in docs if d["room"] is not None or not scope], defaultdict(Counter), defaultdict(float)
+    for q, terms in queries:
+        asked[q].update(set(terms))
+    for field, boost in fields.items():
+        n, words, tf, of_field = Counter(), Counter(), defaultdict(Counter), defaultdict(float)
+        for d in docs:
+            t = (d[field] or "").split()
+            s = d["room"] if scope else None
+            n[s] += 1
+            words[s] += len(t)
+            tf[s, d["id"], len(t)].update(t)
+        df = Counter((s, w) for (s, _, _), c in tf.items() for w in c)
+        for (s, i, size), c in tf.items():
+            for q, terms in asked.items():
+                for w in set(terms) & set(c):
+                    idf = log(1 + (n[s] - df[s, w] + 0.5) / (df[s, w] + 0.5))
+                    of_field[q, s, i] += terms[w] * boost * idf * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size * n[s] / words[s]))
+        for key, x in of_field.items():
+            total[key] = max(total[key], x)
+    out = []
+    for q, s in {key[:2] for key in total}:
+        rows = sorted(((-round(x, 9), i) for (a, b, i), x in total.items() if (a, b) == (q, s)), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        out += [(q, s, i, round(-x, 6)) for x, i in rows[:k]]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("scope", [(), ("room",)])
+@pytest.mark.parametrize("block, step", [(1 << 17, 1 << 21), (4, 64)])
+def test_bm25_scores_documents_where_they_are_read(spark, monkeypatch, scope, block, step):
+    """Ids that come again or are null, copies, queries that come twice, rooms that are null: in one block and in many."""
+    monkeypatch.setattr(search, "TERM_BLOCK", block)
+    monkeypatch.setattr(search, "STEP", step)
+    rng = random.Random(5)
+    words = [f"w{n}x" for n in range(12)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [{"id": f"d{n % 55}" if n else None, "room": rng.choice(["a", "b", None]), "title": text(rng.randrange(3)), "body": text(rng.randrange(9)) if n % 7 else "w1x w2x"} for n in range(60)]
+    docs[3]["body"] = None
+    asked = [(n, [rng.choice(words) for _ in range(3)]) for n in range(6)]
+    asked.append(asked[2])
+    fields = {"title": 2.0, "body": 1.0}
+    got = search.bm25_search(spark.createDataFrame(asked, "query_id long, terms array<string>"), spark.createDataFrame(docs, "id string, room string, title string, body string").repartition(3), fields, 4, scope).collect()
+    assert sorted(((r.query_id, r.room if scope else None, r.id, round(r.score, 6)) for r in got), key=repr) == _bm25(asked, docs, fields, 4, scope)
+
+
+def test_pairs_of_query_and_document_are_not_shuffled(spark):
+    """400 documents that all match 50 queries: what reaches the ranking is a few rows a task and query, not 20,000 pairs."""
+    docs = spark.createDataFrame([(n, "common " * (1 + n % 5)) for n in range(400)], "id long, text string").repartition(2)
+    asked = spark.createDataFrame([(q, ["common"]) for q in range(50)], "query_id long, terms array<string>")
+    assert search.bm25_scores(asked, docs, {"text": 1.0}, top=3).count() <= 50 * 3 * 2
+    assert search.bm25_scores(asked, docs, {"text": 1.0}).count() == 20_000
