@@ -177,37 +177,44 @@ def shrunk_lengths(length: int, least: int, share: float = 0.7) -> list[int]:
     return out
 
 
-def shrink_pairs(pairs: dict[str, str | None], budget: int, order: Sequence[str], least: int = 40) -> dict[str, str | None]:
-    """Fields cut in turns, in the given order, until names and values together fit.
+def cut_lengths(sizes: dict[str, int], budget: int, order: Sequence[str], least: int = 40) -> dict[str, int]:
+    """The lengths of the fields that are cut, in turns, in the given order, until names and values together fit.
 
     Every field's lengths are known beforehand, so all cuts stand in one list, turn by turn; the first whose running saving is enough
     is the last one made.
     """
-    over = sum(len(k) + len(v or "") for k, v in pairs.items()) - budget
-    lengths = {k: shrunk_lengths(len(pairs[k]), least) for k in order if pairs.get(k)}
+    over = sum(len(k) + n for k, n in sizes.items()) - budget
+    lengths = {k: shrunk_lengths(sizes[k], least) for k in order if sizes.get(k)}
     cuts = sorted((turn, place, k) for place, k in enumerate(lengths) for turn in range(1, len(lengths[k])))
     saved = list(accumulate(lengths[k][turn - 1] - lengths[k][turn] for turn, _, k in cuts))
     made = cuts[:bisect_left(saved, over) + 1] if over > 0 else []
-    final = {k: lengths[k][turn] for turn, _, k in made}
+    return {k: lengths[k][turn] for turn, _, k in made}
+
+
+def shrink_pairs(pairs: dict[str, str | None], budget: int, order: Sequence[str], least: int = 40) -> dict[str, str | None]:
+    """Fields cut in turns, in the given order, until names and values together fit."""
+    final = cut_lengths({k: len(v or "") for k, v in pairs.items()}, budget, order, least)
     return {k: v[:final[k]] if k in final else v for k, v in pairs.items()}
 
 
 def shrink_to_budget(df: DataFrame, fields: Sequence[str], budget: int = 7200, order: Sequence[str] = fixed.SHRINK_ORDER) -> DataFrame:
-    """DP07. The string ``fields`` of each row within the budget, with the resulting size and whether it is still over."""
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
+    """DP07. The string ``fields`` of each row within the budget, with the resulting size and whether it is still over.
 
-    @F.pandas_udf(schema)
+    Python decides on lengths only; no text leaves the executor's own memory.
+    """
+    fields = list(fields)
+    text = {f: F.col(f) if isinstance(df.schema[f].dataType, T.StringType) else F.lit(None).cast("string") for f in fields}
+
+    @F.pandas_udf(T.StructType([T.StructField(f, T.IntegerType()) for f in fields]))
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [shrink_pairs({k: (v if isinstance(v, str) else None) for k, v in r.items()}, budget, order) for r in frame.to_dict("records")]
-        return pd.DataFrame(rows, columns=list(fields))
+        rows = [{**r, **cut_lengths(r, budget, order)} for r in frame.to_dict("records")]
+        return pd.DataFrame(rows, columns=fields)
 
-    d = df.withColumn("_f", fit(F.struct(*fields)))
-    size = F.lit(0)
-    for f in fields:
-        size = size + len(f) + F.coalesce(F.length(f"_f.{f}"), F.lit(0))
+    d = df.withColumn("_f", fit(F.struct(*[F.coalesce(F.length(text[f]), F.lit(0)).alias(f) for f in fields])))
+    size = sum((F.col(f"_f.{f}") for f in fields), F.lit(sum(len(f) for f in fields)))
     d = d.withColumn("bytes", size)
     keep = [c for c in df.columns if c not in fields]
-    return d.select(*keep, *[F.col(f"_f.{f}").alias(f) for f in fields], "bytes", (F.col("bytes") > budget).alias("over_budget"))
+    return d.select(*keep, *[F.substring(text[f], F.lit(1), F.col(f"_f.{f}")).alias(f) for f in fields], "bytes", (F.col("bytes") > budget).alias("over_budget"))
 
 
 CONTEXT_MARK = "<!-- CTX-PREFIX v1 -->"

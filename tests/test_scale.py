@@ -242,3 +242,23 @@ def test_pairs_of_query_and_document_are_not_shuffled(spark):
     asked = spark.createDataFrame([(q, ["common"]) for q in range(50)], "query_id long, terms array<string>")
     assert search.bm25_scores(asked, docs, {"text": 1.0}, top=3).count() <= 50 * 3 * 2
     assert search.bm25_scores(asked, docs, {"text": 1.0}).count() == 20_000
+
+
+def test_shrinking_sends_no_text_to_python(spark):
+    """Python gets lengths; cuts count code points, and nulls and values that are no strings stay out."""
+    from tallywright.operators import documents as dp
+    df = spark.createDataFrame([(1, "ñ😀" * 700, "y" * 100, 3), (2, None, "", 4)], "id long, summary string, keywords string, title int")
+    out = dp.shrink_to_budget(df, ["summary", "keywords", "title"], 600)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "fit(struct(summary, coalesce(length(summary" in plan.replace("#", "").translate(str.maketrans("", "", "0123456789")), plan
+    for r, was in zip(sorted(out.collect(), key=lambda r: r.id), df.collect()):
+        want = dp.shrink_pairs({"summary": was.summary, "keywords": was.keywords, "title": None}, 600, ["summary", "keywords"])
+        assert (r.summary, r.keywords, r.title, r.bytes) == (want["summary"], want["keywords"], None, sum(len(k) + len(v or "") for k, v in want.items()))
+
+
+def test_a_catalog_reads_each_text_once(spark):
+    from tallywright.sources import catalog
+    docs = spark.createDataFrame([("a/b.txt", "x - y1", 6), ("a/c", None, 0), ("big.txt", "abc", 99)], "path string, text string, size long")
+    out = catalog.build_catalog(docs, "path", "text", "size", 50)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [(r.text_chars, r.sidecar) for r in sorted(out.collect(), key=lambda r: r.path)] == [(3, True), (0, False), (0, False)]
