@@ -94,7 +94,7 @@ def word_count(col: Column) -> Column:
 
 
 def alnum_count(col: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(col, F.lit("")), "[^A-Za-z0-9]", ""))
+    return F.length(F.regexp_replace(F.coalesce(col, F.lit("")), "[^A-Za-z0-9]+", ""))
 
 
 def deny(col: Column, words: list[str]) -> Column:

@@ -33,13 +33,15 @@ def build_catalog(docs: DataFrame, path: str, text: str, size: str, max_bytes: i
     """SRC11. One row per document; oversize rows are listed without text facts."""
     big = F.col(size) > max_bytes
     name = tx.basename(F.col(path))
+    # The text is gone through once, in a projection of its own.
+    docs = docs.withColumn("_chars", F.when(big, 0).otherwise(tx.alnum_count(F.col(text))))
     return docs.select(
         F.col(path).alias("path"), F.when(name.contains("."), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("").alias("ext"),
         F.col(size).alias("size"), F.element_at(F.split(path, "/"), 1).alias("entity"),
         F.when(~big, F.sha2(text, 256)).alias("sha256"),
-        F.when(big, 0).otherwise(tx.alnum_count(F.col(text))).alias("text_chars"),
+        F.col("_chars").alias("text_chars"),
         name.alias("title"),
-        (~big & (tx.alnum_count(F.col(text)) >= 3)).alias("sidecar"),
+        (~big & (F.col("_chars") >= 3)).alias("sidecar"),
         F.when(big, F.concat(F.lit("oversize-skipped:"), F.round(F.col(size) / 1e6).cast("long").cast("string"), F.lit("MB"))).alias("err"))
 
 
