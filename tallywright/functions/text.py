@@ -94,7 +94,9 @@ def word_count(col: Column) -> Column:
 
 
 def alnum_count(col: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(col, F.lit("")), "[^A-Za-z0-9]+", ""))
+    # What is left without them is counted: taking out the other characters is some twenty times slower on prose.
+    text = F.coalesce(col, F.lit(""))
+    return F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z0-9]+", ""))
 
 
 def deny(col: Column, words: list[str]) -> Column:
