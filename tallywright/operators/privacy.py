@@ -34,31 +34,40 @@ def _scrub_steps() -> list[tuple[str, str, list[tuple[str, str]]]]:
         return [(head + r"([0-6][0-9])\b", "20$3"), (head + r"([7-9][0-9])\b", "19$3"), *((head + x, "$3") for x in plain)]
     day, sep = r"\b([0-9]{1,2})", "([0-9]{1,2})"
     return [
-        ("email", "@", [(fixed.EMAIL, "[EMAIL-REDACTED]")]), ("phone", "[0-9]{3}", [(fixed.PHONE, "[PHONE-REDACTED]")]),
-        ("ssn", "[0-9]{3}", [(fixed.SSN, "[SSN-REDACTED]")]), ("url", "://", [(fixed.URL, "[URL-REDACTED]")]),
-        ("ip_address", r"[0-9]\.[0-9]", [(fixed.IP_ADDRESS, "[IP-REDACTED]")]), ("geo_sub_state", "[0-9]", [(fixed.STREET, "[ADDRESS-REDACTED]")]),
+        ("email", "@", [(fixed.EMAIL, "[EMAIL-REDACTED]")]), ("phone", "[0-9]{4}", [(fixed.PHONE, "[PHONE-REDACTED]")]),
+        ("ssn", "[0-9]{4}", [(fixed.SSN, "[SSN-REDACTED]")]), ("url", "://", [(fixed.URL, "[URL-REDACTED]")]),
+        ("ip_address", r"[0-9]\.[0-9]", [(fixed.IP_ADDRESS, "[IP-REDACTED]")]), ("geo_sub_state", r"[0-9]\s", [(fixed.STREET, "[ADDRESS-REDACTED]")]),
         ("names", "Dr|M[rs]|Pt|Patient", [(fixed.HONORIFIC, "$1. [NAME-REDACTED]")]),
-        ("dates_full", "[0-9]-[0-9]", [(r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b", "$1")]),
+        ("dates_full", "[0-9]-[0-9]{2}-[0-9]", [(r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})\b", "$1")]),
         ("dates_full", "[0-9]{4}", [(rf"(?i)\b({fixed.MONTHS})\.?\s+([0-9]{{1,2}}),?\s+([0-9]{{4}})\b", "$3")]),
-        ("dates_full", "[0-9]-[A-Za-z]", years(day + "-([A-Za-z]{3,9})-")), ("dates_full", "[0-9]-[0-9]", years(day + "-" + sep + "-")),
-        ("dates_full", "[0-9]/[0-9]", years(day + "/" + sep + "/")),
+        ("dates_full", "[0-9]-[A-Za-z]{3,9}-[0-9]", years(day + "-([A-Za-z]{3,9})-")), ("dates_full", "[0-9]-[0-9]{1,2}-[0-9]", years(day + "-" + sep + "-")),
+        ("dates_full", "[0-9]/[0-9]{1,2}/[0-9]", years(day + "/" + sep + "/")),
     ]
 
 
 def scrub_free_text(c: Column) -> Column:
     """PR02. struct(t: text without identifiers, c: categories found). Each step tests and replaces the text as it stands then.
 
-    A step that matched changed the text, so the category needs no second look. One-element arrays bind the text of each
-    step, which keeps the expression linear in the number of steps.
+    A text without any sign is left as it is after one look. A step that matched changed the text, since the rules of a step with several of them all
+    shorten it, so the category needs no second look. One-element arrays bind the text of each step, which keeps the expression linear in the number of steps.
     """
+    steps = _scrub_steps()
     state = F.array(F.struct(F.coalesce(c, F.lit("")).alias("t"), F.array().cast("array<string>").alias("c")))
-    for category, sign, rules in _scrub_steps():
+    some = "|".join(dict.fromkeys(sign for _, sign, _ in steps))
+
+    def apply(x: Column, rules: list[tuple[str, str]]) -> Column:
         for pattern, to in rules:
-            done = F.transform(state, lambda x: F.struct(
-                x["t"].alias("o"), F.when(x["t"].rlike(sign), tx.replace_all(x["t"], pattern, to)).otherwise(x["t"]).alias("t"), x["c"].alias("c")))
-            state = F.transform(done, lambda y: F.struct(
-                y["t"].alias("t"), F.when(y["t"] != y["o"], F.array_append(y["c"], F.lit(category))).otherwise(y["c"]).alias("c")))
-    return state[0]
+            x = tx.replace_all(x, pattern, to)
+        return x
+
+    def scrubbed(x: Column) -> Column:
+        done = F.array(x)
+        for category, sign, rules in steps:
+            done = F.transform(F.transform(done, lambda x: F.struct(F.when(x["t"].rlike(sign), apply(x["t"], rules)).otherwise(x["t"]).alias("n"), x.alias("x"))), lambda y: F.struct(
+                y["n"].alias("t"), F.when(y["n"] != y["x"]["t"], F.array_append(y["x"]["c"], F.lit(category))).otherwise(y["x"]["c"]).alias("c")))
+        return done[0]
+
+    return F.transform(state, lambda x: F.when(x["t"].rlike(some), scrubbed(x)).otherwise(x))[0]
 
 
 def scrub_table(df: DataFrame, text: str) -> DataFrame:

@@ -73,7 +73,7 @@ def _(t):
 def records(t: Tables):
     """Nested customer records: identity, an address, a purchase history and a free note."""
     k = F.col("c_custkey")
-    items = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(
+    items = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(
         F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"), F.col("o_orderpriority").alias("product")))).alias("purchase_history"))
     c = t.customer.join(items, k == F.col("o_custkey"), "left")
     return c.select(
