@@ -291,10 +291,16 @@ def deidentify_record(df: DataFrame, year: int, keep: Sequence[str] = (), zips:
 
 
 def deid_report(clean: DataFrame) -> DataFrame:
-    """PR06. Records per category, and the dropped keys; never a value."""
-    c = clean.select(F.explode("categories").alias("name")).groupBy("name").agg(F.count("*").alias("records")).withColumn("kind", F.lit("category"))
-    d = clean.select(F.explode("dropped_keys").alias("name")).groupBy("name").agg(F.count("*").alias("records")).withColumn("kind", F.lit("dropped_key"))
-    return c.unionByName(d).unionByName(clean.agg(F.count("*").alias("records")).select(F.lit("records_processed").alias("name"), "records", F.lit("total").alias("kind")))
+    """PR06. Records per category, and the dropped keys; never a value. The records are worked out once for all three kinds.
+
+    ``explode_outer``, as every record has a name at least: for ``explode`` Spark adds a filter on the names and works out every record for it once more.
+    """
+    named = lambda kind, names: F.transform(F.coalesce(names, _none()), lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+    each = F.concat(named("category", F.col("categories")), named("dropped_key", F.col("dropped_keys")), named("total", F.array(F.lit("records_processed"))))
+    counted = clean.select(F.explode_outer(each).alias("_n")).select("_n.name", F.lit(1).cast("long").alias("_one"), "_n.kind")
+    # The total of no records is 0 and not missing.
+    zero = clean.sparkSession.range(1).select(F.lit("records_processed").alias("name"), F.lit(0).cast("long").alias("_one"), F.lit("total").alias("kind"))
+    return counted.unionByName(zero).groupBy("name", "kind").agg(F.sum("_one").alias("records")).select("name", "records", "kind")
 
 
 # Safety --------------------------------------------------------------------------------------------------------------
