@@ -12,12 +12,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 CLOSE = dt.datetime(2200, 1, 1)  # no event is as late
 
 
+NEAR = 4096  # rows of a key that wait together; those of a key with more wait slot by slot
+
+
 class InOrder(StatefulProcessor):
     """Runs ``step`` over the rows of each key in the order of (ts, id), however they are dealt to micro-batches.
 
-    Arriving rows are put into slots of ``slot_ms`` event time and wait in the state store. When the watermark has passed the end of a slot
-    nothing can come for it any more; its timer fires, its rows are sorted and stepped through, and the slot is removed. So Python holds one
-    Arrow batch of arriving rows, or one slot of one key, never all rows of a key. Timers fire in the order of time.
+    Arriving rows wait in the state store. When the watermark has passed the end of a slot of ``slot_ms`` event time nothing can come for it
+    any more; its rows are sorted, stepped through and removed. A key has one timer, at the end of its earliest slot, which does all slots that the
+    watermark has passed. Up to ``NEAR`` rows of a key wait in one value; the rows of a key with more are put into slots of their own, each read
+    when it is due. So Python holds one Arrow batch of arriving rows, ``NEAR`` rows of one key or one slot of one key, never all rows of a key.
 
     ``step(state, ts_us, value)`` gives the new state and an output tuple or None. A key that has had no row for ``ttl_ms`` starts anew, and
     its state is freed.
@@ -25,51 +29,92 @@ class InOrder(StatefulProcessor):
 
     def __init__(self, step: Callable, start: tuple, state_type: str, id_type: str, out_names: list[str], slot_ms: int, ttl_ms: int):
         self.step, self.start, self.state_type, self.id_type, self.out_names, self.slot_ms, self.ttl_ms = step, start, state_type, id_type, out_names, slot_ms, ttl_ms
+        self.near = NEAR
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "slot long", f"ts array<long>, id array<{self.id_type}>, value array<boolean>")
-        self.state = handle.getValueState("state", f"{self.state_type}, seen_ long, free_ long")
+        rows = f"array<long>, id{{0}} array<{self.id_type}>, value{{0}} array<boolean>"
+        self.held = handle.getMapState("held", "slot long", "ts " + rows.format(""))
+        # The state of the steps, the last row, the two timers, whether the rows wait in ``held``, and else the rows.
+        self.state = handle.getValueState("state", f"{self.state_type}, seen_ long, free_ long, timer_ long, apart_ boolean, ts_ " + rows.format("_"))
+
+    def _get(self) -> tuple[tuple, list, list]:
+        """(state of the steps, [seen, free, timer, apart], rows)"""
+        got = self.state.get() or (*self.start, None, None, None, False, [], [], [])
+        return tuple(got[:-7]), list(got[-7:-3]), [list(c) for c in got[-3:]]
+
+    def _end(self, us: int) -> int:
+        return (us // (1000 * self.slot_ms) + 1) * self.slot_ms
+
+    def _put(self, rows: list) -> None:
+        """Rows into their slots."""
+        slots = {}
+        for r in zip(*rows):
+            slots.setdefault(r[0] // (1000 * self.slot_ms), []).append(r)
+        for slot, new in slots.items():
+            old = self.held.getValue((slot,)) or ([], [], [])
+            self.held.updateValue((slot,), tuple([*o, *n] for o, n in zip(old, zip(*new))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, (seen, free, timer, apart), waiting = self._get()
+        first = None
         for f in rows:
-            us = f["ts"].astype("datetime64[us]").astype("int64")
-            for slot, at in us.groupby(us // (1000 * self.slot_ms)):
-                slot = int(slot)
-                part = f.loc[at.index]
-                old = self.held.getValue((slot,))
-                if old is None:
-                    self.handle.registerTimer((slot + 1) * self.slot_ms)
-                    old = ([], [], [])
-                self.held.updateValue((slot,), ([*old[0], *at.tolist()], [*old[1], *part["id"].tolist()], [*old[2], *part["value"].tolist()]))
+            new = f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), f["id"].tolist(), f["value"].tolist()
+            if not new[0]:
+                continue
+            first = min(new[0]) if first is None else min(first, *new[0])
+            waiting = [w + n for w, n in zip(waiting, new)]
+            if apart or len(waiting[0]) > self.near:
+                self._put(waiting)
+                apart, waiting = True, [[], [], []]
+        if first is not None:
+            # A timer that has become too late still fires and finds what is due then.
+            if timer is None or self._end(first) < timer:
+                timer = self._end(first)
+                self.handle.registerTimer(timer)
+            self.state.update((*state, seen, free, timer, apart, *waiting))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        slot = at // self.slot_ms - 1
-        rows = self.held.getValue((slot,))
-        *state, seen, free = self.state.get() if self.state.exists() else (*self.start, None, None)
-        state, out = tuple(state), []
-        if rows is not None:
-            for ts, i, value in sorted(zip(*rows), key=lambda r: r[:2]):
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        state, (seen, free, timer, apart), waiting = self._get()
+        if apart:
+            ends = sorted((slot + 1) * self.slot_ms for slot, in self.held.keys())
+        else:
+            every = sorted(zip(*waiting), key=lambda r: r[:2])
+            ends = sorted({self._end(r[0]) for r in every})
+            due = [r for r in every if self._end(r[0]) <= upto]
+            waiting = [list(c) for c in zip(*every[len(due):])] or [[], [], []]
+        done = [end for end in ends if end <= upto]
+        for end in done if apart else done[:1]:
+            if apart:
+                slot = (end // self.slot_ms - 1,)
+                due = sorted(zip(*self.held.getValue(slot)), key=lambda r: r[:2])
+                self.held.removeKey(slot)
+            out = []
+            for ts, i, value in due:
                 if seen is not None and ts - seen > 1000 * self.ttl_ms:
                     state = self.start
                 seen = ts
                 state, got = self.step(state, ts, value)
                 if got is not None:
                     out.append((key[0], i, pd.Timestamp(ts, unit="us"), *got))
-            self.held.removeKey((slot,))
+            if out:
+                yield pd.DataFrame(out, columns=self.out_names)
+        left = ends[len(done):]
+        if timer is not None and timer <= upto:
+            timer = left[0] if left else None
+            if timer is not None:
+                self.handle.registerTimer(timer)
         # One timer for each key frees the state; it is put off while rows come.
-        due = (seen // 1000 + self.ttl_ms) // self.slot_ms * self.slot_ms + self.slot_ms if seen is not None else at
-        if due <= at:
+        old = seen is None or self._end(seen + 1000 * self.ttl_ms) <= upto
+        if old and not left:
             self.state.clear()
-        else:
-            if free is None or free <= at:
-                free = due
-                self.handle.registerTimer(due)
-            self.state.update((*state, seen, free))
-        if out:
-            yield pd.DataFrame(out, columns=self.out_names)
+            return
+        if not old and (free is None or free <= upto):
+            free = self._end(seen + 1000 * self.ttl_ms)
+            self.handle.registerTimer(free)
+        self.state.update((*state, seen, free, timer, apart and bool(left), *waiting))
 
     def close(self) -> None:
         pass
