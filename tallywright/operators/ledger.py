@@ -10,6 +10,7 @@ from tallywright.operators.clusters import leader_clusters
 from tallywright.operators.graph import chain_members, supersede_chain
 from tallywright.operators.joins import active_rows
 from tallywright.operators.windows import keep_recent_digest
+from tallywright.session import cut_lineage
 
 
 def _entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,8 +39,10 @@ def compact_ledger(rows: DataFrame, now: Column, dup_threshold: float = 0.8, sta
     """CL11. The compacted ledger as rows (section, id, ekey, count, note).
 
     Sections: the always-kept types, the current value per entity key, the heads of superseded chains, one row per
-    near-duplicate cluster, recent status rows, and one digest of older status rows.
+    near-duplicate cluster, recent status rows, and one digest of older status rows. The rows, the members of chains and what remains without
+    them are each worked out once: several sections and every round of the joins read them.
     """
+    rows = cut_lineage(rows.select("id", "ts", "type", "ekey", "text", "supersedes"))
     out = ["section", "id", "ekey", "count", "note"]
     none, one = F.lit(None).cast("string"), F.lit(1).cast("long")
 
@@ -47,6 +50,7 @@ def compact_ledger(rows: DataFrame, now: Column, dup_threshold: float = 0.8, sta
         F.col("type").alias("section"), "id", "ekey", one.alias("count"), none.alias("note"))
 
     entity, heads = _entities(rows)
+    heads = cut_lineage(heads)
     members = chain_members(entity, heads.select("id"))
     size = members.groupBy("head").agg(F.count("*").alias("count"), F.max_by("id", "depth").alias("oldest"))
     current = heads.join(size, F.col("id") == F.col("head")).select(
@@ -55,12 +59,12 @@ def compact_ledger(rows: DataFrame, now: Column, dup_threshold: float = 0.8, sta
 
     rest = rows.filter(~F.col("type").isin(*fixed.ALWAYS_KEEP_TYPES, "entity"))
     tops = active_rows(rest).select("id")
-    cm = chain_members(rest, tops)
+    cm = cut_lineage(chain_members(rest, tops))
     cs = cm.groupBy("head").agg(F.count("*").alias("count"), F.max_by("id", "depth").alias("oldest")).filter(F.col("count") > 1)
     chains = cs.select(F.lit("chain").alias("section"), F.col("head").alias("id"), none.alias("ekey"), "count",
                        F.concat(F.lit("superseded "), (F.col("count") - 1).cast("string"), F.lit(" earlier value(s) from id="), "oldest").alias("note"))
     in_chain = cm.join(cs.select("head"), "head", "left_semi").select("id").distinct()
-    remaining = rest.join(in_chain, "id", "left_anti")
+    remaining = cut_lineage(rest.join(in_chain, "id", "left_anti"))
 
     status = remaining.filter(F.col("type") == "status")
     recent, digest = keep_recent_digest(status, status_keep, now - F.make_dt_interval(days=F.lit(status_days)))
