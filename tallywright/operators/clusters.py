@@ -3,25 +3,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed, text as tx
 from tallywright.functions.links import follow
 from tallywright.functions.ordered import latest_by
-from tallywright.functions.similarity import posting_cost, set_id, similar_sets
+from tallywright.functions.similarity import posting_cost, set_id, similar_pairs, similar_sets
 from tallywright.operators.graph import supersede_chain
 from tallywright.operators.joins import active_rows, supersede_pairs
 from tallywright.session import cut_lineage
 
+LOCAL_EDGES = 2_000_000  # similar pairs (80 MB) whose leaders are found in one task, more are by rounds, with the same result
 RANGES = 64  # parts of the order of which the earliest are solved first
 
 
 def _tokenised(rows: DataFrame, scope: Sequence[str], text: str) -> DataFrame:
-    r = rows.withColumn("tokens", tx.tokens(F.col(text))).filter(F.size("tokens") > 0)
+    """The rows with their tokens and set. Rows without tokens are still among them: a filter here would have Spark cut every text a second time."""
+    r = rows.withColumn("tokens", tx.tokens(F.col(text)))
     return r.withColumn("sid", set_id(F.col("tokens"), *[F.col(c) for c in scope]))
 
 
+def _sets(tokenised: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """One row for each set of tokens that is not empty, written once; the tokens as 64-bit hashes, which are shorter and enough for a comparison."""
+    hashed = tokenised.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
+    return cut_lineage(hashed.groupBy("sid", *keys).agg(F.first("tokens").alias("tokens"), *more).filter(F.size("tokens") > 0))
+
+
+def _similar(tokenised: DataFrame, threshold: float, scope: Sequence[str]) -> DataFrame:
+    """The pairs of similar sets of :func:`_tokenised` rows."""
+    sets = _sets(tokenised, scope)
+    return similar_sets(sets, sets, threshold, scope, self_join=True)
+
+
 def _live(rows: DataFrame) -> DataFrame:
     """The rows that may be matched: those that no row supersedes."""
     return active_rows(rows) if "supersedes" in rows.columns else rows
@@ -34,15 +50,14 @@ def near_duplicate(rows: DataFrame, order: Sequence[str], text: str = "text", sc
     unless the caller has their ``pairs`` (of :func:`similar_sets`) at this threshold or below.
     """
     scope = list(scope)
-    r = _tokenised(rows, scope, text).withColumn("_o", F.struct(*order))
-    # The sets are read by several joins below; writing them once saves reading and cutting every text again for each.
-    r = cut_lineage(r.select("id", "sid", "_o", "tokens", *scope))
+    cut = _tokenised(rows, scope, text)
+    # The rows are read by several joins below; writing them once, without their tokens, saves reading and cutting every text again for each.
+    r = cut_lineage(cut.select("id", "sid", F.struct(*order).alias("_o"), F.size("tokens").alias("_n"), *scope)).filter("_n > 0")
     first = r.join(_live(rows).select("id"), "id", "left_semi").groupBy("sid").agg(F.min_by(F.struct("id", "_o"), "_o").alias("f"))
     first = cut_lineage(first.select("sid", F.col("f.id").alias("match_id"), F.col("f._o").alias("mo")))
     placed = r.select("id", "sid", "_o").join(first, "sid", "left").withColumn("again", F.coalesce(F.col("mo") < F.col("_o"), F.lit(False)))
     repeats = placed.filter("again").select("id", "match_id", F.lit(1.0).alias("score"))
-    sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
-    pairs = similar_sets(sets, sets, threshold, scope, self_join=True) if pairs is None else pairs.filter(F.col("score") >= threshold)
+    pairs = _similar(cut, threshold, scope) if pairs is None else pairs.filter(F.col("score") >= threshold)
     both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
     near = both.join(first.withColumnRenamed("sid", "right_sid"), "right_sid").select(F.col("left_sid").alias("sid"), "match_id", "mo", "score")
     met = placed.filter("NOT again").select("id", "sid", "_o").join(near, "sid").filter(F.col("mo") < F.col("_o"))
@@ -57,16 +72,16 @@ def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text
     and then compared with the row's own position. ``pairs`` as in CL01.
     """
     scope = list(scope)
-    r = _tokenised(rows, scope, text).withColumn("vals", tx.value_tokens(F.col(text))).filter(F.size("vals") > 0).withColumn("_o", F.struct(*order))
-    r = cut_lineage(r.withColumn("kid", set_id(F.col("vals"), F.col("sid"))).select("id", "kid", "sid", "vals", "_o", "tokens", *scope))
+    cut, vals = _tokenised(rows, scope, text), tx.value_tokens(F.col(text))
+    r = cut.withColumn("vals", vals).select("id", set_id(F.col("vals"), F.col("sid")).alias("kid"), "sid", "vals", F.struct(*order).alias("_o"), F.size("tokens").alias("_n"), *scope)
+    r = cut_lineage(r).filter((F.size("vals") > 0) & (F.col("_n") > 0))
     live = r.join(_live(rows).select("id"), "id", "left_semi").groupBy("kid").agg(F.min_by(F.struct("id", "sid", "vals", "_o"), "_o").alias("f")).select(
         "kid", F.col("f.id").alias("first_id"), F.col("f.sid").alias("sid"), F.col("f.vals").alias("vals"), F.col("f._o").alias("first_o"))
     keys = r.groupBy("kid", "sid").agg(F.min("vals").alias("vals"))
-    sets = r.groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
-    pairs = similar_sets(sets, sets, threshold, scope, self_join=True) if pairs is None else pairs.filter(F.col("score") >= threshold)
+    pairs = _similar(cut.filter(F.size(vals) > 0), threshold, scope) if pairs is None else pairs.filter(F.col("score") >= threshold)
     # Equal token sets with other numbers contradict too. Per token set only its two earliest number keys can be first.
     both = pairs.select("left_sid", "right_sid", "score").unionByName(pairs.select(F.col("right_sid").alias("left_sid"), F.col("left_sid").alias("right_sid"), "score"))
-    both = both.unionByName(sets.select(F.col("sid").alias("left_sid"), F.col("sid").alias("right_sid"), F.lit(1.0).alias("score")))
+    both = both.unionByName(r.select(F.col("sid").alias("left_sid"), F.col("sid").alias("right_sid"), F.lit(1.0).alias("score")).distinct())
     early = live.withColumn("_r", F.row_number().over(Window.partitionBy("sid").orderBy("first_o"))).filter("_r <= 2").drop("_r")
     other = early.select(F.col("sid").alias("right_sid"), F.col("kid").alias("okid"), F.col("first_id").alias("oid"), F.col("vals").alias("ovals"), F.col("first_o").alias("oo"))
     met = keys.select(F.col("sid").alias("left_sid"), "kid", "vals").join(both, "left_sid").join(other, "right_sid").filter(F.col("vals") != F.col("ovals"))
@@ -77,8 +92,7 @@ def value_contradiction(rows: DataFrame, order: Sequence[str], text: str = "text
 
 def write_advisory(rows: DataFrame, order: Sequence[str], text: str = "text", scope: Sequence[str] = ("type",)) -> DataFrame:
     """CL03. Per row: a contradiction first, else a near-duplicate, else nothing. Token sets are compared once for both."""
-    sets = _tokenised(rows, scope, text).groupBy("sid", *scope).agg(F.min("tokens").alias("tokens"))
-    pairs = cut_lineage(similar_sets(sets, sets, 0.6, scope, self_join=True))
+    pairs = cut_lineage(_similar(_tokenised(rows, scope, text), 0.6, scope))
     c = value_contradiction(rows, order, text, scope, 0.6, pairs).select("id", F.col("match_id").alias("_c"))
     d = near_duplicate(rows, order, text, scope, 0.8, pairs).select("id", F.col("match_id").alias("_d"), "score")
     j = rows.select("id").join(c, "id", "left").join(d, "id", "left")
@@ -86,6 +100,30 @@ def write_advisory(rows: DataFrame, order: Sequence[str], text: str = "text", sc
                     F.coalesce("_c", "_d").alias("match_id"), F.when(F.col("_c").isNull(), F.round(F.col("score") * 100).cast("long")).alias("similarity_pct"))
 
 
+def _covered(edges: DataFrame) -> DataFrame:
+    """The sets that an earlier leader is similar to, of a bounded number of (early, late), in one task."""
+    def solve(parts):
+        found = [p for p in parts if p.num_rows]
+        if not found:
+            return
+        rows = pa.Table.from_batches(found)
+        n = rows.num_rows
+        codes = pa.concat_arrays([*rows["early"].chunks, *rows["late"].chunks]).dictionary_encode()
+        ids, at = codes.dictionary, codes.indices.to_numpy()
+        early, late, state = at[:n], at[n:], np.zeros(len(ids), np.int8)  # 1 leads, 2 is covered
+        while len(early):
+            new = state == 0
+            new[late] = False
+            state[new] = 1
+            hit = late[state[early] == 1]
+            state[hit] = 2
+            open_ = (state[early] == 0) & (state[late] == 0)
+            early, late = early[open_], late[open_]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.flatnonzero(state == 2)))], ["sid"])
+
+    return edges.coalesce(1).mapInArrow(solve, "sid binary")
+
+
 def _greedy_leaders(sets: DataFrame, threshold: float, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(leaders among ``sets``, similar pairs as early and late): a set leads unless an earlier leader is similar.
 
@@ -99,6 +137,8 @@ def _greedy_leaders(sets: DataFrame, threshold: float, scope: Sequence[str]) ->
     left_first = F.col("lp") < F.col("rp")
     every = cut_lineage(e.select(F.when(left_first, F.col("left_sid")).otherwise(F.col("right_sid")).alias("early"),
                                  F.when(left_first, F.col("right_sid")).otherwise(F.col("left_sid")).alias("late")))
+    if every.count() <= LOCAL_EDGES:
+        return sets.select("sid").join(_covered(every), "sid", "left_anti"), every
     undecided, leaders, edges = sets.select("sid"), sets.select("sid").limit(0), every
     while True:
         new = cut_lineage(undecided.join(edges.select(F.col("late").alias("sid")).distinct(), "sid", "left_anti"))
@@ -116,19 +156,18 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
     """CL04. Greedy clusters in ``order``: a row joins the earliest cluster whose first row is similar enough, else it opens one.
 
     Returns the rows with ``leader_id``. Rows without tokens are never similar to anything and lead themselves. When the
-    candidate bound exceeds ``pair_budget``, an early part of the order is solved first and everything similar to its
+    candidate bound, and 250 times the similar pairs that a sample lets expect, exceed ``pair_budget``, an early part of the order is solved first and everything similar to its
     leaders stops being a candidate leader, so a dense group is settled by its first members and not by all its pairs.
     """
     scope = list(scope)
-    all_rows = rows.withColumn("tokens", tx.tokens(F.col(text))).withColumn("_o", F.struct(*order))
-    empty = all_rows.filter(F.size("tokens") == 0).withColumn("leader_id", F.col("id")).drop("tokens", "_o")
-    r = all_rows.filter(F.size("tokens") > 0).withColumn("sid", set_id(F.col("tokens"), *[F.col(c) for c in scope]))
-    sets = r.groupBy("sid").agg(F.min_by(F.struct("id", *scope, "tokens", "_o"), "_o").alias("f")).select(
-        "sid", *[F.col(f"f.{c}").alias(c) for c in scope], F.col("f.tokens").alias("tokens"), F.col("f.id").alias("first_id"), F.col("f._o").alias("pos"))
-    sets = cut_lineage(sets)
+    r = _tokenised(rows, scope, text)
+    first = F.min_by(F.struct("id", *scope, F.struct(*order).alias("_o")), F.struct(*order)).alias("f")
+    sets = _sets(r, (), first).select("sid", *[F.col(f"f.{c}").alias(c) for c in scope], "tokens", F.col("f.id").alias("first_id"), F.col("f._o").alias("pos"))
     pending, leaders, first_round, whole = sets, sets.select("sid").limit(0), True, False
     while True:
         cost = posting_cost(pending, scope).first()["cost"]
+        if cost > pair_budget:
+            cost = min(cost, 250 * similar_pairs(pending, threshold, scope))
         share = min(1.0, (pair_budget / cost) ** 0.5) if cost > 0 else 1.0
         head = pending
         if share < 1.0:
@@ -161,7 +200,8 @@ def leader_clusters(rows: DataFrame, order: Sequence[str], text: str = "text", s
     pos = sets.select(F.col("sid").alias("left_sid"), F.col("pos").alias("_p"))
     hits = hits.select("left_sid", "leader_id", "lp").unionByName(own).join(pos, "left_sid").filter(F.col("lp") <= F.col("_p"))
     of = hits.groupBy("left_sid").agg(F.min_by("leader_id", "lp").alias("leader_id")).withColumnRenamed("left_sid", "sid")
-    return r.join(of, "sid").drop("tokens", "_o", "sid").unionByName(empty)
+    of = of.select("sid", F.col("leader_id").alias("_leader"), F.lit(True).alias("_led"))
+    return r.drop("tokens").join(of, "sid", "left").withColumn("leader_id", F.when(F.col("_led"), F.col("_leader")).otherwise(F.col("id"))).drop("sid", "_leader", "_led")
 
 
 def subject_partitions(clustered: DataFrame, max_rows: int | None = 40) -> DataFrame:
