@@ -266,7 +266,8 @@ def contested_groups(rows: DataFrame, order: Sequence[str], now: Column, partiti
     or contradiction, which no size of a subject makes long.
     """
     parts = subject_partitions(leader_clusters(rows, order, scope=(), threshold=partition_threshold), max_rows).filter("outcome = 'kept'")
-    parts = parts.drop("leader_id", "size", "outcome")
+    # Written once: what follows reads it some ten times, and most subjects of one row are gone by now.
+    parts = cut_lineage(parts.drop("leader_id", "size", "outcome"))
     g = group_assertions(leader_clusters(parts, order, scope=("subject",), threshold=claim_threshold), ["subject"], order)
     g = cut_lineage(g.withColumn("confidence", F.lit(1.0)))
     scored = score_claim(g, ["subject"], now).filter("status = 'contested'")
